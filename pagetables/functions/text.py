@@ -6,7 +6,7 @@ JVM and inside code generation.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -55,6 +55,15 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Compute `value` once per row and use it many times in `body`.
+
+    Projections that are merged or pushed below a filter repeat their
+    expressions; a lambda variable is computed once.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def clean_text(c: Column | str) -> Column:
     """Collapse every run of Unicode white space to one blank and trim; NULL gives ''."""
     return F.trim(F.regexp_replace(F.coalesce(col(c), F.lit("")), rf"(?U){SPACE_CLASS}+", " "))
@@ -148,10 +157,12 @@ def model_from_text(c: Column | str) -> Column:
 def title_case(c: Column | str) -> Column:
     """Upper-case each letter that follows a non-letter, lower-case the other letters."""
     runs = F.regexp_extract_all(col(c), F.lit(r"(\p{L}+|\P{L}+)"), F.lit(1))
-    cased = F.transform(
-        runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.lower(F.substr(r, F.lit(2))))
-    )
-    return F.array_join(cased, "")
+
+    def cased(run: Column) -> Column:
+        head = F.upper(F.substring(run, 1, 1))  # two letters for a sharp s
+        return F.concat(F.substring(head, 1, 1), F.lower(F.concat(F.substr(head, F.lit(2)), F.substr(run, F.lit(2)))))
+
+    return F.array_join(F.transform(runs, cased), "")
 
 
 def normalize_email(c: Column | str) -> Column:

@@ -1,7 +1,7 @@
 """URL expressions: split, quote, resolve, compare, classify.
 
-`parse_url` is avoided: it rejects what a lenient crawler accepts. One regular
-expression splits a URL into the five RFC 3986 parts.
+`parse_url` is avoided: it rejects what a lenient crawler accepts. Each of the
+five RFC 3986 parts has its own anchored pattern.
 """
 
 from __future__ import annotations
@@ -11,9 +11,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagetables.functions.text import any_of, clean_text, col, title_case
+from pagetables.functions.text import any_of, clean_text, col, let, title_case
 
-URL_PARTS = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
+_SCHEME = r"(?:[A-Za-z][A-Za-z0-9+.\-]*:)"
+URL_PARTS = {
+    "scheme": r"^([A-Za-z][A-Za-z0-9+.\-]*):",
+    "authority": rf"^{_SCHEME}?//([^/?#]*)",
+    "path": rf"^{_SCHEME}?(?://[^/?#]*)?([^?#]*)",
+    "query": r"^[^?#]*\?([^#]*)",
+    "fragment": r"(?s)^[^#]*#(.*)$",
+}
 
 # --- fixed values: results depend on these exact texts -----------------------
 PRODUCT_PATH_TOKENS = ["/product", "/products", "/p/", "/item", "/shop", "/store"]
@@ -36,16 +43,26 @@ CATALOG_DENIED = (
 
 
 def url_part(url: Column | str, part: str) -> Column:
-    index = {"scheme": 1, "authority": 2, "path": 3, "query": 4, "fragment": 5}[part]
-    text = F.regexp_extract(col(url), URL_PARTS, index)
+    text = F.regexp_extract(col(url), URL_PARTS[part], 1)
     return F.lower(text) if part == "scheme" else text
 
 
+def url_parts(url: Column | str) -> Column:
+    """All parts of a URL as a struct, for expressions that need several of them."""
+    return F.struct(*[url_part(url, p).alias(p) for p in URL_PARTS])
+
+
 def url_path(url: Column | str) -> Column:
     """Path without the ;parameters of its last segment."""
     return F.regexp_replace(url_part(url, "path"), r";[^/]*$", "")
 
 
+def with_scheme(url: Column | str) -> Column:
+    """https:// in front of an address that names no scheme."""
+    url = F.trim(col(url))
+    return F.when(F.contains(url, F.lit("://")), url).otherwise(F.concat(F.lit("https://"), url))
+
+
 def site_of(url: Column | str) -> Column:
     """host:port of a http(s) URL, NULL for anything else."""
     url = col(url)
@@ -87,20 +104,22 @@ def _prefixed(mark: str, text: Column) -> Column:
 
 def normalize_url(url: Column | str) -> Column:
     """Absolute http(s) URL with canonical percent-encoding; NULL when it is not a web address."""
-    url = F.trim(col(url))
-    full = F.when(F.contains(url, F.lit("://")), url).otherwise(F.concat(F.lit("https://"), url))
-    scheme, host = url_part(full, "scheme"), url_part(full, "authority")
-    params = F.regexp_extract(url_part(full, "path"), r";([^/]*)$", 1)
-    built = F.concat(
-        scheme,
-        F.lit("://"),
-        host,
-        quote(unquote(url_path(full)), "/%"),
-        _prefixed(";", params),
-        _prefixed("?", quote(unquote(url_part(full, "query")), "=&%[]:,/+")),
-        _prefixed("#", url_part(full, "fragment")),
-    )
-    return F.when(scheme.isin("http", "https") & (host != ""), built)
+
+    def build(u: Column) -> Column:
+        params = F.regexp_extract(u["path"], r";([^/]*)$", 1)
+        plain_path = F.regexp_replace(u["path"], r";[^/]*$", "")
+        text = F.concat(
+            u["scheme"],
+            F.lit("://"),
+            u["authority"],
+            quote(unquote(plain_path), "/%"),
+            _prefixed(";", params),
+            _prefixed("?", quote(unquote(u["query"]), "=&%[]:,/+")),
+            _prefixed("#", u["fragment"]),
+        )
+        return F.when(u["scheme"].isin("http", "https") & (u["authority"] != ""), text)
+
+    return let(url_parts(with_scheme(url)), build)
 
 
 def _without_dots(segments: Column) -> Column:
@@ -119,34 +138,39 @@ def _without_dots(segments: Column) -> Column:
 
 def resolve_url(base: Column | str, ref: Column | str) -> Column:
     """Join a reference with the URL of its page; an empty reference stays empty."""
-    base = col(base)
-    ref = F.regexp_replace(F.coalesce(col(ref), F.lit("")), r"^[\x00-\x20]+|[\t\r\n]", "")
-    path, query = url_part(ref, "path"), url_part(ref, "query")
-    tail = F.concat(_prefixed("?", query), _prefixed("#", url_part(ref, "fragment")))
-    base_path = url_part(base, "path")
-    folder = F.regexp_replace(base_path, r"[^/]*$", "")
-    joined = F.split(
-        F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), path), "/"
-    )
-    # empty middle segments of a relative path are dropped, those of a rooted path stay
-    last = F.size(joined) - 1
-    kept = F.filter(joined, lambda seg, i: (seg != "") | (i == 0) | (i == last))
-    rooted = F.when(
-        path.rlike(r"/\.{1,2}(/|$)"), _without_dots(F.split(path, "/"))
-    ).otherwise(path)
-    same_page = F.concat(
-        site_root(base), base_path,
-        _prefixed("?", F.when(query == "", url_part(base, "query")).otherwise(query)),
-        _prefixed("#", url_part(ref, "fragment")),
-    )
-    return (
-        F.when(ref == "", F.lit(""))
-        .when(ref.startswith("//"), F.concat(url_part(base, "scheme"), F.lit(":"), ref))
-        .when(ref.startswith("/"), F.concat(site_root(base), rooted, tail))
-        .when(url_part(ref, "scheme") != "", ref)
-        .when(path == "", same_page)
-        .otherwise(F.concat(site_root(base), _without_dots(kept), tail))
-    )
+    return let(url_parts(base), lambda b: resolve_parts(b, ref))
+
+
+def resolve_parts(base: Column, ref: Column | str) -> Column:
+    """`resolve_url` for a base that is already split by `url_parts`."""
+    root = F.concat(base["scheme"], F.lit("://"), base["authority"])
+    ref = F.coalesce(col(ref), F.lit(""))
+    ref = F.when(ref.rlike(r"^[\x00-\x20]|[\t\r\n]"), F.regexp_replace(ref, r"^[\x00-\x20]+|[\t\r\n]", "")).otherwise(ref)
+
+    def relative(r: Column) -> Column:
+        path, query, fragment = (url_part(r, p) for p in ("path", "query", "fragment"))
+        tail = F.concat(_prefixed("?", query), _prefixed("#", fragment))
+        folder = F.regexp_replace(base["path"], r"[^/]*$", "")
+        joined = F.split(F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), path), "/")
+        # empty middle segments of a relative path are dropped, those of a rooted path stay
+        last = F.size(joined) - 1
+        kept = F.filter(joined, lambda seg, i: (seg != "") | (i == 0) | (i == last))
+        same_page = F.concat(
+            root, base["path"],
+            _prefixed("?", F.when(query == "", base["query"]).otherwise(query)),
+            _prefixed("#", fragment),
+        )
+        return (
+            F.when(r == "", F.lit(""))
+            .when(r.startswith("//"), F.concat(base["scheme"], F.lit(":"), r))
+            .when(r.startswith("/") & ~F.contains(r, F.lit("/.")), F.concat(root, r))
+            .when(r.startswith("/"), F.concat(root, _without_dots(F.split(path, "/")), tail))
+            .when(url_part(r, "scheme") != "", r)
+            .when(path == "", same_page)
+            .otherwise(F.concat(root, _without_dots(kept), tail))
+        )
+
+    return let(ref, relative)
 
 
 def category_id(url: Column | str) -> Column:
@@ -192,10 +216,14 @@ def catalog_link_score(
     denied: str = CATALOG_DENIED,
 ) -> Column:
     """0 for empty or denied paths; +4 strong token, +2 weak token, +1 word in the link text."""
-    path = F.lower(unquote(url_path(url)))
-    score = (
-        F.when(any_of(path, strong), 4).otherwise(0)
-        + F.when(any_of(path, weak), 2).otherwise(0)
-        + F.when(F.coalesce(col(text), F.lit("")).rlike(rf"(?iU)\b({'|'.join(words)})\b"), 1).otherwise(0)
-    )
-    return F.when((path == "") | path.rlike(rf"/(?:{denied})(?:/|$)"), F.lit(0)).otherwise(score)
+    word = F.coalesce(col(text), F.lit("")).rlike(rf"(?iU)\b({'|'.join(words)})\b")
+
+    def score(path: Column) -> Column:
+        points = (
+            F.when(any_of(path, strong), 4).otherwise(0)
+            + F.when(any_of(path, weak), 2).otherwise(0)
+            + F.when(word, 1).otherwise(0)
+        )
+        return F.when((path == "") | path.rlike(rf"/(?:{denied})(?:/|$)"), F.lit(0)).otherwise(points)
+
+    return let(F.lower(unquote(url_path(url))), score)

@@ -11,28 +11,25 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SALTS = 64
 
 
-def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
-    """First k rows of every group in the given order."""
+def top_k(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str | None = None
+) -> DataFrame:
+    """First k rows of every group in the given order; `rank` names a column for their place."""
     threshold = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
     if k > threshold:
-        ordered = [c for c in df.columns if c not in keys and not isinstance(df.schema[c].dataType, _UNHASHABLE)]
-        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*ordered), F.lit(SALTS)))
+        hashable = [f.name for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*hashable), F.lit(SALTS)))
         part = Window.partitionBy(*keys, "_salt").orderBy(*order)
         df = salted.withColumn("_rn", F.row_number().over(part)).filter(F.col("_rn") <= k).drop("_rn", "_salt")
+    name = rank or "_rn"
     window = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(window)).filter(F.col("_rn") <= k).drop("_rn")
-
-
-def ranked_top_k(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank"
-) -> DataFrame:
-    """`top_k` that keeps the place of each row."""
-    kept = top_k(df, keys, order, k)
-    return kept.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    kept = df.withColumn(name, F.row_number().over(window)).filter(F.col(name) <= k)
+    return kept if rank else kept.drop(name)
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -80,7 +77,7 @@ def cap_budget(
         df.groupBy(store, category_order).agg(F.count(F.lit(1)).alias("available")),
         store, category_order, per_category, per_store,
     ).select(store, category_order, "allowed")
-    kept = ranked_top_k(df, [store, category_order], order, per_category, "idx")
+    kept = top_k(df, [store, category_order], order, per_category, "idx")
     return kept.join(counts, [store, category_order]).filter(F.col("idx") <= F.col("allowed")).drop("allowed")
 
 
@@ -107,7 +104,3 @@ def union_tables(*tables: DataFrame) -> DataFrame:
         result = result.unionByName(table, allowMissingColumns=True)
     return result
 
-
-from pyspark.sql.types import MapType, VariantType  # noqa: E402
-
-_UNHASHABLE = (MapType, VariantType)

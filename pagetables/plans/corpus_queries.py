@@ -168,9 +168,10 @@ def title_from_url(spark, folder):
 
 
 @query("title_case", f"""
-SELECT doc_id, coalesce({Q.title_case("text")}, '') AS title FROM documents""")
+WITH {Q.LINKS} SELECT page_id, pos, coalesce({Q.title_case("text")}, '') AS title FROM links""")
 def title_case(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", X.title_case("text").alias("title"))
+    links = P.page_links(pages_of(spark, folder), limit=None)
+    return links.select("page_id", "pos", X.title_case("text").alias("title"))
 
 
 @query("site_root", f"SELECT page_id, {Q.root('url')} AS root FROM pages")
@@ -220,7 +221,7 @@ WITH {Q.LINKS}, {DISCOVERED}
 SELECT site, rank, url, score FROM discovered WHERE rank <= 3""")
 def topk_by_score(spark, folder):
     found = catalog.discover_catalog_urls(usable_pages(pages_of(spark, folder)), **VOCABULARY)
-    top = ranking.ranked_top_k(found.drop("rank"), ["site"], [F.col("score").desc(), F.col("url")], 3)
+    top = ranking.top_k(found.drop("rank"), ["site"], [F.col("score").desc(), F.col("url")], 3, "rank")
     return top.select("site", "rank", "url", "score")
 
 

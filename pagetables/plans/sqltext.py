@@ -40,7 +40,7 @@ def title_case(x: str) -> str:
     """Letters after a non-letter up, other letters down."""
     return (
         f"list_aggregate(list_transform(regexp_extract_all({x}, '(\\p{{L}}+|\\P{{L}}+)', 1), "
-        f"lambda w: upper(w[1]) || lower(w[2:])), 'string_agg', '')"
+        f"lambda w: replace(upper(w[1]), 'ẞ', 'Ss') || lower(w[2:])), 'string_agg', '')"
     )
 
 

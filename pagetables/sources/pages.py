@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagetables.functions.urls import normalize_url, site_of
+from pagetables.functions.urls import site_of, with_scheme
 
 MAX_HTML_BYTES = 5_000_000
 
@@ -28,14 +28,15 @@ def read_page_files(spark: SparkSession, path: str) -> DataFrame:
 def page_status(pages: DataFrame, max_bytes: int = MAX_HTML_BYTES) -> DataFrame:
     """Status of every page: ok, or the reason why it is left out."""
     size = F.octet_length("html")
+    site = site_of(with_scheme("url"))
     reason = (
-        F.when(normalize_url("url").isNull(), F.lit("invalid address"))
+        F.when(site.isNull(), F.lit("invalid address"))
         .when(F.col("html").isNull(), F.lit("no content"))
         .when(size > max_bytes, F.lit("page too large"))
         .otherwise(F.lit("ok"))
     )
     return pages.select(
-        "page_id", "url", site_of(normalize_url("url")).alias("site"), size.alias("n_bytes"), reason.alias("status")
+        "page_id", "url", site.alias("site"), size.alias("n_bytes"), reason.alias("status")
     )
 
 
@@ -43,6 +44,6 @@ def usable_pages(pages: DataFrame, max_bytes: int = MAX_HTML_BYTES) -> DataFrame
     """Pages that pass the status check, cheap tests first, plus their site."""
     return (
         pages.filter(F.col("html").isNotNull() & (F.octet_length("html") <= max_bytes))
-        .withColumn("site", site_of(normalize_url("url")))
+        .withColumn("site", site_of(with_scheme("url")))
         .filter(F.col("site").isNotNull())
     )
