@@ -85,9 +85,13 @@ def code_point(n: Column) -> Column:
     return F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
 
 
+def _sql_text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def _decode_piece(piece: Column) -> Column:
     """A piece is a text that starts at '&' and holds no other '&'."""
-    named = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
+    named = F.expr(f"map({', '.join(_sql_text(x) for pair in ENTITIES.items() for x in pair)})")
     name = F.regexp_extract(piece, r"^&([A-Za-z]+);", 1)
     dec = F.regexp_extract(piece, r"^&#([0-9]{1,7});?", 1)
     hexa = F.regexp_extract(piece, r"^&#[xX]([0-9a-fA-F]{1,6});?", 1)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from pagetables.functions import urls as U
 from pagetables.functions.images import image_src
-from pagetables.functions.text import clean_text, first_truthy
+from pagetables.functions.text import clean_text, first_truthy, let
 from pagetables.operators.nodes import CANDIDATE_TAGS
 from pagetables.operators.ranking import first_per_key, top_k
 
@@ -43,16 +43,18 @@ def with_firsts(nodes: DataFrame, tags: list[str]) -> DataFrame:
     backwards = Window.partitionBy("page_id").orderBy(F.col("pos").desc()).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
+    nearest = []
     for tag in tags:
         fields = [F.col("pos"), F.substring("text", 1, 240).alias("text")]
         if tag in ("img", "a"):
             fields.append(F.col("attrs"))
-        nearest = F.last(F.when(F.col("tag") == tag, F.struct(*fields)), ignorenulls=True).over(backwards)
-        nodes = nodes.withColumn(f"_next_{tag}", nearest)
+        found = F.last(F.when(F.col("tag") == tag, F.struct(*fields)), ignorenulls=True).over(backwards)
+        nearest.append(found.alias(f"_next_{tag}"))
+    ahead = nodes.select("*", *nearest)
     inside = [
         F.when(F.col(f"_next_{t}.pos") <= F.col("end_pos"), F.col(f"_next_{t}")).alias(f"first_{t}") for t in tags
     ]
-    return nodes.select(*[c for c in nodes.columns if not c.startswith("_next_")], *inside)
+    return ahead.select(*nodes.columns, *inside)
 
 
 def node_score() -> Column:
@@ -83,41 +85,95 @@ def heading_text() -> Column:
     return F.coalesce(*candidates, F.col("plain_title"), F.lit(""))
 
 
-def first_image() -> tuple[Column, Column]:
+def first_image_parts(base: Column) -> Column:
+    """STRUCT<src, alt> of the first image; both blank when there is none."""
     attrs = F.col("first_img.attrs")
-    src = U.resolve_url("url", image_src(lambda name: attr(attrs, name)))
-    alt = clean_text(first_truthy(attr(attrs, "alt"), attr(attrs, "title")))
     present = F.col("first_img").isNotNull()
-    return F.when(present, src).otherwise(F.lit("")), F.when(present, alt).otherwise(F.lit(""))
+    src = U.resolve_parts(base, image_src(lambda name: attr(attrs, name)))
+    alt = clean_text(first_truthy(attr(attrs, "alt"), attr(attrs, "title")))
+    return F.struct(
+        F.when(present, src).otherwise(F.lit("")).alias("src"), F.when(present, alt).otherwise(F.lit("")).alias("alt")
+    )
 
 
-def first_link() -> Column:
-    """Target of the first <a>; blank when that one has no href."""
-    target = U.resolve_url("url", attr(F.col("first_a.attrs"), "href"))
+def first_link(base: Column) -> Column:
+    """Target of the first <a>, which is the element itself for an <a>; blank when it has no href."""
+    target = U.resolve_parts(base, attr(F.col("first_a.attrs"), "href"))
     return F.when(F.col("first_a").isNotNull(), target).otherwise(F.lit(""))
 
 
-def card_fields(nodes: DataFrame) -> DataFrame:
-    """Score, heading, image and link of the elements that score as cards."""
-    ready = with_firsts(nodes, ["img", *HEADING_TAGS]).withColumn("score", node_score())
-    image, alt = first_image()
-    return ready.filter(F.col("score") >= CARD_SCORE).select(
-        "page_id",
-        F.col("url").alias("page_url"),
-        "pos",
-        "score",
-        heading_text().alias("title"),
-        "price",
-        image.alias("image"),
-        alt.alias("image_alt"),
-        first_link().alias("url"),
-        F.substring("text", 1, 1500).alias("description"),
-        F.lower(clean_text(F.substring("text", 1, 300))).alias("fingerprint"),
+PRODUCT_LINK, CARD, IMAGE_LINK = 0, 1, 2
+LIMITS = {
+    PRODUCT_LINK: PRODUCT_LINKS_PER_PAGE,
+    CARD: CARDS_PER_PAGE,
+    IMAGE_LINK: IMAGE_LINKS_PER_PAGE,
+}
+SOURCES = {PRODUCT_LINK: "product_link", CARD: None, IMAGE_LINK: "link_image_fallback"}
+
+
+def listing_candidates(nodes: DataFrame, strategies: tuple[int, ...] = (PRODUCT_LINK, CARD, IMAGE_LINK)) -> DataFrame:
+    """Rows that a strategy may turn into a listing, before de-duplication.
+
+    One pass over the elements serves all strategies. `mark` and `link` are
+    the two keys of the de-duplication. Image, link and titles are computed
+    inside the exploded array, once per element.
+    """
+    needed = ["img", *HEADING_TAGS] if CARD in strategies else ["img", "a"]
+    ready = with_firsts(nodes, needed)
+    wanted = F.col("tag") == "a"
+    if CARD in strategies:
+        ready = ready.withColumn("score", node_score())
+        wanted = wanted | (F.col("score") >= CARD_SCORE)
+    ready = ready.filter(wanted)
+    text, is_link = F.col("text"), F.col("tag") == "a"
+
+    def row(strategy: int, when: Column, title: Column, url: Column, image: Column, mark: Column, link: Column) -> Column:
+        return F.when(
+            when,
+            F.struct(
+                F.lit(strategy).alias("strategy"),
+                title.alias("title"),
+                url.alias("url"),
+                image["src"].alias("image"),
+                image["alt"].alias("image_alt"),
+                mark.alias("mark"),
+                link.alias("link"),
+            ),
+        )
+
+    def rows(url: Column, image: Column) -> Column:
+        same = is_link & (url != "") & U.same_site(url, "url")
+        label = clean_text(F.coalesce(first_truthy(text, image["alt"]), F.lit("")))
+        found = []
+        if PRODUCT_LINK in strategies:
+            title = F.when(label != "", label).otherwise(U.title_from_url(url))
+            on_path = U.url_path(url).rlike("(?i)/products?/")
+            found.append(row(PRODUCT_LINK, same & on_path, F.substring(title, 1, 240), url, image, url, F.lit("")))
+        if CARD in strategies:
+            print_ = F.lower(clean_text(F.substring(text, 1, 300)))
+            found.append(
+                row(CARD, (F.col("score") >= CARD_SCORE) & (print_ != ""), heading_text(), url, image, print_, url)
+            )
+        if IMAGE_LINK in strategies:
+            slug = U.unquote(F.element_at(F.split(F.btrim(U.url_path(url), F.lit("/")), "/"), -1))
+            shown = (image["src"] != "") | ((label != "") & U.looks_like_product_url(url))
+            title = F.coalesce(first_truthy(F.substring(label, 1, 260)), slug)
+            found.append(row(IMAGE_LINK, same & shown, title, url, image, url, F.lit("")))
+        return F.filter(F.array(*found), lambda r: r.isNotNull())
+
+    candidates = let(
+        U.url_parts("url"),
+        lambda base: let(first_link(base), lambda url: let(first_image_parts(base), lambda img: rows(url, img))),
+    )
+    exploded = ready.select(
+        "page_id", F.col("url").alias("page_url"), "pos", "price",
+        F.substring(text, 1, 1500).alias("description"), F.explode(candidates).alias("r"),
     )
+    return exploded.select("page_id", "page_url", "pos", "price", "description", "r.*")
 
 
 def greedy_keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Keep a row when its fingerprint is new and its url is blank or new; only kept rows count as seen.
+    """Keep a row when its mark is new and its link is blank or new; only kept rows count as seen.
 
     Rows arrive sorted by (page_id, pos) and a page is never split over
     partitions, so the seen sets hold one page at a time.
@@ -125,7 +181,7 @@ def greedy_keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     page, prints, urls = None, set(), set()
     for batch in batches:
         keep = []
-        for page_id, mark, url in zip(batch["page_id"], batch["fingerprint"], batch["url"]):
+        for page_id, mark, url in zip(batch["page_id"], batch["mark"], batch["link"]):
             if page_id != page:
                 page, prints, urls = page_id, set(), set()
             fresh = bool(mark) and mark not in prints and not (url and url in urls)
@@ -138,72 +194,47 @@ def greedy_keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def greedy_dedup_two_key(rows: DataFrame) -> DataFrame:
-    """Ordered two-key de-duplication per page (page_id, pos, fingerprint, url + any columns)."""
+    """Ordered two-key de-duplication per page (page_id, pos, mark, link + any columns)."""
     by_page = rows.repartition("page_id").sortWithinPartitions("page_id", "pos")
     return by_page.mapInPandas(greedy_keep, rows.schema)
 
 
-def card_listings(nodes: DataFrame, limit: int = CARDS_PER_PAGE) -> DataFrame:
-    kept = top_k(greedy_dedup_two_key(card_fields(nodes)), ["page_id"], [F.col("pos")], limit, "idx")
-    return kept.withColumn("source", F.lit(None).cast("string")).select(*LISTING_COLUMNS)
+def _finished(kept: DataFrame) -> DataFrame:
+    """Number the kept rows of a page and cut each strategy at its limit."""
+    window = Window.partitionBy("page_id").orderBy("pos")
+    limit, source = F.lit(None).cast("int"), F.lit(None).cast("string")
+    for strategy in LIMITS:
+        limit = F.when(F.col("strategy") == strategy, LIMITS[strategy]).otherwise(limit)
+        source = F.when(F.col("strategy") == strategy, F.lit(SOURCES[strategy])).otherwise(source)
+    numbered = kept.withColumn("idx", F.row_number().over(window)).filter(F.col("idx") <= limit)
+    return numbered.withColumn("source", source).select(*LISTING_COLUMNS, "strategy")
 
 
-def anchors(nodes: DataFrame) -> DataFrame:
-    """Same-site <a> elements with their absolute target, image and text."""
-    links = with_firsts(nodes, ["img"]).filter(F.col("tag") == "a")
-    image, alt = first_image()
-    rows = links.select(
-        "page_id",
-        F.col("url").alias("page_url"),
-        "pos",
-        U.resolve_url("url", attr(F.col("attrs"), "href")).alias("url"),
-        image.alias("image"),
-        alt.alias("image_alt"),
-        "text",
-        "price",
-    )
-    return rows.filter((F.col("url") != "") & U.same_site("url", "page_url"))
+def card_listings(nodes: DataFrame) -> DataFrame:
+    return _finished(greedy_dedup_two_key(listing_candidates(nodes, (CARD,)))).drop("strategy")
 
 
-def product_link_listings(nodes: DataFrame, limit: int = PRODUCT_LINKS_PER_PAGE) -> DataFrame:
+def product_link_listings(nodes: DataFrame) -> DataFrame:
     """Links whose path holds /product/ or /products/, first per URL."""
-    rows = anchors(nodes).filter(U.url_path("url").rlike("(?i)/products?/"))
-    kept = top_k(first_per_key(rows, ["page_id", "url"], [F.col("pos")]), ["page_id"], [F.col("pos")], limit, "idx")
-    title = clean_text(F.coalesce(first_truthy("text", "image_alt"), U.title_from_url("url")))
-    return kept.select(
-        "page_id", "page_url", "idx",
-        F.substring(title, 1, 240).alias("title"),
-        "price", "image", "image_alt", "url",
-        F.substring("text", 1, 1500).alias("description"),
-        F.lit("product_link").alias("source"),
-    )
+    rows = listing_candidates(nodes, (PRODUCT_LINK,))
+    return _finished(first_per_key(rows, ["page_id", "url"], [F.col("pos")])).drop("strategy")
 
 
-def link_image_listings(nodes: DataFrame, limit: int = IMAGE_LINKS_PER_PAGE) -> DataFrame:
+def link_image_listings(nodes: DataFrame) -> DataFrame:
     """Links with an image, or with text and a product-like URL; first qualifying per URL."""
-    title = clean_text(F.coalesce(first_truthy("text", "image_alt"), F.lit("")))
-    rows = anchors(nodes).withColumn("title", title)
-    rows = rows.filter(
-        (F.col("image") != "") | ((F.col("title") != "") & U.looks_like_product_url("url"))
-    )
-    kept = top_k(first_per_key(rows, ["page_id", "url"], [F.col("pos")]), ["page_id"], [F.col("pos")], limit, "idx")
-    slug = U.unquote(F.element_at(F.split(F.btrim(U.url_path("url"), F.lit("/")), "/"), -1))
-    return kept.select(
-        "page_id", "page_url", "idx",
-        F.coalesce(first_truthy(F.substring("title", 1, 260)), slug).alias("title"),
-        "price", "image", "image_alt", "url",
-        F.substring("text", 1, 1500).alias("description"),
-        F.lit("link_image_fallback").alias("source"),
-    )
+    rows = listing_candidates(nodes, (IMAGE_LINK,))
+    return _finished(first_per_key(rows, ["page_id", "url"], [F.col("pos")])).drop("strategy")
 
 
 def page_listings(nodes: DataFrame) -> DataFrame:
-    """Per page the first strategy that finds anything: product links, cards, linked images."""
-    strategies = [product_link_listings(nodes), card_listings(nodes), link_image_listings(nodes)]
-    tables = [t.withColumn("strategy", F.lit(rank)) for rank, t in enumerate(strategies)]
-    union = tables[0].unionByName(tables[1]).unionByName(tables[2])
-    best = Window.partitionBy("page_id")
-    return union.withColumn("_best", F.min("strategy").over(best)).filter("strategy = _best").drop("_best")
+    """Per page the first strategy that finds anything: product links, cards, linked images.
+
+    The first candidate of a strategy always survives, so the strategy can be
+    chosen before the de-duplication. Everything is keyed by page: one shuffle.
+    """
+    best = F.min("strategy").over(Window.partitionBy("page_id"))
+    chosen = listing_candidates(nodes).withColumn("_best", best).filter("strategy = _best").drop("_best")
+    return _finished(greedy_dedup_two_key(chosen))
 
 
 def discover_categories(nodes: DataFrame, limit: int = CATEGORIES_PER_STORE) -> DataFrame:

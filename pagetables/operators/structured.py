@@ -39,40 +39,42 @@ def _object(path: Column, text: Column) -> Column:
     return F.struct(path.alias("path"), text.alias("text"))
 
 
-def _placed_under(parent: Column, rank: int):
-    def place(e: Column, i: Column) -> Column:
-        path = F.concat(parent, F.array(F.lit(rank), i))
-        return F.struct(path.alias("path"), e["text"].alias("text"), e["kind"].alias("kind"))
-
-    return place
+_PLACED = "array<struct<path:array<int>,text:string,kind:string>>"
 
 
 def _children(o: Column) -> Column:
     """Objects directly under the container keys, in key rank order; lists of lists are opened twice."""
+    keys = F.expr(f"array({', '.join(repr(k) for k in J.CONTAINER_KEYS)})")
+
+    def listed(value: Column) -> Column:
+        opened = F.transform(
+            J.elements(value["text"]),
+            lambda e: F.when(e["kind"] == "ARRAY", J.elements(e["text"])).otherwise(F.array(e)),
+        )
+        return F.when(value["kind"] == "ARRAY", F.flatten(opened)).when(value["kind"] == "OBJECT", F.array(value))
 
     def under(record: Column) -> Column:
-        found = []
-        for rank, key in enumerate(J.CONTAINER_KEYS):
-            value = record[key]
-            inner = F.flatten(
-                F.transform(
-                    J.elements(value["text"]),
-                    lambda e: F.when(e["kind"] == "ARRAY", J.elements(e["text"])).otherwise(F.array(e)),
-                )
+        def placed(key: Column, rank: Column) -> Column:
+            rows = F.transform(
+                let(record[key], listed),
+                lambda e, i: F.struct(
+                    F.concat(o["path"], F.array(rank, i)).alias("path"), e["text"].alias("text"), e["kind"].alias("kind")
+                ),
             )
-            listed = F.when(value["kind"] == "ARRAY", inner).when(value["kind"] == "OBJECT", F.array(value))
-            placed = F.transform(listed, _placed_under(o["path"], rank))
-            found.append(
-                F.coalesce(placed, F.array().cast("array<struct<path:array<int>,text:string,kind:string>>"))
-            )
-        objects = F.filter(F.concat(*found), lambda e: e["kind"] == "OBJECT")
+            return F.coalesce(rows, F.array().cast(_PLACED))
+
+        objects = F.filter(F.flatten(F.transform(keys, placed)), lambda e: e["kind"] == "OBJECT")
         return F.transform(objects, lambda e: _object(e["path"], e["text"]))
 
     return let(J.fields(o["text"]), under)
 
 
 def object_array(html: Column | str, depth: int = DEPTH) -> Column:
-    """ARRAY<STRUCT<path, text, fields>> of all objects of a page, parents before their children."""
+    """ARRAY<STRUCT<path, text, entries>> of all objects of a page, parents before their children.
+
+    `entries` holds the readable text of every field in key order, so that the
+    lookups below are plain filters.
+    """
 
     def expand(level: Column, left: int) -> Column:
         if left == 0:
@@ -84,7 +86,14 @@ def object_array(html: Column | str, depth: int = DEPTH) -> Column:
     ordered = F.array_sort(expand(roots, depth))
     return F.transform(
         ordered,
-        lambda o: F.struct(o["path"].alias("path"), o["text"].alias("text"), J.fields(o["text"]).alias("fields")),
+        lambda o: F.struct(
+            o["path"].alias("path"),
+            o["text"].alias("text"),
+            F.transform(
+                F.map_entries(J.fields(o["text"])),
+                lambda e: F.struct(e["key"].alias("key"), J.text_value(e["value"]).alias("text")),
+            ).alias("entries"),
+        ),
     )
 
 
@@ -111,14 +120,9 @@ def structured_rows(pages: DataFrame) -> DataFrame:
 def structured_value(objects: Column, keys: Sequence[str]) -> Column:
     """First non-blank value under one of the keys (any letter case); object order counts."""
     wanted = [k.lower() for k in keys]
-    values = F.transform(
-        objects,
-        lambda o: F.transform(
-            F.filter(F.map_entries(o["fields"]), lambda e: F.lower(e["key"]).isin(*wanted)),
-            lambda e: J.text_value(e["value"]),
-        ),
-    )
-    return F.coalesce(F.get(F.filter(F.flatten(values), lambda v: v != ""), F.lit(0)), F.lit(""))
+    entries = F.flatten(F.transform(objects, lambda o: o["entries"]))
+    hits = F.filter(entries, lambda e: (e["text"] != "") & F.lower(e["key"]).isin(*wanted))
+    return F.coalesce(F.get(hits, F.lit(0))["text"], F.lit(""))
 
 
 def structured_value_ordered(objects: Column, keys: Sequence[str]) -> Column:
@@ -130,10 +134,11 @@ def structured_price(objects: Column) -> Column:
     """Price of the first object that has one, itself or among its offers."""
 
     def own(o: Column) -> Column:
-        price = F.lit(None).cast("string")
-        for key in reversed(J.PRICE_KEYS):
-            price = F.when(F.map_contains_key(o["fields"], key), J.text_value(o["fields"][key])).otherwise(price)
-        return price
+        ranked = F.transform(
+            F.filter(o["entries"], lambda e: e["key"].isin(*J.PRICE_KEYS)),
+            lambda e: F.struct(F.array_position(F.array(*map(F.lit, J.PRICE_KEYS)), e["key"]).alias("rank"), e["text"]),
+        )
+        return F.array_min(ranked)["text"]
 
     offer_rank = J.CONTAINER_KEYS.index("offers")
 

@@ -106,7 +106,7 @@ def test_text_after_inner_tags(spark):
 
 
 def test_greedy_dedup(spark):
-    schema = "page_id bigint, pos int, fingerprint string, url string"
+    schema = "page_id bigint, pos int, mark string, link string"
     rows = [(1, 0, "F", "U"), (1, 1, "G", "U"), (1, 2, "G", "V"), (2, 0, "F", "U"), (2, 1, "F", "V"), (2, 2, "G", "V")]
     kept = listings.greedy_dedup_two_key(spark.createDataFrame(rows, schema)).collect()
     assert sorted((r["page_id"], r["pos"]) for r in kept) == [(1, 0), (1, 2), (2, 0), (2, 2)]
