@@ -165,33 +165,61 @@ def flatten_payload(text: Column | str, prefix: str = "") -> Column:
     return let(fields(text), lambda record: let(F.concat(own(record), nested(record)), distinct_entries))
 
 
+def images_of_record(record: Column, depth: int = 3) -> Column:
+    """Image URLs of an object given as `fields`: the known keys first, then its children, depth first."""
+    named = F.array(*[
+        F.when((record[k]["kind"] == "STRING") & is_image_url(record[k]["text"]), record[k]["text"])
+        for k in IMAGE_KEYS
+    ])
+    children = F.transform(F.map_values(record), lambda v: _images_in(v["text"], v["kind"], depth - 1))
+    return F.concat(F.filter(named, lambda u: u.isNotNull()), F.flatten(children))
+
+
 def _images_in(text: Column, kind: Column, depth: int) -> Column:
-    """Image URLs of a value: the known keys of an object first, then its children, depth first."""
     none = F.array().cast("array<string>")
     leaf = F.when((kind == "STRING") & is_image_url(text), F.array(text)).otherwise(none)
     if depth == 0:
         found = F.regexp_extract_all(text, F.lit(r'"(https?://[^"\s]+)"'), F.lit(1))
         return F.when(kind.isin("OBJECT", "ARRAY"), F.filter(found, is_image_url)).otherwise(leaf)
-
-    def of_object(record: Column) -> Column:
-        named = F.array(*[
-            F.when((record[k]["kind"] == "STRING") & is_image_url(record[k]["text"]), record[k]["text"])
-            for k in IMAGE_KEYS
-        ])
-        children = F.transform(F.map_values(record), lambda v: _images_in(v["text"], v["kind"], depth - 1))
-        return F.concat(F.filter(named, lambda u: u.isNotNull()), F.flatten(children))
-
-    of_array = F.flatten(F.transform(elements(text), lambda v: _images_in(v["text"], v["kind"], depth - 1)))
-    return (
-        F.when(kind == "OBJECT", let(fields(text), of_object)).when(kind == "ARRAY", of_array).otherwise(leaf)
+    # an array of objects is the usual shape: both levels are opened in one step
+    listed = F.when(kind == "ARRAY", elements(text)).otherwise(
+        F.array(F.struct(text.alias("text"), kind.alias("kind")))
     )
+    found = F.flatten(
+        F.transform(
+            listed,
+            lambda e: F.when(
+                e["kind"] == "OBJECT", let(fields(e["text"]), lambda r: images_of_record(r, depth))
+            ).otherwise(_images_in(e["text"], e["kind"], 0)),
+        )
+    )
+    return F.when(kind.isin("OBJECT", "ARRAY"), found).otherwise(leaf)
 
 
-def collect_images(text: Column | str, depth: int = 3) -> Column:
+def collect_images(text: Column | str, depth: int = 2) -> Column:
     """Image URLs anywhere in a payload, first one per canonical key.
 
-    Deeper levels than `depth` are searched in their text, in text order.
+    Objects deeper than `depth` are searched in their text, in text order.
     """
     text = col(text)
     kind = F.when(F.ltrim(text).startswith("["), F.lit("ARRAY")).otherwise(F.lit("OBJECT"))
     return let(_images_in(text, kind, depth), dedup_by_key)
+
+
+def overlay(*records: Column) -> Column:
+    """Later records replace the values of earlier ones; keys keep the place where they first appear."""
+    entries = F.map_entries(records[0])
+    for record in records[1:]:
+        known = F.transform(entries, lambda e: e["key"])
+        fresh = F.filter(F.map_entries(record), lambda e: ~F.array_contains(known, e["key"]))
+        entries = F.concat(
+            F.transform(
+                entries,
+                lambda e: F.when(
+                    F.map_contains_key(record, e["key"]),
+                    F.struct(e["key"].alias("key"), record[e["key"]].alias("value")),
+                ).otherwise(e),
+            ),
+            fresh,
+        )
+    return F.map_from_entries(entries)
