@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagetables.functions.images import canonical_image_key, dedup_by_key, is_image_url  # noqa: F401
+from pagetables.functions.images import dedup_by_key, is_image_url
 from pagetables.functions.text import clean_text, col, let
 
 # --- fixed values: results depend on these exact texts -----------------------
@@ -180,7 +180,7 @@ def _images_in(text: Column, kind: Column, depth: int) -> Column:
     leaf = F.when((kind == "STRING") & is_image_url(text), F.array(text)).otherwise(none)
     if depth == 0:
         found = F.regexp_extract_all(text, F.lit(r'"(https?://[^"\s]+)"'), F.lit(1))
-        return F.when(kind.isin("OBJECT", "ARRAY"), F.filter(found, is_image_url)).otherwise(leaf)
+        return F.when(kind.isin("OBJECT", "ARRAY"), F.filter(found, lambda u: is_image_url(u))).otherwise(leaf)
     # an array of objects is the usual shape: both levels are opened in one step
     listed = F.when(kind == "ARRAY", elements(text)).otherwise(
         F.array(F.struct(text.alias("text"), kind.alias("kind")))

@@ -64,7 +64,7 @@ def best_srcset(spark, folder):
 
 
 @query("canonical_image_key", """
-SELECT p_partkey, size, CASE WHEN size = 3 THEN 'red sofa.jpg' WHEN size = 4 THEN '/i/' || p_partkey || '/' ELSE 'pic-' || p_partkey || '.jpg' END AS image_key
+SELECT p_partkey, size, CASE WHEN size = 2 THEN 'pic-' || p_partkey WHEN size = 3 THEN 'red sofa.jpg' WHEN size = 4 THEN '/i/' || p_partkey || '/' ELSE 'pic-' || p_partkey || '.jpg' END AS image_key
 FROM (SELECT p_partkey, unnest([1, 2, 3, 4]) AS size FROM part)""")
 def canonical_image_key(spark, folder):
     urls = F.expr("""array(
