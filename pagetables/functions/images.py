@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagetables.functions.text import col, decode_entities, first_truthy
+from pagetables.functions.text import col, decode_entities, first_truthy, let
 from pagetables.functions.urls import unquote, url_path
 
 # --- fixed values: results depend on these exact texts -----------------------
@@ -30,12 +30,10 @@ def is_image_url(url: Column | str, hosts: Sequence[str] = IMAGE_HOSTS) -> Colum
 def canonical_image_key(url: Column | str) -> Column:
     """File name of an image without its size parts, so that sizes of one picture share a key."""
     path = F.regexp_replace(unquote(url_path(url)), r"/cdn-cgi/image/[^/]+/", "/")
-    name = F.element_at(F.split(path, "/"), -1)
-    after_size = F.regexp_extract(name, rf"-{SIZE}-(.+)$", 1)
-    name = F.when(after_size != "", after_size).otherwise(name)
-    name = F.regexp_replace(name, rf"-(?:{SIZE}|width=\d+|height=\d+|fit=[^-]+)(?=-|\.|$)", "")
-    name = F.regexp_replace(name, rf"-{SIZE}-", "-")
-    return F.when(name != "", name).otherwise(path)
+    # what follows the first size part that has text behind it, else the whole name
+    tail = F.regexp_replace(F.substring_index(path, "/", -1), rf"^.*?-{SIZE}-(.+)$", "$1")
+    name = F.regexp_replace(tail, rf"-(?:{SIZE}|width=\d+|height=\d+|fit=[^-]+)(?=-|\.|$)", "")
+    return F.coalesce(F.nullif(F.regexp_replace(name, rf"-{SIZE}-", "-"), F.lit("")), path)
 
 
 def best_srcset(value: Column | str) -> Column:
@@ -70,11 +68,15 @@ def image_src(attribute) -> Column:
 
 def dedup_by_key(urls: Column | str) -> Column:
     """First URL per canonical key of one row's image array."""
-    urls = F.filter(F.coalesce(col(urls), F.array().cast("array<string>")), lambda u: F.coalesce(u, F.lit("")) != "")
-    keys = F.transform(urls, canonical_image_key)
-    pairs = F.arrays_zip(urls.alias("url"), keys.alias("key"))
-    kept = F.filter(pairs, lambda p, i: F.array_position(keys, p["key"]) == i + 1)
-    return F.transform(kept, lambda p: p["url"])
+    filled = F.filter(F.coalesce(col(urls), F.array().cast("array<string>")), lambda u: F.coalesce(u, F.lit("")) != "")
+
+    def first(found: Column) -> Column:
+        return let(
+            F.transform(found, canonical_image_key),
+            lambda keys: F.filter(found, lambda u, i: F.array_position(keys, F.get(keys, i)) == i + 1),
+        )
+
+    return let(filled, first)
 
 
 def image_urls_in_text(value: Column | str, hosts: Sequence[str] = IMAGE_HOSTS) -> Column:

@@ -31,7 +31,7 @@ IMAGE_KEYS = ["url", "original", "original_url", "original_image", "thumbnail",
 def kind_of(value: Column) -> Column:
     """STRING, NUMBER, BOOLEAN, VOID, OBJECT or ARRAY."""
     name = F.regexp_extract(F.schema_of_variant(value), "^([A-Z]+)", 1)
-    return F.when(name.isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT"), F.lit("NUMBER")).otherwise(name)
+    return F.regexp_replace(name, "^(BIGINT|DECIMAL|DOUBLE|FLOAT)$", "NUMBER")
 
 
 def valid_json(text: Column | str) -> Column:
@@ -135,6 +135,14 @@ def text_value(value: Column) -> Column:
     )
 
 
+def first_entries(entries: Column) -> Column:
+    """Map of the first entry per key."""
+    return let(
+        F.transform(entries, lambda e: e["key"]),
+        lambda keys: F.map_from_entries(F.filter(entries, lambda e, i: F.array_position(keys, e["key"]) == i + 1)),
+    )
+
+
 def flatten_payload(text: Column | str, prefix: str = "") -> Column:
     """Depth-1 flattening: every field, plus parent.child for the fields of nested objects."""
 
@@ -158,11 +166,7 @@ def flatten_payload(text: Column | str, prefix: str = "") -> Column:
             )
         )
 
-    def distinct_entries(entries: Column) -> Column:
-        keys = F.transform(entries, lambda e: e["key"])
-        return F.map_from_entries(F.filter(entries, lambda e, i: F.array_position(keys, e["key"]) == i + 1))
-
-    return let(fields(text), lambda record: let(F.concat(own(record), nested(record)), distinct_entries))
+    return let(fields(text), lambda record: let(F.concat(own(record), nested(record)), first_entries))
 
 
 def images_of_record(record: Column, depth: int = 3) -> Column:
@@ -208,18 +212,8 @@ def collect_images(text: Column | str, depth: int = 2) -> Column:
 
 def overlay(*records: Column) -> Column:
     """Later records replace the values of earlier ones; keys keep the place where they first appear."""
-    entries = F.map_entries(records[0])
-    for record in records[1:]:
-        known = F.transform(entries, lambda e: e["key"])
-        fresh = F.filter(F.map_entries(record), lambda e: ~F.array_contains(known, e["key"]))
-        entries = F.concat(
-            F.transform(
-                entries,
-                lambda e: F.when(
-                    F.map_contains_key(record, e["key"]),
-                    F.struct(e["key"].alias("key"), record[e["key"]].alias("value")),
-                ).otherwise(e),
-            ),
-            fresh,
-        )
-    return F.map_from_entries(entries)
+    def value(key: Column) -> Column:
+        return F.coalesce(*[r[key] for r in reversed(records)])
+
+    keys = F.array_distinct(F.concat(*[F.map_keys(r) for r in records]))
+    return F.map_from_entries(F.transform(keys, lambda k: F.struct(k.alias("key"), value(k).alias("value"))))

@@ -113,9 +113,12 @@ def _decode_piece(piece: Column) -> Column:
 
 def decode_entities(c: Column | str) -> Column:
     """One-pass entity decoding in the JVM: each '&' starts a piece, so '&amp;lt;' gives '&lt;'."""
-    c = col(c)
-    pieces = F.transform(F.split(c, "(?=&)"), _decode_piece)
-    return F.when(F.contains(c, F.lit("&")), F.array_join(pieces, "")).otherwise(c)
+
+    def decode(text: Column) -> Column:
+        pieces = F.transform(F.split(text, "(?=&)"), _decode_piece)
+        return F.when(F.contains(text, F.lit("&")), F.array_join(pieces, "")).otherwise(text)
+
+    return let(col(c), decode)
 
 
 @F.pandas_udf(T.StringType())

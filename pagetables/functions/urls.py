@@ -81,9 +81,12 @@ def site_root(url: Column | str) -> Column:
 
 def unquote(c: Column | str) -> Column:
     """Percent-decoding that keeps '+' and leaves broken sequences alone."""
-    c = col(c)
-    safe = F.replace(F.regexp_replace(c, "%(?![0-9A-Fa-f]{2})", "%25"), F.lit("+"), F.lit("%2B"))
-    return F.when(F.contains(c, F.lit("%")), F.try_url_decode(safe)).otherwise(c)
+
+    def decode(text: Column) -> Column:
+        safe = F.replace(F.regexp_replace(text, "%(?![0-9A-Fa-f]{2})", "%25"), F.lit("+"), F.lit("%2B"))
+        return F.when(F.contains(text, F.lit("%")), F.try_url_decode(safe)).otherwise(text)
+
+    return let(col(c), decode)
 
 
 def quote(c: Column | str, keep: str) -> Column:

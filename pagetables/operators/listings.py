@@ -143,7 +143,12 @@ def listing_candidates(nodes: DataFrame, strategies: tuple[int, ...] = (PRODUCT_
 
     def rows(url: Column, image: Column) -> Column:
         same = is_link & (url != "") & U.same_site(url, "url")
-        label = clean_text(F.coalesce(first_truthy(text, image["alt"]), F.lit("")))
+        return let(
+            F.struct(same.alias("same"), clean_text(F.coalesce(first_truthy(text, image["alt"]), F.lit(""))).alias("label")),
+            lambda known: found_rows(url, image, known["same"], known["label"]),
+        )
+
+    def found_rows(url: Column, image: Column, same: Column, label: Column) -> Column:
         found = []
         if PRODUCT_LINK in strategies:
             title = F.when(label != "", label).otherwise(U.title_from_url(url))

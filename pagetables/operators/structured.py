@@ -18,9 +18,11 @@ def jsonld_items(html: Column | str) -> Column:
     """ARRAY<STRUCT<block, idx, text, kind>>: valid scripts, top-level arrays opened one level."""
 
     def items(body: Column, block: Column) -> Column:
-        kind = J.kind_of(F.try_parse_json(body))
-        single = F.array(F.struct(body.alias("text"), kind.alias("kind")))
-        opened = F.when(kind == "ARRAY", J.elements(body)).when(kind.isNotNull() & (kind != ""), single)
+        def opened_as(kind: Column) -> Column:
+            single = F.array(F.struct(body.alias("text"), kind.alias("kind")))
+            return F.when(kind == "ARRAY", J.elements(body)).when(kind != "", single)
+
+        opened = let(J.kind_of(F.try_parse_json(body)), opened_as)
         placed = F.transform(
             opened,
             lambda e, i: F.struct(block.alias("block"), i.alias("idx"), e["text"].alias("text"), e["kind"].alias("kind")),

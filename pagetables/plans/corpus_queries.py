@@ -10,7 +10,7 @@ from pagetables.functions import text as X
 from pagetables.functions import urls as U
 from pagetables.operators import catalog, merge, pages as P, ranking
 from pagetables.plans import sqltext as Q
-from pagetables.plans.registry import query, table
+from pagetables.plans.registry import query, spread, table
 from pagetables.sources.pages import page_status, usable_pages
 
 # words of the generated corpus; the defaults target furniture shops
@@ -23,7 +23,7 @@ VOCABULARY = {
 
 
 def pages_of(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "pages")
+    return spread(table(spark, folder, "pages"))
 
 
 @query("read_pages", f"""

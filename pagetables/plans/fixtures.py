@@ -10,13 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagetables.plans.registry import table
+from pagetables.plans.registry import spread, table
 
 SHOP = "'https://shop' || p_size || '.example.com'"
 
 
 def parts(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "part")
+    return spread(table(spark, folder, "part"))
 
 
 def _pages(spark, folder, url: str, html: str) -> DataFrame:
