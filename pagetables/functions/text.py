@@ -141,7 +141,9 @@ def first_price(c: Column | str, strict: bool = False) -> Column:
     """First price-like run. Sign and code are optional; `strict` keeps only matches that carry one."""
     c = F.coalesce(col(c), F.lit(""))
     if not strict:
-        return clean_text(F.regexp_extract(c, f"(?iU){PRICE_PATTERN}", 0))
+        # every price holds a digit; texts without one skip the slow pattern
+        found = F.when(c.rlike(r"(?U)\d"), F.regexp_extract(c, f"(?iU){PRICE_PATTERN}", 0)).otherwise(F.lit(""))
+        return clean_text(found)
     matches = F.regexp_extract_all(c, F.lit(f"(?iU)({PRICE_PATTERN})"), F.lit(1))
     marked = F.filter(matches, lambda m: m.rlike(f"(?iU){CURRENCY_CODES}|{CURRENCY_SIGNS}"))
     return clean_text(F.get(marked, F.lit(0)))

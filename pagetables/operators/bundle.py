@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +15,7 @@ from pagetables.operators.nodes import page_nodes
 from pagetables.operators.pages import page_images, page_links, page_meta
 from pagetables.operators.ranking import first_per_key, top_k
 from pagetables.operators.structured import jsonld_items, structured_rows
+from pagetables.sinks.sheets import SHEETS
 
 # --- fixed values: results depend on these exact texts and numbers -----------
 COUNTERS = [
@@ -98,43 +99,54 @@ def distinct_image_table(listings: DataFrame, order: list[str]) -> DataFrame:
     return first_per_key(rows.filter("src <> ''"), ["site", "src"], [*[F.col(o) for o in order], F.col("pos")])
 
 
-@dataclass
 class Bundle:
-    """Seven lazily evaluated tables; nothing runs before they are written."""
-
-    summary: DataFrame
-    listings: DataFrame
-    categories: DataFrame
-    images: DataFrame
-    links: DataFrame
-    metadata: DataFrame
-    structured_data: DataFrame
+    """The page cascade for a whole corpus as seven tables. Each is built when it is first asked for
+    and runs when it is written."""
+
+    def __init__(self, pages: DataFrame, corpus: DataFrame | None = None) -> None:
+        self.pages = pages
+        self.corpus = pages if corpus is None else corpus  # where detail pages are looked up
+
+    def _sited(self, table: DataFrame) -> DataFrame:
+        return table.join(self.pages.select("page_id", site_of("url").alias("site")), "page_id")
+
+    @cached_property
+    def listings(self) -> DataFrame:
+        found = L.page_listings(page_nodes(self.pages))
+        rich = details.enrich_details(found, details.page_detail(self.corpus))
+        return rich.withColumn("site", site_of("page_url"))
+
+    @cached_property
+    def categories(self) -> DataFrame:
+        return self._sited(embedded_categories(self.pages))
+
+    @cached_property
+    def images(self) -> DataFrame:
+        return self._sited(page_images(self.pages))
+
+    @cached_property
+    def links(self) -> DataFrame:
+        return page_links(self.pages).withColumn("site", site_of("page_url")).drop("page_url")
+
+    @cached_property
+    def metadata(self) -> DataFrame:
+        return self._sited(page_meta(self.pages))
+
+    @cached_property
+    def structured_data(self) -> DataFrame:
+        return self._sited(structured_rows(self.pages))
+
+    @cached_property
+    def summary(self) -> DataFrame:
+        """Title of a site: that of its first page."""
+        counts = site_counts(self.pages, self.listings)
+        first = F.min_by(F.struct("page_id", H.title_text("html").alias("title")), "page_id")
+        titles = self.pages.groupBy(site_of("url").alias("site")).agg(first.alias("_first"))
+        titled = counts.join(titles, "site").withColumn("_title", F.col("_first.title"))
+        return site_summary(titled, F.col("_title"), F.lit("text/html"), F.current_timestamp())
 
     def tables(self) -> dict[str, DataFrame]:
-        return {
-            "Summary": self.summary, "Listings": self.listings, "Categories": self.categories, "Images": self.images,
-            "Links": self.links, "Metadata": self.metadata, "Structured Data": self.structured_data,
-        }
-
-
-def page_bundle(pages: DataFrame, details_from: DataFrame | None = None) -> Bundle:
-    """The page cascade for a whole corpus: listings from the element tree, enriched by their pages."""
-    corpus = pages if details_from is None else details_from
-    found = L.page_listings(page_nodes(pages))
-    rich = details.enrich_details(found, details.page_detail(corpus)).withColumn("site", site_of("page_url"))
-    sites = pages.select("page_id", site_of("url").alias("site"))
-    counts = site_counts(pages, rich)
-    title = F.lit("")
-
-    def sited(table: DataFrame) -> DataFrame:
-        return table.join(sites, "page_id")
-
-    return Bundle(
-        summary=site_summary(counts, title, F.lit("text/html"), F.current_timestamp()),
-        listings=rich,
-        categories=sited(embedded_categories(pages)),
-        images=sited(page_images(pages)),
-        links=page_links(pages).withColumn("site", site_of("page_url")).drop("page_url"),
-        metadata=sited(page_meta(pages)),
-        structured_data=sited(structured_rows(pages)),
-    )
+        names = dict(zip(SHEETS, [
+            "summary", "listings", "categories", "images", "links", "metadata", "structured_data"
+        ]))
+        return {sheet: getattr(self, attribute) for sheet, attribute in names.items()}

@@ -15,6 +15,7 @@ from pagetables.operators.listings import product_link_listings
 from pagetables.operators.merge import merge_by_key
 from pagetables.operators.nodes import page_nodes
 from pagetables.operators.ranking import category_allowance
+from pagetables.session import broadcast_if_small, cut_lineage
 from pagetables.sources.payloads import (
     FEED_COLLECTIONS,
     FEED_PAGE_SIZE,
@@ -124,10 +125,14 @@ def site_catalog(pages: DataFrame, row_limit: int = CATALOG_ROWS, k: int = CATAL
     number of URLs it is the first to show, so one small table per site decides.
     """
     found = discover_catalog_urls(pages, k, **vocabulary)
-    reached = catalog_to_pages(found, pages).select("site", "rank", "name", F.col("url").alias("category_url"), "page_id")
+    # both tables below are read several times: at most k rows per site, and the rows of those pages
+    reached = cut_lineage(
+        catalog_to_pages(found, pages).select("site", "rank", "name", F.col("url").alias("category_url"), "page_id")
+    )
     # semi join first: only the chosen pages are parsed
-    chosen = pages.join(reached.select("page_id").distinct(), "page_id", "left_semi")
-    rows = catalog_page_listings(chosen).join(reached, "page_id").drop("page_id")
+    ids = broadcast_if_small(reached.select("page_id").distinct())
+    chosen = pages.join(ids, "page_id", "left_semi")
+    rows = cut_lineage(catalog_page_listings(chosen).join(reached, "page_id").drop("page_id"))
     with_url = rows.filter("url <> ''")
     owners = with_url.groupBy("site", "url").agg(F.min("rank").alias("rank"))
     added = owners.select("site", "rank").unionByName(rows.filter("url = ''").select("site", "rank"))

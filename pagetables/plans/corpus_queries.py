@@ -70,7 +70,7 @@ def html_to_text(spark, folder):
 
 @query("clean_text", f"SELECT doc_id, {Q.clean('text')} AS text FROM documents")
 def clean_text(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", X.clean_text("text").alias("text"))
+    return spread(table(spark, folder, "documents")).select("doc_id", X.clean_text("text").alias("text"))
 
 
 _CODES = X.CURRENCY_CODES
@@ -83,7 +83,7 @@ _PRICE_SQL = (
 @query("first_price", f"""
 SELECT doc_id, {Q.clean(f"regexp_extract(text, '{_PRICE_SQL}', 0)")} AS price FROM documents""")
 def first_price(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", X.first_price("text").alias("price"))
+    return spread(table(spark, folder, "documents")).select("doc_id", X.first_price("text").alias("price"))
 
 
 @query("same_site", f"""

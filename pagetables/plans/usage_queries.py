@@ -341,10 +341,12 @@ def free_plan_counts(spark, folder):
 WITH {DETAIL_SQL}
 SELECT {Q.host("detail_url")} AS site, unnest(['Images', 'Structured Data']) AS sheet, unnest([2, 3]) * count(*) AS n FROM details GROUP BY 1""")
 def bundle_tables(spark, folder):
-    tables = B.page_bundle(FX.jsonld_pages(spark, folder)).tables()
+    bundle = B.Bundle(FX.jsonld_pages(spark, folder))
+    tables = {"Images": bundle.images, "Links": bundle.links, "Metadata": bundle.metadata,
+              "Structured Data": bundle.structured_data}
     counted = [
         t.groupBy("site").agg(F.count(F.lit(1)).alias("n")).select("site", F.lit(name).alias("sheet"), "n")
-        for name, t in tables.items() if name in ("Images", "Links", "Metadata", "Structured Data")
+        for name, t in tables.items()
     ]
     union = counted[0]
     for t in counted[1:]:

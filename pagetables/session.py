@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -31,6 +32,15 @@ def session(app: str = "pagetables", cpus: int | str = "*", shuffle_partitions:
     return spark
 
 
+def broadcast_if_small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """Broadcast hint for a materialised table of few narrow rows, else the table as it is.
+
+    Without the hint the join shuffles; the planner then filters the big side
+    with a Bloom filter before the shuffle where that pays.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint into the shared folder the cluster names; a temp folder only where none is set."""
     spark = df.sparkSession
