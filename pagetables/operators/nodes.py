@@ -18,8 +18,10 @@ from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from pagetables.functions.text import PRICE_PATTERN
+from pagetables.sources.pages import MAX_HTML_BYTES
 
 # --- fixed values: results depend on these exact texts -----------------------
 CANDIDATE_TAGS = ["article", "li", "div", "section", "a", "tr"]
@@ -28,6 +30,7 @@ CANDIDATE_TAGS = ["article", "li", "div", "section", "a", "tr"]
 TEXT_LIMIT = 2000  # longest piece of an element's text that any operator shows
 TITLE_LIMIT = 240
 ROWS_PER_BATCH = 20_000
+CHARS_PER_BATCH = 32_000_000
 
 NODE_SCHEMA = (
     "page_id bigint, url string, pos int, end_pos int, parent_pos int, depth int, tag string, "
@@ -41,6 +44,9 @@ _ARROW = pa.schema([
 ])
 
 
+_TEXT = _ARROW.get_field_index("text")
+
+
 class _Outline(HTMLParser):
     """Records elements in pre-order. Every start tag opens an element, also void ones; an end
     tag closes the nearest open element of its name and all inside it, or nothing."""
@@ -127,13 +133,17 @@ def _element_rows(page_id: int, url: str, html: str) -> Iterator[tuple]:
     offsets.append(length)
     text = " ".join(pieces)
     digits = [m.start() for m in _DIGIT.finditer(text)]
+    in_link_until = -1
     for pos, tag in enumerate(page.tags):
         start, end = offsets[pos], max(offsets[pos], offsets[page.ends[pos] + 1] - 1)
         price, at = "", bisect_left(digits, start)
         if at < len(digits) and digits[at] < end:
             found = _PRICE.search(text, max(start, digits[at] - _PRICE_LEAD), end)
             price = found.group(0)
-        shown = text if pos == 0 else text[start:min(end, start + TEXT_LIMIT)]
+        whole = pos == 0
+        if tag == "a" and pos > in_link_until:
+            whole, in_link_until = True, page.ends[pos]
+        shown = text[start:end if whole else min(end, start + TEXT_LIMIT)]
         yield (
             page_id, url, pos, page.ends[pos], page.parents[pos], page.depths[pos], tag, page.attrs[pos],
             page.texts[pos], shown, end - start, " ".join(price.split()),
@@ -143,13 +153,15 @@ def _element_rows(page_id: int, url: str, html: str) -> Iterator[tuple]:
 
 def _nodes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows: list[tuple] = []
+    chars = 0
     for batch in batches:
         for page_id, url, html in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html"))):
             for row in _element_rows(page_id, url, html or ""):
                 rows.append(row)
-                if len(rows) >= ROWS_PER_BATCH:
+                chars += len(row[_TEXT])
+                if len(rows) >= ROWS_PER_BATCH or chars >= CHARS_PER_BATCH:
                     yield _batch(rows)
-                    rows = []
+                    rows, chars = [], 0
     if rows:
         yield _batch(rows)
 
@@ -160,9 +172,18 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     )
 
 
-def page_nodes(pages: DataFrame) -> DataFrame:
-    """One row per element, in pre-order; the root row (pos 0) carries the whole page text."""
-    return pages.select("page_id", "url", "html").mapInArrow(_nodes_of, NODE_SCHEMA)
+def _parsable(pages: DataFrame, max_bytes: int) -> DataFrame:
+    return pages.select("page_id", "url", "html").filter(F.octet_length("html") <= max_bytes)
+
+
+def page_nodes(pages: DataFrame, max_bytes: int = MAX_HTML_BYTES) -> DataFrame:
+    """One row per element, in pre-order. `text` is the start of an element's text.
+
+    The root row and links that are not inside another link carry their whole
+    text; these texts do not overlap, so a page never grows by nesting. Pages
+    above the size limit give no rows (`page_status` reports them).
+    """
+    return _parsable(pages, max_bytes).mapInArrow(_nodes_of, NODE_SCHEMA)
 
 
 def _texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,8 +198,8 @@ def _texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def with_tree_text(pages: DataFrame) -> DataFrame:
-    """Pages plus their text in tree order, in one narrow pass."""
-    return pages.select("page_id", "url", "html").mapInArrow(
+def with_tree_text(pages: DataFrame, max_bytes: int = MAX_HTML_BYTES) -> DataFrame:
+    """Pages within the size limit plus their text in tree order, in one narrow pass."""
+    return _parsable(pages, max_bytes).mapInArrow(
         _texts_of, "page_id bigint, url string, html string, text string"
     )

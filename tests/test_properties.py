@@ -141,6 +141,16 @@ def test_page_nodes_text_and_price_against_recursion(spark):
             assert r["price"] == (" ".join(found.group(0).split()) if found else "")
 
 
+def test_long_link_text_is_whole_and_large_pages_are_left_out(spark):
+    long = "word " * 900
+    html = f"<div><a href='/c1'>{long}<b>end</b></a><p>{long}</p></div>"
+    page = spark.createDataFrame([(1, "http://h/", html), (2, "http://h/2", None)], "page_id bigint, url string, html string")
+    rows = nodes.page_nodes(page).collect()
+    lengths = {r["tag"]: (len(r["text"]), r["text_len"]) for r in rows}
+    assert lengths["a"] == (4503, 4503) and lengths["p"] == (2000, 4499) and lengths["document"][0] == lengths["document"][1]
+    assert nodes.page_nodes(page, max_bytes=100).count() == 0
+
+
 def test_discover_categories_label_gives_way(spark):
     html = ('<a href="/c5">عرض الكل</a><a href="/sofa/c5"><b>Sofas</b></a><a href="/beds/c6">عرض الكل</a>'
             '<a href="/x/c7">Chairs</a><a href="/about">About</a>')
