@@ -21,7 +21,6 @@ from pagetables.sources.payloads import (
     FEED_PAGE_SIZE,
     FEED_PRODUCTS,
     cursor_pages,
-    paginate_cursor,
     paginate_numbered,
 )
 
@@ -81,13 +80,15 @@ def store_catalog(
     Products are not de-duplicated across categories. Which rows a category
     may keep depends on page sizes only, so payloads move once, in the join.
     """
-    group = [store, category]
-    orders = pages.select(store, category, category_order).distinct()
-    running = cursor_pages(pages, group, "items", per_category).join(orders, group)
+    group = [store, category, category_order]
+    running = cursor_pages(pages, group, "items", per_category)
     allowed = category_budget(running, store, category, category_order, per_category, per_store)
-    items = paginate_cursor(pages, group, "items", per_category)
-    kept = items.join(allowed.select(store, category, category_order, "allowed"), group)
-    return kept.filter(F.col("idx") <= F.col("allowed")).drop("allowed", "page_seq")
+    kept = running.select(*group, "page_seq", "taken_before").join(allowed.select(*group, "allowed"), group)
+    rows = pages.join(kept, [*group, "page_seq"]).select(
+        *group, "taken_before", "allowed", F.posexplode("items").alias("pos", "item")
+    )
+    idx = F.col("taken_before") + F.col("pos") + 1
+    return rows.withColumn("idx", idx).filter(F.col("idx") <= F.col("allowed")).drop("taken_before", "allowed", "pos")
 
 
 def store_categories(
@@ -95,9 +96,7 @@ def store_categories(
     per_category: int = CATEGORY_ROWS, per_store: int = STORE_ROWS,
 ) -> DataFrame:
     """One summary row per scraped category; categories after the budget is spent are not scraped."""
-    group = [store, category]
-    orders = pages.select(store, category, category_order).distinct()
-    running = cursor_pages(pages, group, "items", per_category).join(orders, group)
+    running = cursor_pages(pages, [store, category, category_order], "items", per_category)
     budget = category_budget(running, store, category, category_order, per_category, per_store)
     return budget.filter(F.col("spent_before") < per_store).select(
         store, category, category_order, F.col("allowed").alias("products_found")

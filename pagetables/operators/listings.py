@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagetables.functions import urls as U
 from pagetables.functions.images import image_src
@@ -181,37 +182,40 @@ def greedy_keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Keep a row when its mark is new and its link is blank or new; only kept rows count as seen.
 
     Rows arrive sorted by (page_id, pos) and a page is never split over
-    partitions, so the seen sets hold one page at a time.
+    partitions, so the seen sets hold one page at a time. `idx` numbers the kept rows of a page.
     """
-    page, prints, urls = None, set(), set()
+    page, prints, urls, count = None, set(), set(), 0
     for batch in batches:
-        keep = []
+        keep, places = [], []
         for page_id, mark, url in zip(batch["page_id"], batch["mark"], batch["link"]):
             if page_id != page:
-                page, prints, urls = page_id, set(), set()
+                page, prints, urls, count = page_id, set(), set(), 0
             fresh = bool(mark) and mark not in prints and not (url and url in urls)
             if fresh:
+                count += 1
+                places.append(count)
                 prints.add(mark)
                 if url:
                     urls.add(url)
             keep.append(fresh)
-        yield batch[keep]
+        yield batch[keep].assign(idx=places)
 
 
 def greedy_dedup_two_key(rows: DataFrame) -> DataFrame:
     """Ordered two-key de-duplication per page (page_id, pos, mark, link + any columns)."""
     by_page = rows.repartition("page_id").sortWithinPartitions("page_id", "pos")
-    return by_page.mapInPandas(greedy_keep, rows.schema)
+    return by_page.mapInPandas(greedy_keep, T.StructType([*rows.schema.fields, T.StructField("idx", T.IntegerType())]))
 
 
 def _finished(kept: DataFrame) -> DataFrame:
-    """Number the kept rows of a page and cut each strategy at its limit."""
-    window = Window.partitionBy("page_id").orderBy("pos")
+    """Cut each strategy at its limit; rows that carry no `idx` yet are numbered per page."""
     limit, source = F.lit(None).cast("int"), F.lit(None).cast("string")
     for strategy in LIMITS:
         limit = F.when(F.col("strategy") == strategy, LIMITS[strategy]).otherwise(limit)
         source = F.when(F.col("strategy") == strategy, F.lit(SOURCES[strategy])).otherwise(source)
-    numbered = kept.withColumn("idx", F.row_number().over(window)).filter(F.col("idx") <= limit)
+    if "idx" not in kept.columns:
+        kept = kept.withColumn("idx", F.row_number().over(Window.partitionBy("page_id").orderBy("pos")))
+    numbered = kept.filter(F.col("idx") <= limit)
     return numbered.withColumn("source", source).select(*LISTING_COLUMNS, "strategy")
 
 

@@ -22,13 +22,11 @@ def with_last(
     """Adds the latest non-NULL `value` of the key at or before each row."""
     at = F.struct(*order)
     rows = df.withColumn("_chunk", F.date_trunc(chunk, F.col(ts))).withColumn("_value", value)
-    per_chunk = rows.filter(F.col("_value").isNotNull()).groupBy(key, "_chunk").agg(F.max_by("_value", at).alias("_v"))
-    # chunks without a value need the carry as well
-    chunks = rows.groupBy(key, "_chunk").agg(F.lit(True).alias("_any"))
+    # a chunk without a value gives NULL and passes the carry on
+    latest = F.max_by("_value", F.when(F.col("_value").isNotNull(), at))
+    chunks = rows.groupBy(key, "_chunk").agg(latest.alias("_v"))
     before = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = chunks.join(per_chunk, [key, "_chunk"], "left").select(
-        key, "_chunk", F.last("_v", ignorenulls=True).over(before).alias("_carry")
-    )
+    carry = chunks.select(key, "_chunk", F.last("_v", ignorenulls=True).over(before).alias("_carry"))
     inside = Window.partitionBy(key, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     here = F.last("_value", ignorenulls=True).over(inside)
     return (
