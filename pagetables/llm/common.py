@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BATCH_BYTES = 8 << 20
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,6 +67,27 @@ def map_batches(df: DataFrame, fn: Callable[[dict[str, list]], Iterable[dict[str
     return df.mapInArrow(run, schema)
 
 
+def judged(df: DataFrame, fn: Callable[[list], dict[str, list]], schema: str) -> DataFrame:
+    """`df` (text and others) without its text and with the columns of `schema` that `fn` gives for a list of texts.
+
+    The other columns pass as Arrow arrays, whatever their type.
+    """
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    added = spark.createDataFrame([], schema).schema
+    kinds = [(f.name, _arrow(f.dataType)) for f in added]
+    kept = [c for c in df.columns if c != "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                got = fn([t or "" for t in part.column("text").to_pylist()])
+                columns = [part.column(c) for c in kept] + [pa.array(got[name], kind) for name, kind in kinds]
+                yield pa.RecordBatch.from_arrays(columns, names=[*kept, *(name for name, _ in kinds)])
+
+    return df.mapInArrow(run, T.StructType([*df.select(*kept).schema, *added]))
+
+
 def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that no part is much larger than BATCH_BYTES, but for single rows that are."""
     parts = max(1, -(-batch.nbytes // BATCH_BYTES))
@@ -106,3 +128,27 @@ def block_pairs(df: DataFrame, keys: list[str], member: str, block: int) -> Data
         .withColumn("block_b", F.greatest("own", "other"))
         .drop("group_rows", "blocks", "other")
     )
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(id, root) for every node of `edges` (a, b: long): root is the smallest node of its connected component.
+
+    Large-star and small-star rounds: each moves edges to smaller neighbours only, so the number of edges does not
+    grow and no node's neighbours are gathered in one task. Every round is written to the shared folder.
+    """
+    known = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    seen = None
+    while True:
+        sides = known.union(known.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = sides.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = sides.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        known = written(small.union(low.select("a", F.col("m").alias("b"))).distinct())
+        now = known.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).collect()[0]
+        if now == seen:
+            break
+        seen = now
+    roots = known.select(F.col("a").alias("id"), F.col("b").alias("root"))
+    return roots.union(known.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())

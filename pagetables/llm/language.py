@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagetables.llm.common import map_batches, query, table
+from pagetables.llm.common import judged, map_batches, query, table
 from pagetables.llm.vectors import GOLDEN, SPACE, code_points, is_kind, mixed
 
 SIZES = (3, 4)
@@ -101,8 +101,8 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]
     return names, masks
 
 
-def predict(docs: DataFrame, names: list[str], masks: np.ndarray, keep: list[str]) -> DataFrame:
-    """The columns `keep` of `docs` and lang_pred, score for every row; only `text` is looked at.
+def predict(docs: DataFrame, names: list[str], masks: np.ndarray) -> DataFrame:
+    """`docs` without its text and with lang_pred, score for every row; only the text is looked at.
 
     A text that is null or has no letter, and any text when no language was learned, is `und` with score 0. Ties go
     to the first language by name.
@@ -111,8 +111,7 @@ def predict(docs: DataFrame, names: list[str], masks: np.ndarray, keep: list[str
     false = fill ** PROBES
     shared = docs.sparkSession.sparkContext.broadcast(masks)  # SLOTS words for each 63 languages: 2 MB
 
-    def fn(columns):
-        texts = [t or "" for t in columns["text"]]
+    def fn(texts):
         hashes, owners, seen = grams(texts)
         slots = probes(hashes)
         total = np.bincount(owners, minlength=len(texts))
@@ -129,22 +128,28 @@ def predict(docs: DataFrame, names: list[str], masks: np.ndarray, keep: list[str
         best = net.argmax(axis=1) if names else np.zeros(len(texts), int)
         sums = net.sum(axis=1)
         known = seen & bool(names)
-        yield {
-            **{c: columns[c] for c in keep},
+        return {
             "lang_pred": [names[b] if k else UNKNOWN for b, k in zip(best.tolist(), known.tolist())],
             "score": [float(net[i, best[i]] / sums[i]) if known[i] and sums[i] > 0 else 0.0 for i in range(len(texts))],
         }
 
-    inputs = docs.select(*dict.fromkeys([*keep, "text"]))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inputs.schema if f.name in keep)
-    return map_batches(inputs, fn, f"{kinds}, lang_pred string, score double")
+    return judged(docs, fn, "lang_pred string, score double")
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of every row of `docs` (doc_id, text, lang), learned from rows not held out."""
-    base = docs.select("doc_id", "text", "lang").withColumn("held_out", held_out())
-    names, masks = learn(base.filter(~F.col("held_out")))
-    return predict(base, names, masks, ["doc_id", "held_out"])
+    """doc_id, held_out, lang_pred, score of every row of `docs` (doc_id, text, lang), learned from rows not held out.
+
+    Repeated rows stay; other columns are ignored; an empty table gives no rows.
+    """
+    names, masks = learn(docs.filter(~held_out()))
+    return predict(docs.select("doc_id", held_out().alias("held_out"), "text"), names, masks)
+
+
+def known_language(docs: DataFrame) -> DataFrame:
+    """The rows of `docs`, all columns, whose text has a language that could be learned."""
+    names, masks = learn(docs.filter(~held_out()))
+    rows = predict(docs.select(F.struct(*docs.columns).alias("row"), "text"), names, masks)
+    return rows.filter(F.col("lang_pred") != UNKNOWN).select("row.*")
 
 
 @query("op3_language_id")

@@ -7,9 +7,13 @@ share sequences, every sequence is full, and only the last one of the corpus nee
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +28,9 @@ KNOWN = 400_000
 #: Ranges of the curve, at most; rows of a range for smaller corpora.
 RANGES, RANGE_ROWS = 4096, 20_000
 
+#: Latin letters, then marks that are neither letters, digits, white space nor apostrophes and start no special token.
+SIMPLE = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-%*-.:;=?@\\[\\]^_|~]*)")
+
 _state: dict = {}
 
 
@@ -35,42 +42,72 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 class Encoder:
-    """Ids of whole texts as bytes of unsigned 16- or 32-bit numbers.
+    """Ids of whole texts as unsigned 16- or 32-bit numbers.
 
     White space never lies inside a token of this vocabulary's words, so the ids of a text are those of its chunks
-    between ASCII blanks, one after the other; each chunk is encoded once while it is remembered.
+    between ASCII blanks, one after the other. Each chunk is encoded once a batch, and not again while it is
+    remembered. Chunks of Latin letters with a run of marks behind go to the tokenizer's model as the one or two words
+    that its own rules would cut; every other chunk takes the tokenizer's whole path.
     """
 
     def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.kind = "<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
-        self.end = np.array([END], dtype=self.kind).tobytes()
+        self.simple = self.tokenizer.normalizer is not None and "Lowercase" in str(self.tokenizer.normalizer)
+        self.code = "H" if self.kind == "<u2" else "I"
+        self.letters: dict[str, str] = {}
         self.known: dict[str, bytes] = {"": b""}
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        chunks = [_chunks(t) for t in texts]
-        known = self.known
-        missing = list({c for chunk in chunks for c in chunk if c not in known})
-        if len(known) + len(missing) > KNOWN:
-            known.clear()
-            known[""] = b""
-            missing = list({c for chunk in chunks for c in chunk if c})
-        for start in range(0, len(missing), 4096):
-            part = missing[start:start + 4096]
-            for chunk, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[chunk] = np.array(got.ids, dtype=self.kind).tobytes()
-        return [b"".join(map(known.__getitem__, chunk)) + self.end for chunk in chunks]
-
-
-def _chunks(text: str) -> list[str]:
-    for blank in "\t\n\r\x0b\x0c":
-        text = text.replace(blank, " ")
-    return text.split(" ")
+    def _word(self, word: str) -> bytes:
+        found = self.known.get(word)
+        if found is None:
+            spelled = word if word.isascii() else "".join(map(self._spell, word))
+            found = self.known[word] = array(self.code, [t.id for t in self.model.tokenize(spelled)]).tobytes()
+        return found
+
+    def _spell(self, letter: str) -> str:
+        found = self.letters.get(letter)
+        if found is None:
+            found = self.letters[letter] = self.bytes.pre_tokenize_str(letter)[0][0]
+        return found
+
+    def chunk(self, chunk: str) -> bytes:
+        found = self.known.get(chunk)
+        if found is not None:
+            return found
+        parts = SIMPLE.fullmatch(chunk) if self.simple else None
+        if parts:
+            word, marks = parts.groups()
+            return self._word(word.lower()) + self._word(marks) if marks else self._word(word.lower())
+        found = array(self.code, self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+        self.known[chunk] = found
+        return found
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text, with the end id behind."""
+        if len(self.known) > KNOWN:
+            self.known = {"": b""}
+        chunks = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        coded = chunks.flatten().dictionary_encode()
+        each = list(map(self.chunk, coded.dictionary.to_pylist()))
+        width = np.dtype(self.kind).itemsize
+        sizes = np.fromiter((len(e) // width for e in each), np.int64, len(each))
+        begins = np.concatenate([[0], np.cumsum(sizes)])[:-1]
+        flat = np.frombuffer(b"".join(each), dtype=self.kind)
+        index = coded.indices.to_numpy()
+        lengths = sizes[index]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        ids = flat[np.repeat(begins[index] - ends[:-1], lengths) + np.arange(ends[-1])]
+        cuts = ends[chunks.offsets.to_numpy() - chunks.offsets[0].as_py()]
+        end = np.array([END], dtype=self.kind)
+        return [np.concatenate([ids[a:b], end]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
 
 
 def projection() -> np.ndarray:
@@ -121,10 +158,9 @@ def tokenized(docs: DataFrame, path=vocabulary_path) -> DataFrame:
         if "encoder" not in _state:
             _state["encoder"] = Encoder(path())
         coder = _state["encoder"]
-        got = coder.encode([t or "" for t in columns["text"]])
-        ids = [np.frombuffer(g, dtype=coder.kind) for g in got]
+        ids = coder.encode([t or "" for t in columns["text"]])
         yield {"doc_id": columns["doc_id"], "doc_tokens": [len(i) for i in ids], "width": [np.dtype(coder.kind).itemsize] * len(ids),
-               "place": places(ids).tolist(), "ids": got}
+               "place": places(ids).tolist(), "ids": [i.tobytes() for i in ids]}
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return map_batches(docs.select("doc_id", "text"), fn, f"doc_id {kind}, doc_tokens long, width int, place long, ids binary")

@@ -153,6 +153,16 @@ def masked(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) > 0, F.aggregate(order, start, step, close)).otherwise(text)
 
 
+def without_personal_data(docs: DataFrame) -> DataFrame:
+    """The rows of `docs`, all columns, with every span masked in text and, where there is such a column, n_chars counted anew."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    spans = F.concat(*[scored(k, F.col("text")) for k in KINDS])
+    clean = rows.select("row", "text", spans.alias("spans")).select("row", masked(F.col("text"), F.col("spans")).alias("clean"))
+    clean = clean.withColumn("clean", F.when(F.col("row.text").isNotNull(), F.col("clean")))
+    fresh = {"text": F.col("clean"), "n_chars": F.length("clean").cast("long")}
+    return clean.select(*[fresh.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+
+
 @query("op8_pii")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(table(spark, sf_dir, "documents")).drop("scored")
