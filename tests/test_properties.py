@@ -182,7 +182,7 @@ def test_write_bundle_and_read_back(spark, tmp_path):
     assert counts == [13, 2, 0, 2, 2, 1, 0]
     summary = {r["field"]: r["value"] for r in spark.read.parquet(paths[0]).collect()}
     assert summary["Listings found"] == "2" and summary["Model numbers found"] == "2"
-    assert summary["Page title"] == "Sample Listings"
+    assert summary["Page title"] == "Living room"
     assert sheets.empty_sheet(tables["Categories"], "Categories").first()["text"] == sheets.EMPTY_SHEET
 
 
