@@ -66,42 +66,42 @@ def signatures(texts: list[str]) -> list[bytes | None]:
     return out
 
 
-class Sets:
-    """Disjoint sets over 0..n-1."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-    def join(self, i: int, j: int) -> None:
-        a, b = self.root(i), self.root(j)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
-
-
 def alike(minima: np.ndarray, tree: int, depth: int) -> list[int]:
-    """The root of each row, rows linked that agree in AGREE of their minima; deeper common prefixes go first."""
+    """A row of the same group for each row; rows that agree in AGREE of their minima are one group."""
     n, least = len(minima), AGREE * minima.shape[1]
-    sets = Sets(n)
+    label = np.arange(n)
     own = minima[:, tree * DEPTH:(tree + 1) * DEPTH]
     order = np.lexsort(own.T[::-1])
+    close = (minima[order[1:]] == minima[order[:-1]]).sum(axis=1) >= least
     for level in range(DEPTH, depth - 1, -1):  # neighbours in the sorted trie that share the whole prefix, then shorter ones
-        near = (own[order[1:], :level] == own[order[:-1], :level]).all(axis=1)
-        for i, j in zip(order[:-1][near].tolist(), order[1:][near].tolist()):
-            if sets.root(i) != sets.root(j) and (minima[i] == minima[j]).sum() >= least:
-                sets.join(i, j)
-    for i in range(n - 1):  # what the neighbours left apart
-        rest = np.array([sets.root(j) for j in range(i + 1, n)]) != sets.root(i)
-        if rest.any():
-            js = np.flatnonzero(rest) + i + 1
-            for j in js[(minima[js] == minima[i]).sum(axis=1) >= least].tolist():
-                sets.join(i, j)
-    return [sets.root(i) for i in range(n)]
+        near = close & (own[order[1:], :level] == own[order[:-1], :level]).all(axis=1)
+        run = np.concatenate([[0], np.cumsum(~near)])
+        heads = order[np.searchsorted(run, np.arange(run[-1] + 1))]
+        label[order] = heads[run]
+        if run[-1] == 0:
+            return label.tolist()
+    for i in range(n):  # what the neighbours left apart
+        others = np.flatnonzero(label != label[i])
+        if not len(others):
+            break
+        found = others[(minima[others] == minima[i]).sum(axis=1) >= least]
+        if len(found):
+            label[np.isin(label, label[found])] = label[i]
+    return label.tolist()
+
+
+def groups(linked: np.ndarray) -> list[int]:
+    """The first row of each row's connected group in a symmetric matrix of links."""
+    n = len(linked)
+    label = np.full(n, -1)
+    for i in range(n):
+        if label[i] < 0:
+            label[i] = i
+            edge = np.array([i])
+            while len(edge):
+                edge = np.flatnonzero(linked[edge].any(axis=0) & (label < 0))
+                label[edge] = i
+    return label.tolist()
 
 
 def verified(sets: list[np.ndarray], own: np.ndarray, a: int, b: int, similarity: float) -> tuple[np.ndarray, list[int]]:
@@ -139,10 +139,7 @@ def verified(sets: list[np.ndarray], own: np.ndarray, a: int, b: int, similarity
     np.fill_diagonal(linked, False)
     if a != b:
         linked &= own[:, None] != own[None, :]
-    groups = Sets(n)
-    for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(linked)))):
-        groups.join(i, j)
-    return linked.sum(axis=1), [groups.root(i) for i in range(n)]
+    return linked.sum(axis=1), groups(linked)
 
 
 def _calls(df: DataFrame, keys: list[str]) -> DataFrame:
