@@ -18,7 +18,6 @@ COMMENTS = r"(?is)<!--.*?(?:-->|\z)"
 # possessive, so that a long tag costs no backtracking and no stack
 INSIDE_TAG = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
 ATTRIBUTE = r"""([^\s"'<>/=][^\s/>=]*(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]*))?)"""
-PAIRED_ELEMENT = r"(?s)<([A-Za-z][A-Za-z0-9-]*)\b[^>]*>[^<]*</\1\s*>|<[^>]*/>"
 
 IMAGES_PER_PAGE = 500
 LINKS_PER_PAGE = 1000
@@ -90,11 +89,27 @@ def image_array(html: Column | str) -> Column:
 
 
 def _direct_text(inner: Column) -> Column:
-    """Text that sits directly under an element, given its inner markup."""
-    for _ in range(3):
-        inner = F.regexp_replace(inner, PAIRED_ELEMENT, " ")
-    inner = F.regexp_replace(inner, r"(?s)<[A-Za-z].*$", "")
-    return clean_text(decode_entities(F.regexp_replace(inner, r"<[^>]*>", " ")))
+    """Text that sits directly under an element, given its inner markup, at any depth of nesting.
+
+    As in the element table, every start tag opens an element, and an end tag closes the nearest open element of its
+    name with all inside it, or nothing.
+    """
+    tokens = F.regexp_extract_all(inner, F.lit(rf"(?s)(</?[A-Za-z]{INSIDE_TAG}>|[^<]++|<)"), F.lit(1))
+    names = F.array().cast("array<string>")
+    start = F.struct(names.alias("open"), names.alias("own"))
+
+    def step(acc: Column, token: Column) -> Column:
+        name = F.lower(F.regexp_extract(token, r"^</?([A-Za-z][^\s/>]*)", 1))
+        from_end = F.array_position(F.reverse(acc["open"]), name)
+        closed = F.when(from_end > 0, F.slice(acc["open"], 1, (F.size(acc["open"]) - from_end).cast("int"))).otherwise(acc["open"])
+        opened = F.when(token.rlike(r"(?s)/>$"), acc["open"]).otherwise(F.array_append(acc["open"], name))
+        now = F.when(name == "", acc["open"]).when(F.startswith(token, F.lit("</")), closed).otherwise(opened)
+        own = F.when((name == "") & (F.size(acc["open"]) == 0), F.array_append(acc["own"], token)).otherwise(acc["own"])
+        return F.struct(now.alias("open"), own.alias("own"))
+
+    pieces = F.aggregate(tokens, start, step, lambda acc: acc["own"])
+    marked = F.contains(inner, F.lit("<"))
+    return clean_text(decode_entities(F.when(marked, F.array_join(pieces, " ")).otherwise(inner)))
 
 
 def link_array(html: Column | str) -> Column:

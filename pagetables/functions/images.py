@@ -16,6 +16,9 @@ SOURCE_ATTRIBUTES = ["src", "data-src", "data-original", "data-lazy", "data-imag
 SRCSET_ATTRIBUTES = ["srcset", "data-srcset"]
 IMAGE_EXTENSION = r"(?i)\.(?:png|jpe?g|webp|gif)(?:\?|$)"
 SIZE = r"\d+(?:\.\d+)?x\d+(?:\.\d+)?"
+CDN_PART = r"/cdn-cgi/image/[^/]+/"
+SIZE_PARTS = rf"-(?:{SIZE}|width=\d+|height=\d+|fit=[^-]+)(?=-|\.|$)"
+URL_END = r"""/[^\s"'<>]+"""
 # --- end of fixed values -----------------------------------------------------
 
 
@@ -29,10 +32,10 @@ def is_image_url(url: Column | str, hosts: Sequence[str] = IMAGE_HOSTS) -> Colum
 
 def canonical_image_key(url: Column | str) -> Column:
     """File name of an image without its size parts, so that sizes of one picture share a key."""
-    path = F.regexp_replace(unquote(url_path(url)), r"/cdn-cgi/image/[^/]+/", "/")
+    path = F.regexp_replace(unquote(url_path(url)), CDN_PART, "/")
     # what follows the first size part that has text behind it, else the whole name
     tail = F.regexp_replace(F.substring_index(path, "/", -1), rf"^.*?-{SIZE}-(.+)$", "$1")
-    name = F.regexp_replace(tail, rf"-(?:{SIZE}|width=\d+|height=\d+|fit=[^-]+)(?=-|\.|$)", "")
+    name = F.regexp_replace(tail, SIZE_PARTS, "")
     return F.coalesce(F.nullif(F.regexp_replace(name, rf"-{SIZE}-", "-"), F.lit("")), path)
 
 
@@ -83,6 +86,6 @@ def image_urls_in_text(value: Column | str, hosts: Sequence[str] = IMAGE_HOSTS)
     """Image URLs of the given CDN hosts inside raw text, in order, duplicates kept."""
     text = F.replace(decode_entities(F.coalesce(col(value), F.lit(""))), F.lit("\\/"), F.lit("/"))
     host = "|".join(h.replace(".", r"\.") for h in hosts)
-    found = F.regexp_extract_all(text, F.lit(rf"""(https://(?:{host})/[^\s"'<>]+)"""), F.lit(1))
+    found = F.regexp_extract_all(text, F.lit(rf"(https://(?:{host}){URL_END})"), F.lit(1))
     cut = F.transform(found, lambda u: F.substring_index(F.substring_index(u, "&quot;", 1), "\\", 1))
     return F.filter(cut, lambda u: is_image_url(u, hosts))

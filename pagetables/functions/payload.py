@@ -7,8 +7,12 @@ apart ("5" is not 5, "{}" is not {}). `fields` zips both.
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagetables.functions.images import dedup_by_key, is_image_url
 from pagetables.functions.text import clean_text, col, let
@@ -34,10 +38,6 @@ def kind_of(value: Column) -> Column:
     return F.regexp_replace(name, "^(BIGINT|DECIMAL|DOUBLE|FLOAT)$", "NUMBER")
 
 
-def valid_json(text: Column | str) -> Column:
-    return F.try_parse_json(col(text)).isNotNull()
-
-
 def fields(text: Column | str) -> Column:
     """MAP<key, STRUCT<text, kind>> of an object, in key order; empty for anything else."""
     text = col(text)
@@ -105,34 +105,12 @@ def nested_text(text: Column | str, *keys: str) -> Column:
     return scalar_text(current[keys[-1]])
 
 
-def _plain_value(value: Column) -> Column:
-    return (
-        F.when(value["kind"] == "STRING", clean_text(value["text"]))
-        .when(value["kind"].isin("OBJECT", "ARRAY"), value["text"])
-        .when(is_truthy(value), scalar_text(value))
-        .otherwise(F.lit(""))
-    )
-
-
-def _named_value(value: Column) -> Column:
-    """An object stands for its name, else its @id, else its JSON."""
-
-    def named(record: Column) -> Column:
-        return (
-            F.when(F.map_contains_key(record, "name"), _plain_value(record["name"]))
-            .when(F.map_contains_key(record, "@id"), _plain_value(record["@id"]))
-            .otherwise(value["text"])
-        )
-
-    return F.when(value["kind"] == "OBJECT", let(fields(value["text"]), named)).otherwise(_plain_value(value))
-
-
 def text_value(value: Column) -> Column:
-    """Readable text of a JSON-LD value; a list joins its non-blank items by ', '."""
-    items = F.filter(F.transform(elements(value["text"]), _named_value), lambda t: t != "")
-    return F.coalesce(
-        F.when(value["kind"] == "ARRAY", F.array_join(items, ", ")).otherwise(_named_value(value)), F.lit("")
-    )
+    """Readable text of a JSON value: an object stands for its name, else its @id, else its JSON; a list joins its
+    non-blank items by ', '. Names may be objects or lists again, at any depth."""
+    nested = value["kind"].isin("OBJECT", "ARRAY")
+    plain = F.when(value["kind"] == "STRING", clean_text(value["text"])).when(is_truthy(value), scalar_text(value))
+    return F.coalesce(F.when(nested, _readable(F.when(nested, value["text"]))).otherwise(plain), F.lit(""))
 
 
 def first_entries(entries: Column) -> Column:
@@ -169,45 +147,77 @@ def flatten_payload(text: Column | str, prefix: str = "") -> Column:
     return let(fields(text), lambda record: let(F.concat(own(record), nested(record)), first_entries))
 
 
-def images_of_record(record: Column, depth: int = 3) -> Column:
-    """Image URLs of an object given as `fields`: the known keys first, then its children, depth first."""
-    named = F.array(*[
-        F.when((record[k]["kind"] == "STRING") & is_image_url(record[k]["text"]), record[k]["text"])
-        for k in IMAGE_KEYS
-    ])
-    children = F.transform(F.map_values(record), lambda v: _images_in(v["text"], v["kind"], depth - 1))
-    return F.concat(F.filter(named, lambda u: u.isNotNull()), F.flatten(children))
-
-
-def _images_in(text: Column, kind: Column, depth: int) -> Column:
-    none = F.array().cast("array<string>")
-    leaf = F.when((kind == "STRING") & is_image_url(text), F.array(text)).otherwise(none)
-    if depth == 0:
-        found = F.regexp_extract_all(text, F.lit(r'"(https?://[^"\s]+)"'), F.lit(1))
-        return F.when(kind.isin("OBJECT", "ARRAY"), F.filter(found, lambda u: is_image_url(u))).otherwise(leaf)
-    # an array of objects is the usual shape: both levels are opened in one step
-    listed = F.when(kind == "ARRAY", elements(text)).otherwise(
-        F.array(F.struct(text.alias("text"), kind.alias("kind")))
-    )
-    found = F.flatten(
-        F.transform(
-            listed,
-            lambda e: F.when(
-                e["kind"] == "OBJECT", let(fields(e["text"]), lambda r: images_of_record(r, depth))
-            ).otherwise(_images_in(e["text"], e["kind"], 0)),
-        )
-    )
-    return F.when(kind.isin("OBJECT", "ARRAY"), found).otherwise(leaf)
-
-
-def collect_images(text: Column | str, depth: int = 2) -> Column:
-    """Image URLs anywhere in a payload, first one per canonical key.
-
-    Objects deeper than `depth` are searched in their text, in text order.
-    """
-    text = col(text)
-    kind = F.when(F.ltrim(text).startswith("["), F.lit("ARRAY")).otherwise(F.lit("OBJECT"))
-    return let(_images_in(text, kind, depth), dedup_by_key)
+def _walk_images(value) -> list[str]:
+    """Texts that may be image URLs, in the order of the walk: of an object the known keys first, then all its values."""
+    out, todo = [], [value]
+    while todo:
+        value = todo.pop()
+        if isinstance(value, dict):
+            out += [v for v in map(value.get, IMAGE_KEYS) if isinstance(v, str)]
+            todo += reversed(list(value.values()))
+        elif isinstance(value, list):
+            todo += reversed(value)
+        elif isinstance(value, str):
+            out.append(value)
+    return [u for u in out if u.startswith(("http://", "https://"))]
+
+
+def _object(text: str | None) -> dict | list:
+    try:
+        return json.loads(text) if text else {}
+    except (ValueError, RecursionError):
+        return {}
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _urls_in(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: _walk_images(_object(t)))
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _urls_of_product(product: pd.Series, detail: pd.Series, options: pd.Series) -> pd.Series:
+    """Listed images of the overlaid records, whatever they look like, then what the walk finds."""
+    out = []
+    for texts in zip(product, detail, options):
+        record: dict = {}
+        for part in map(_object, texts):
+            record.update(part if isinstance(part, dict) else {})
+        image, images = record.get("image"), record.get("images")
+        listed = [record.get("original_image"), image.get("url") if isinstance(image, dict) else None]
+        listed += [i.get("url") if isinstance(i, dict) else i for i in (images if isinstance(images, list) else [])]
+        named = ["\x00" + str(u) for u in listed if u and (isinstance(u, str) or u is listed[0])]
+        out.append(named + _walk_images(record))
+    return pd.Series(out)
+
+
+def _image_urls(found: Column) -> Column:
+    """Listed images as they are (they carry a mark), others where they look like images."""
+    kept = F.filter(found, lambda u: F.startswith(u, F.lit("\x00")) | is_image_url(u))
+    return dedup_by_key(F.transform(kept, lambda u: F.regexp_replace(u, "^\x00", "")))
+
+
+def collect_images(text: Column | str) -> Column:
+    """Image URLs anywhere in a payload, at any depth, first one per canonical key. One Arrow-batched walk per payload."""
+    return _image_urls(_urls_in(col(text)))
+
+
+def product_images(product: Column | str, detail: Column | str, options: Column | str) -> Column:
+    """Images of a store product: listed ones first, then those at any depth of its overlaid records."""
+    return _image_urls(_urls_of_product(col(product), col(detail), col(options)))
+
+
+@F.pandas_udf(T.StringType())
+def _readable(texts: pd.Series) -> pd.Series:
+    def text_of(value) -> str:
+        while isinstance(value, dict) and ("name" in value or "@id" in value):
+            value = value["name"] if "name" in value else value["@id"]
+        if isinstance(value, dict):
+            return json.dumps(value, ensure_ascii=False)
+        if isinstance(value, list):
+            return ", ".join(t for t in map(text_of, value) if t)
+        return " ".join(str(value or "").split())
+
+    return texts.map(lambda t: text_of(_object(t)))
 
 
 def overlay(*records: Column) -> Column:

@@ -7,8 +7,9 @@ JVM and inside code generation.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from html import unescape
+from html.entities import html5
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,24 +32,17 @@ BOILERPLATE_WARNING = (
     r"The HTTPS certificate could not be verified by this Python installation,?\s*"
     r"so the page was fetched with relaxed certificate checking\.?"
 )
+WARNING_REST = "Note: ."
 # --- end of fixed values -----------------------------------------------------
 
 SPACE_CLASS = r"[\s\x1c-\x1f]"
 
-# Entity names that pages use in practice. The full HTML set is in `unescape_html`.
-ENTITIES = {
-    "amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ",
-    "copy": "©", "reg": "®", "trade": "™", "middot": "·", "bull": "•", "hellip": "…",
-    "ndash": "–", "mdash": "—", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”",
-    "laquo": "«", "raquo": "»", "euro": "€", "pound": "£", "yen": "¥", "cent": "¢",
-    "times": "×", "deg": "°", "eacute": "é", "egrave": "è", "agrave": "à", "ccedil": "ç",
-    "uuml": "ü", "ouml": "ö", "auml": "ä", "szlig": "ß", "ntilde": "ñ", "iquest": "¿",
-}
-# Names that are also decoded without a closing semicolon.
-OPEN_ENTITIES = [
-    "amp", "lt", "gt", "quot", "nbsp", "copy", "reg", "middot", "laquo", "raquo", "pound", "yen", "cent",
-    "times", "deg", "eacute", "egrave", "agrave", "ccedil", "uuml", "ouml", "auml", "szlig", "ntilde", "iquest",
-]
+# All HTML entities, from the standard library's table. Pages use few of them, so those are looked up first.
+COMMON = ["amp", "lt", "gt", "quot", "apos", "nbsp", "copy", "reg", "middot", "euro", "hellip", "ndash", "mdash", "rsquo", "lsquo"]
+ENTITIES = {name[:-1]: text for name, text in html5.items() if name.endswith(";")}
+# Names that are also decoded without a closing semicolon, and numbers that stand for something else or nothing.
+OPEN_ENTITIES = sorted((name for name in html5 if not name.endswith(";")), key=lambda n: (-len(n), n))
+ODD_NUMBERS = {n: unescape(f"&#{n};") for n in range(160) if unescape(f"&#{n};") != chr(n)}
 
 
 def col(c: Column | str) -> Column:
@@ -89,24 +83,41 @@ def _sql_text(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _sql_map(pairs: dict[str, str]) -> Column:
+    return F.expr(f"map({', '.join(_sql_text(x) for pair in pairs.items() for x in pair)})")
+
+
+def _named(name: Column) -> Column:
+    common = _sql_map({n: ENTITIES[n] for n in COMMON})
+    return F.coalesce(common[name], F.when(name != "", _sql_map(ENTITIES)[name]))
+
+
+def _numbered(digits: Column, base: int) -> Column:
+    """Character of a number; what is no character or a control character follows the HTML rules."""
+    short = F.regexp_replace(digits, "^0+", "")
+    number = F.when(F.length(short) > 8, F.lit(1 << 40)).otherwise(F.coalesce(F.conv(short, base, 10).try_cast("bigint"), F.lit(0)))
+    odd = F.expr(f"map({', '.join(f'{n}L, {_sql_text(t)}' for n, t in ODD_NUMBERS.items())})")
+    nothing = number.between(0xFDD0, 0xFDEF) | (F.pmod(number, F.lit(0x10000)) >= 0xFFFE)
+    return (
+        F.when((number > 0x10FFFF) | number.between(0xD800, 0xDFFF), F.lit("\ufffd"))
+        .when(number < 160, F.coalesce(odd[number], code_point(number)))
+        .when(nothing, F.lit(""))
+        .otherwise(code_point(number))
+    )
+
+
 def _decode_piece(piece: Column) -> Column:
     """A piece is a text that starts at '&' and holds no other '&'."""
-    named = F.expr(f"map({', '.join(_sql_text(x) for pair in ENTITIES.items() for x in pair)})")
-    name = F.regexp_extract(piece, r"^&([A-Za-z]+);", 1)
-    dec = F.regexp_extract(piece, r"^&#([0-9]{1,7});?", 1)
-    hexa = F.regexp_extract(piece, r"^&#[xX]([0-9a-fA-F]{1,6});?", 1)
+    name = F.regexp_extract(piece, r"^&([A-Za-z][A-Za-z0-9]*);", 1)
+    dec = F.regexp_extract(piece, r"^&#([0-9]+);?", 1)
+    hexa = F.regexp_extract(piece, r"^&#[xX]([0-9a-fA-F]+);?", 1)
     bare = F.regexp_extract(piece, rf"^&({'|'.join(OPEN_ENTITIES)})", 1)
-    number = F.when(dec != "", dec.try_cast("bigint")).otherwise(F.conv(hexa, 16, 10).try_cast("bigint"))
-    numeric = F.when(
-        (number == 0) | (number > 0x10FFFF) | number.between(0xD800, 0xDFFF), F.lit("�")
-    ).otherwise(code_point(number))
+    known = _named(name)
     return (
-        F.when(
-            (name != "") & named[name].isNotNull(),
-            F.concat(named[name], F.substr(piece, F.length(name) + 3)),
-        )
-        .when((dec != "") | (hexa != ""), F.concat(numeric, F.regexp_replace(piece, r"^&#[xX]?[0-9a-fA-F]+;?", "")))
-        .when(bare != "", F.concat(named[bare], F.substr(piece, F.length(bare) + 2)))
+        F.when(piece.rlike("^&#[0-9]"), F.concat(_numbered(dec, 10), F.regexp_replace(piece, r"^&#[0-9]+;?", "")))
+        .when(piece.rlike("^&#[xX][0-9a-fA-F]"), F.concat(_numbered(hexa, 16), F.regexp_replace(piece, r"^&#[xX][0-9a-fA-F]+;?", "")))
+        .when(known.isNotNull(), F.concat(known, F.substr(piece, F.length(name) + 3)))
+        .when(bare != "", F.concat(_named(bare), F.substr(piece, F.length(bare) + 2)))
         .otherwise(piece)
     )
 
@@ -121,20 +132,11 @@ def decode_entities(c: Column | str) -> Column:
     return let(col(c), decode)
 
 
-@F.pandas_udf(T.StringType())
-def unescape_html(values: pd.Series) -> pd.Series:
-    """Complete HTML entity decoding, Arrow-batched. Use where rare names matter."""
-    from html import unescape
-
-    return values.map(unescape, na_action="ignore")
-
-
-def html_to_text(c: Column | str, full_entities: bool = False) -> Column:
+def html_to_text(c: Column | str) -> Column:
     """Line-breaking tags become blanks, other tags too, entities are decoded, white space collapsed."""
     c = F.coalesce(col(c), F.lit(""))
     # every tag ends up as a blank, so one replacement covers breaking and inline tags alike
-    bare = F.regexp_replace(c, r"<[^>]+>", " ")
-    return clean_text(unescape_html(bare) if full_entities else decode_entities(bare))
+    return clean_text(decode_entities(F.regexp_replace(c, r"<[^>]+>", " ")))
 
 
 def first_price(c: Column | str, strict: bool = False) -> Column:
@@ -149,13 +151,6 @@ def first_price(c: Column | str, strict: bool = False) -> Column:
     return clean_text(F.get(marked, F.lit(0)))
 
 
-def without_first_price(c: Column | str) -> Column:
-    """Text with every occurrence of its first price removed."""
-    c = col(c)
-    price = F.regexp_extract(c, f"(?iU){PRICE_PATTERN}", 0)
-    return clean_text(F.when(price == "", c).otherwise(F.replace(c, price, F.lit(""))))
-
-
 def model_from_text(c: Column | str) -> Column:
     """Value behind a model / item / part / sku / mpn label, cut before the next label word."""
     found = clean_text(F.regexp_extract(F.coalesce(col(c), F.lit("")), f"(?iU){MODEL_LABEL_PATTERN}", 1))
@@ -183,7 +178,7 @@ def clean_warnings(*parts: Column | str) -> Column:
     kept = F.filter(F.array(*[col(p) for p in parts]), lambda p: F.coalesce(p, F.lit("")) != "")
     joined = F.array_join(kept, " ")
     dropped = F.regexp_replace(joined, f"(?iU){BOILERPLATE_WARNING}", "")
-    return clean_text(F.replace(dropped, F.lit("Note: ."), F.lit("")))
+    return clean_text(F.replace(dropped, F.lit(WARNING_REST), F.lit("")))
 
 
 def concat_distinct(array: Column | str, sep: str = " | ") -> Column:

@@ -4,15 +4,22 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagetables.functions import html as H
 from pagetables.functions.urls import site_of
 from pagetables.operators import details, listings as L
-from pagetables.operators.feeds import embedded_categories
+from pagetables.operators.catalogs import site_catalog
+from pagetables.operators.feeds import (
+    detect_platform,
+    embedded_categories,
+    embedded_coverage,
+    embedded_hits,
+    normalize_embedded_hit,
+)
 from pagetables.operators.nodes import page_nodes
-from pagetables.operators.pages import page_images, page_links, page_meta
+from pagetables.operators.pages import page_links, resolved_images
 from pagetables.operators.ranking import first_per_key, top_k
 from pagetables.operators.structured import jsonld_items, structured_rows
 from pagetables.sinks.sheets import SHEETS
@@ -36,8 +43,8 @@ def page_counters(pages: DataFrame) -> DataFrame:
     """Images, links, metadata and JSON-LD items per site, counted inside each page: one small shuffle."""
     per_page = pages.select(
         site_of("url").alias("site"),
-        F.least(F.size(H.image_array("html")), F.lit(H.IMAGES_PER_PAGE)).alias("images"),
-        F.least(F.size(H.link_array("html")), F.lit(H.LINKS_PER_PAGE)).alias("links"),
+        F.size(H.image_array("html")).alias("images"),
+        F.size(H.link_array("html")).alias("links"),
         F.size(H.meta_array("html")).alias("metadata"),
         F.size(jsonld_items("html")).alias("structured_data"),
     )
@@ -86,11 +93,11 @@ def site_summary(counts: DataFrame, title: Column, content_type: Column, scraped
     return exploded.select("site", "idx", "s.field", "s.value")
 
 
-def listing_images(listings: DataFrame, order: list[str], limit: int = LISTING_IMAGES) -> DataFrame:
-    """Images of the listings of a site as (src, alt, title), not de-duplicated, the first ones."""
+def listing_images(listings: DataFrame, order: list[str], limit: int | None = None) -> DataFrame:
+    """Images of the listings of a site as (src, alt, title), not de-duplicated, the first ones or all."""
     rows = listings.select("site", *order, F.col("title").alias("alt"), "title", F.posexplode("images").alias("pos", "src"))
     rows = rows.filter("src <> ''")
-    return top_k(rows, ["site"], [*[F.col(o) for o in order], F.col("pos")], limit)
+    return rows if limit is None else top_k(rows, ["site"], [*[F.col(o) for o in order], F.col("pos")], limit)
 
 
 def distinct_image_table(listings: DataFrame, order: list[str]) -> DataFrame:
@@ -99,30 +106,87 @@ def distinct_image_table(listings: DataFrame, order: list[str]) -> DataFrame:
     return first_per_key(rows.filter("src <> ''"), ["site", "src"], [*[F.col(o) for o in order], F.col("pos")])
 
 
+def _on_site(df: DataFrame, url: str = "url") -> DataFrame:
+    return df.withColumn("site", site_of(url))
+
+
 class Bundle:
     """The page cascade for a whole corpus as seven tables. Each is built when it is first asked for
-    and runs when it is written."""
+    and runs when it is written.
 
-    def __init__(self, pages: DataFrame, corpus: DataFrame | None = None) -> None:
+    Every page takes the first branch of the mode's cascade that applies to it. Feed and store pages take their
+    rows from `products`, listing rows (with site, page_id and url) that `feed_catalog` or `store_listings` made of
+    their payloads; where a site has none there, its pages count as plain pages.
+    """
+
+    def __init__(
+        self, pages: DataFrame, corpus: DataFrame | None = None, mode: str = "auto",
+        products: DataFrame | None = None, product_categories: DataFrame | None = None,
+    ) -> None:
         self.pages = pages
         self.corpus = pages if corpus is None else corpus  # where detail pages are looked up
+        self.mode, self.products, self.product_categories = mode, products, product_categories
+
+    @cached_property
+    def routed(self) -> DataFrame:
+        """The pages with their site and platform; html is read once for the marks."""
+        marks = detect_platform(self.pages, self.mode).select("page_id", "url", "platform")
+        label = F.when(F.col("platform").isin("embedded_search", "generic"), F.col("platform"))
+        if self.products is None:
+            marks = marks.withColumn("platform", F.coalesce(label, F.lit("generic")))
+        else:
+            fed = self.products.select("site").distinct().withColumn("_fed", F.lit(True))
+            known = marks.withColumn("site", site_of("url")).join(fed, "site", "left")
+            marks = known.withColumn("platform", F.when(F.col("_fed"), F.coalesce(label, F.lit("products"))).otherwise(F.coalesce(label, F.lit("generic"))))
+        return marks.select("page_id", "url", "platform")
+
+    def _pages_of(self, platform: str) -> DataFrame:
+        chosen = self.routed.filter(F.col("platform") == platform).select("page_id", "url")
+        return self.pages.join(chosen, ["page_id", "url"], "left_semi")
 
-    def _sited(self, table: DataFrame) -> DataFrame:
-        return table.join(self.pages.select("page_id", site_of("url").alias("site")), "page_id")
+    @cached_property
+    def catalog(self) -> tuple[DataFrame, DataFrame]:
+        """Listings and categories of whole websites, in website mode."""
+        return site_catalog(self._pages_of("generic"))
 
     @cached_property
     def listings(self) -> DataFrame:
-        found = L.page_listings(page_nodes(self.pages))
-        rich = details.enrich_details(found, details.page_detail(self.corpus))
-        return rich.withColumn("site", site_of("page_url"))
+        search = self._pages_of("embedded_search")
+        order = Window.partitionBy("page_id").orderBy("state_no", "index_name", "result_no", "pos")
+        hits = embedded_hits(search).withColumn("page_url", F.col("url")).withColumn("idx", F.row_number().over(order))
+        found = _on_site(normalize_embedded_hit(hits), "page_url").withColumn("visited", F.lit(True))
+        if self.mode == "website":
+            plain = self.catalog[0].withColumn("visited", F.lit(True)).withColumn("detail_status", F.lit("OK"))
+            plain = plain.withColumn("model_number", F.coalesce("model_number", F.lit("")))
+        else:
+            listed = L.page_listings(page_nodes(self._pages_of("generic")))
+            # details are made for wanted pages only
+            wanted = listed.select(details.url_key("url").alias("_key")).distinct()
+            looked = self.corpus.join(wanted, details.url_key(self.corpus["url"]) == wanted["_key"], "left_semi")
+            plain = _on_site(details.enrich_details(listed, details.page_detail(looked)), "page_url")
+        rows = found.unionByName(plain, allowMissingColumns=True)
+        if self.products is not None:
+            fed = self.products.withColumn("visited", F.lit(True))
+            rows = rows.unionByName(fed, allowMissingColumns=True)
+        return rows
 
     @cached_property
     def categories(self) -> DataFrame:
-        return self._sited(embedded_categories(self.pages))
+        coverage = embedded_coverage(self.pages).select("page_id", "api_pages", "warning")
+        rows = _on_site(embedded_categories(self.pages)).join(coverage, "page_id")
+        # the pages of results are counted once for a page, on its first category
+        first = Window.partitionBy("page_id").orderBy("name")
+        rows = rows.withColumn("api_pages", F.when(F.row_number().over(first) == 1, F.col("api_pages")).otherwise(0))
+        if self.mode == "website":
+            rows = rows.unionByName(self.catalog[1].withColumnRenamed("category_url", "url"), allowMissingColumns=True)
+        if self.product_categories is not None:
+            rows = rows.unionByName(self.product_categories, allowMissingColumns=True)
+        return rows
 
     @cached_property
     def images(self) -> DataFrame:
-        return self._sited(page_images(self.pages))
+        rows = self.pages.select("page_id", site_of("url").alias("site"), F.posexplode(resolved_images()).alias("pos", "i"))
+        return rows.select("page_id", "pos", "i.src", "i.alt", "i.title", "site")
 
     @cached_property
     def links(self) -> DataFrame:
@@ -130,19 +194,23 @@ class Bundle:
 
     @cached_property
     def metadata(self) -> DataFrame:
-        return self._sited(page_meta(self.pages))
+        rows = self.pages.select("page_id", site_of("url").alias("site"), F.posexplode(H.meta_array("html")).alias("pos", "m"))
+        return rows.select("page_id", "pos", "m.name", "m.content", "site")
 
     @cached_property
     def structured_data(self) -> DataFrame:
-        return self._sited(structured_rows(self.pages))
+        return structured_rows(self.pages.withColumn("site", site_of("url")), ["page_id", "site"])
+
+    @cached_property
+    def counts(self) -> DataFrame:
+        return site_counts(self.pages, self.listings, self.categories)
 
     @cached_property
     def summary(self) -> DataFrame:
         """Title of a site: that of its first page."""
-        counts = site_counts(self.pages, self.listings)
         first = F.min_by(F.struct("page_id", H.title_text("html").alias("title")), "page_id")
         titles = self.pages.groupBy(site_of("url").alias("site")).agg(first.alias("_first"))
-        titled = counts.join(titles, "site").withColumn("_title", F.col("_first.title"))
+        titled = self.counts.join(titles, "site").withColumn("_title", F.col("_first.title"))
         return site_summary(titled, F.col("_title"), F.lit("text/html"), F.current_timestamp())
 
     def tables(self) -> dict[str, DataFrame]:

@@ -2,35 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagetables.functions import html as H
 from pagetables.functions import urls as U
 from pagetables.functions.payload import DETAIL_KEYS
 from pagetables.functions.text import first_price
-from pagetables.operators.nodes import with_tree_text
+from pagetables.operators.nodes import with_page_tree
 from pagetables.operators.pages import resolved_images
 from pagetables.operators.ranking import first_per_key
 from pagetables.operators.structured import (
     extract_model_number,
-    object_array,
     structured_price,
     structured_value,
 )
 
+# what one visit of a site reads at most; pass these where that is wanted
 DETAIL_PAGES = 250
 DETAIL_IMAGES = 8
+DETAIL_CHARS = 2000
 DETAIL_COLUMNS = [
     "detail_url", "detail_title", "detail_price", "brand", "sku", "mpn", "model_number", "availability",
     "detail_images", "detail_description",
 ]
 
 
-def page_detail(pages: DataFrame) -> DataFrame:
-    """One product record per page. Narrow: one Python pass for the text, the rest built in."""
-    ready = with_tree_text(pages).withColumn("_objects", object_array("html"))
-    images = F.transform(resolved_images(DETAIL_IMAGES), lambda i: i["src"])
+def url_key(url: Column | str) -> Column:
+    """Key of a page in a join by URL: normalised, without its fragment."""
+    return F.regexp_replace(U.normalize_url(url), "#.*$", "")
+
+
+def page_detail(pages: DataFrame, images: int | None = None, description: int | None = None) -> DataFrame:
+    """One product record per page. Narrow: one Python pass for text and JSON-LD, the rest built in.
+
+    `images` and `description` cut the image list and the page text; by default both are whole.
+    """
+    ready = with_page_tree(pages).withColumnRenamed("objects", "_objects")
+    sources = F.transform(resolved_images(images), lambda i: i["src"])
     price = F.nullif(structured_price(F.col("_objects")), F.lit(""))
     return ready.select(
         "page_id",
@@ -42,35 +51,34 @@ def page_detail(pages: DataFrame) -> DataFrame:
         structured_value(F.col("_objects"), DETAIL_KEYS["mpn"]).alias("mpn"),
         extract_model_number("text", F.col("_objects")).alias("model_number"),
         structured_value(F.col("_objects"), DETAIL_KEYS["availability"]).alias("availability"),
-        F.array_join(images, " | ").alias("detail_images"),
-        F.substring("text", 1, 2000).alias("detail_description"),
+        F.array_join(sources, " | ").alias("detail_images"),
+        (F.col("text") if description is None else F.substring("text", 1, description)).alias("detail_description"),
     )
 
 
-def detail_eligibility(listings: DataFrame, limit: int = DETAIL_PAGES) -> DataFrame:
-    """Tags each listing: visit, or why its detail page is skipped. `idx` counts per page."""
+def detail_eligibility(listings: DataFrame, limit: int | None = None) -> DataFrame:
+    """Tags each listing: visit, or why its detail page is skipped. `idx` counts per page; no limit by default."""
     linked = (F.col("url") != "") & U.same_site("url", "page_url")
     status = (
-        F.when(F.col("idx") > limit, F.lit(f"Skipped: detail page limit is {limit}"))
+        F.when(F.lit(limit is not None) & (F.col("idx") > (limit or 0)), F.lit(f"Skipped: detail page limit is {limit}"))
         .when(~F.coalesce(linked, F.lit(False)), F.lit("Skipped: no same-site product URL"))
         .otherwise(F.lit("visit"))
     )
     return listings.withColumn("detail_status", status)
 
 
-def enrich_details(listings: DataFrame, details: DataFrame, limit: int = DETAIL_PAGES) -> DataFrame:
+def enrich_details(listings: DataFrame, details: DataFrame, limit: int | None = None) -> DataFrame:
     """Eligible listings take over their detail record, blanks included; a missing page is a status.
 
     Listings are cut to their eligible part before the join, and the detail
     side has one row per URL, so the join never multiplies rows.
     """
     tagged = detail_eligibility(listings, limit).withColumn(
-        "_key", F.when(F.col("detail_status") == "visit", U.normalize_url("url"))
-    )
-    one_per_url = first_per_key(details, ["detail_url"], [F.col("page_id")]).drop("page_id")
-    joined = tagged.join(
-        one_per_url.withColumn("_hit", F.lit(True)), F.col("_key") == F.col("detail_url"), "left"
+        "_key", F.when(F.col("detail_status") == "visit", url_key("url"))
     )
+    keyed = details.withColumn("_url", url_key("detail_url"))
+    one_per_url = first_per_key(keyed, ["_url"], [F.col("page_id")]).drop("page_id")
+    joined = tagged.join(one_per_url.withColumn("_hit", F.lit(True)), F.col("_key") == F.col("_url"), "left")
     hit = F.coalesce(F.col("_hit"), F.lit(False))
     visited = F.col("detail_status") == "visit"
     status = (
@@ -91,8 +99,8 @@ def enrich_details(listings: DataFrame, details: DataFrame, limit: int = DETAIL_
 
 def catalog_to_pages(catalog: DataFrame, pages: DataFrame) -> DataFrame:
     """Catalog URLs that are in the corpus, with their page; one page per URL."""
-    wanted = catalog.withColumn("_key", U.normalize_url("url"))
-    have = pages.select(F.col("page_id"), F.col("url").alias("page_url"), U.normalize_url("url").alias("_key"))
+    wanted = catalog.withColumn("_key", url_key("url"))
+    have = pages.select(F.col("page_id"), F.col("url").alias("page_url"), url_key("url").alias("_key"))
     have = first_per_key(have, ["_key"], [F.col("page_id")])
     return wanted.join(have, "_key").drop("_key")
 

@@ -44,7 +44,6 @@ FEED_PRODUCT = (
     "images array<string>, variants array<struct<sku:string,barcode:string,price:string,"
     "compare_at_price:string,available:string,inventory_quantity:string,grams:string>>"
 )
-OPTIONS_PER_CATEGORY = 250
 
 
 def _blank(c: Column) -> Column:
@@ -118,14 +117,17 @@ def normalize_feed_product(products: DataFrame, base: Column | str, category: Co
         _blank(F.col("_p.vendor")).alias("brand"),
         F.size("images").alias("image_count"),
         _blank(F.get("images", F.lit(0))).alias("image"),
+        F.array_join("images", " | ").alias("all_images"),
         "images",
         F.concat(base if isinstance(base, Column) else F.col(base), F.lit("/products/"), _blank(F.col("_p.handle"))).alias("url"),
         "description",
+        F.col("description").alias("detail_description"),
         F.lit("OK").alias("detail_status"),
         _blank(F.col("_c.id")).alias("source_category_id"),
         category_name.alias("source_category_name"),
         _blank(F.col("_c.url")).alias("source_category_url"),
         "variant_count",
+        F.coalesce(F.get_json_object("payload", "$.variants"), F.lit("[]")).alias("all_variants"),
         F.col("payload").alias("raw_json"),
         J.flatten_payload("payload", "api_").alias("extra"),
     )
@@ -187,18 +189,24 @@ def hit_rollup(variants: DataFrame, hit: str, order: Sequence[str]) -> DataFrame
     )
 
 
-def enrich_products(products: DataFrame, details: DataFrame, options: DataFrame, key: str, idx: str = "idx") -> DataFrame:
-    """product ⟕ detail ⟕ options on the product id; options only for the first ids of a category.
+def enrich_products(
+    products: DataFrame, details: DataFrame, options: DataFrame, key: str, order: Sequence[str],
+    idx: str = "idx", options_limit: int | None = None,
+) -> DataFrame:
+    """product ⟕ detail ⟕ options on the product id.
 
-    Both lookups have one row per id, so the joins keep the number of products.
-    The cap on options is part of the join condition.
+    The last record of an id in `order` counts, so both lookups have one row per id and the joins keep the number of
+    products. `options_limit` leaves options to the first products of a category.
     """
-    one_detail = first_per_key(details, [key], [F.col("payload")]).select(F.col(key).alias("_dk"), F.col("payload").alias("detail"))
-    one_option = first_per_key(options, [key], [F.col("payload")]).select(F.col(key).alias("_ok"), F.col("payload").alias("options"))
+    def last(records: DataFrame, name: str) -> DataFrame:
+        latest = F.max_by("payload", F.struct(*order))
+        return records.groupBy(F.col(key).alias(f"_{name}_key")).agg(latest.alias(name))
+
+    within = F.lit(True) if options_limit is None else F.col(idx) <= options_limit
     return (
-        products.join(one_detail, F.col(key) == F.col("_dk"), "left")
-        .join(one_option, (F.col(key) == F.col("_ok")) & (F.col(idx) <= OPTIONS_PER_CATEGORY), "left")
-        .drop("_dk", "_ok")
+        products.join(last(details, "detail"), F.col(key) == F.col("_detail_key"), "left")
+        .join(last(options, "options"), (F.col(key) == F.col("_options_key")) & within, "left")
+        .drop("_detail_key", "_options_key")
     )
 
 
@@ -215,29 +223,20 @@ def gallery_images(pages: DataFrame, hosts: Sequence[str] = IMAGE_HOSTS) -> Data
 
 
 def store_records(enriched: DataFrame) -> DataFrame:
-    """Parse product, detail and options once; their overlay decides about images."""
+    """Parse product, detail and options; their overlay decides about images. `all_product_json` is all three as one object."""
     records = enriched.select(
         "*", J.fields("payload").alias("_p"), J.fields("detail").alias("_d"), J.fields("options").alias("_o")
     )
-    return records.withColumn("images", store_images())
-
-
-def store_images(gallery: Column | None = None) -> Column:
-    def listed(record: Column) -> Column:
-        head = F.array(
-            J.truthy_text(record, "original_image"),
-            F.when(record["image"]["kind"] == "OBJECT", J.truthy_text(J.fields(record["image"]["text"]), "url")),
-        )
-        items = F.transform(
-            J.elements(F.when(record["images"]["kind"] == "ARRAY", record["images"]["text"])),
-            lambda e: F.when(e["kind"] == "OBJECT", J.truthy_text(J.fields(e["text"]), "url")).when(
-                e["kind"] == "STRING", e["text"]
-            ),
-        )
-        found = F.concat(head, items, J.images_of_record(record, 1))
-        return dedup_by_key(found if gallery is None else F.concat(found, gallery))
+    whole = F.array(F.col("payload"), prefixed("detail", "detail_"), prefixed("options", "options_"))
+    parts = F.transform(F.filter(whole, lambda t: t.isNotNull()), lambda t: F.regexp_replace(F.trim(t), r"^\{\s*|\s*\}$", ""))
+    joined = F.concat(F.lit("{"), F.array_join(F.filter(parts, lambda t: t != ""), ","), F.lit("}"))
+    return records.withColumn("all_product_json", joined).withColumn("images", J.product_images("payload", "detail", "options"))
 
-    return let(J.overlay(F.col("_p"), F.col("_d"), F.col("_o")), listed)
+
+def prefixed(column: str, prefix: str) -> Column:
+    """JSON object with a prefix before each of its keys."""
+    kept = F.from_json(F.col(column), "map<string,variant>")
+    return F.to_json(F.transform_keys(kept, lambda k, _: F.concat(F.lit(prefix), k)))
 
 
 def enrich_gallery(records: DataFrame, galleries: DataFrame) -> DataFrame:
@@ -264,7 +263,7 @@ def normalize_store_product(records: DataFrame) -> DataFrame:
     described = records.withColumn("description", html_to_text(either("description")))
     model_fields = [(r, k) for k in ("model", "model_number", "sku", "mpn") for r in (d, p)]
     model = F.coalesce(F.nullif(J.first_truthy_text(*model_fields), F.lit("")), model_from_text("description"))
-    kept = [c for c in records.columns if c not in ("payload", "detail", "options", "_p", "_d", "_o", "images")]
+    kept = [c for c in records.columns if c not in ("payload", "detail", "options", "_p", "_d", "_o", "images", "all_product_json")]
     return described.select(
         *kept,
         F.lit(STORE_SOURCE).alias("source"),
@@ -278,10 +277,13 @@ def normalize_store_product(records: DataFrame) -> DataFrame:
         J.nested_text("payload", "brand", "name").alias("brand"),
         F.size("images").alias("image_count"),
         _blank(F.get("images", F.lit(0))).alias("image"),
+        F.array_join("images", " | ").alias("all_images"),
         "images",
         either("url").alias("url"),
         "description",
-        F.col("payload").alias("raw_json"),
+        F.col("description").alias("detail_description"),
+        F.lit("OK").alias("detail_status"),
+        F.col("all_product_json").alias("raw_json"),
         J.overlay(
             J.flatten_payload("payload", "api_"),
             J.flatten_payload(F.coalesce("detail", F.lit("{}")), "api_detail_"),
@@ -347,6 +349,7 @@ def normalize_embedded_hit(hits: DataFrame, base: Column | str = "url", brands:
         J.scalar_text(first["available_quantity"]).alias("quantity"),
         F.size("images").alias("image_count"),
         _blank(F.get("images", F.lit(0))).alias("image"),
+        F.array_join("images", " | ").alias("all_images"),
         "images",
         U.product_url(base, F.coalesce(J.truthy_text(h, "slug"), F.lit(""))).alias("url"),
         base.alias("source_category_url"),
@@ -366,21 +369,19 @@ def embedded_hits(pages: DataFrame) -> DataFrame:
 
 
 def embedded_coverage(pages: DataFrame) -> DataFrame:
-    """Per page: pages of results, hits promised and rendered, and a warning when some are missing."""
-    per_set = read_embedded_state(pages).withColumn("missing", F.col("nb_hits") > F.col("rendered"))
+    """Per page: pages of results, hits promised and rendered, and the warnings of the sets that miss some, in their order."""
+    text = F.format_string("%s exposes %d product results but only %d are on the page", "url", "nb_hits", "rendered")
+    missing = F.col("nb_hits") > F.col("rendered")
+    place = F.struct("state_no", "index_name", "result_no", text.alias("text"))
+    per_set = read_embedded_state(pages).withColumn("missing", missing).withColumn("said", F.when(missing, place))
     rolled = per_set.groupBy("page_id", "url").agg(
         F.max("nb_pages").alias("api_pages"),
         F.sum("nb_hits").alias("nb_hits"),
         F.sum("rendered").alias("rendered"),
         F.count_if("missing").alias("incomplete_sets"),
+        F.array_sort(F.collect_list("said")).alias("said"),  # no more than a page has result sets
     )
-    return rolled.withColumn(
-        "warning",
-        F.when(
-            F.col("incomplete_sets") > 0,
-            F.format_string("%s exposes %d product results but only %d are on the page", "url", "nb_hits", "rendered"),
-        ).otherwise(F.lit("")),
-    )
+    return rolled.withColumn("warning", F.array_join(F.transform("said", lambda w: w["text"]), " ")).drop("said")
 
 
 def embedded_categories(pages: DataFrame) -> DataFrame:

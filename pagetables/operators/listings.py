@@ -1,14 +1,13 @@
 """Listing extraction from the element table.
 
-"First img / a / h1 … at or below an element" is the next such element in
-pre-order, provided that it comes before the element's end. One window over
-the page, read backwards, finds it for all elements at once: no range join.
-Groups are single pages, whose size the scan bounds.
+"First img / a / h1 … at or below an element" comes with the element table, so
+scores, headings, images and links are narrow. Only the candidates that are
+left move, once, to be de-duplicated per page.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -40,7 +39,12 @@ def attr(attrs: Column, name: str) -> Column:
 
 
 def with_firsts(nodes: DataFrame, tags: list[str]) -> DataFrame:
-    """Adds `first_<tag>` for each tag: pos, attrs and text of the first such element at or below each element."""
+    """Adds `first_<tag>` for each tag: pos, attrs and text of the first such element at or below each element.
+
+    The element table brings them along for the elements that can be cards; only a table without them is windowed.
+    """
+    if all(f"first_{t}" in nodes.columns for t in tags):
+        return nodes
     backwards = Window.partitionBy("page_id").orderBy(F.col("pos").desc()).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
@@ -104,6 +108,7 @@ def first_link(base: Column) -> Column:
 
 
 PRODUCT_LINK, CARD, IMAGE_LINK = 0, 1, 2
+# rows per page of each strategy for a caller that wants few; pass it as `limits`
 LIMITS = {
     PRODUCT_LINK: PRODUCT_LINKS_PER_PAGE,
     CARD: CARDS_PER_PAGE,
@@ -207,35 +212,35 @@ def greedy_dedup_two_key(rows: DataFrame) -> DataFrame:
     return by_page.mapInPandas(greedy_keep, T.StructType([*rows.schema.fields, T.StructField("idx", T.IntegerType())]))
 
 
-def _finished(kept: DataFrame) -> DataFrame:
-    """Cut each strategy at its limit; rows that carry no `idx` yet are numbered per page."""
+def _finished(kept: DataFrame, limits: Mapping[int, int] | None) -> DataFrame:
+    """Cut each strategy at its limit, if any; rows that carry no `idx` yet are numbered per page."""
     limit, source = F.lit(None).cast("int"), F.lit(None).cast("string")
-    for strategy in LIMITS:
-        limit = F.when(F.col("strategy") == strategy, LIMITS[strategy]).otherwise(limit)
+    for strategy in SOURCES:
+        limit = F.when(F.col("strategy") == strategy, F.lit((limits or {}).get(strategy))).otherwise(limit)
         source = F.when(F.col("strategy") == strategy, F.lit(SOURCES[strategy])).otherwise(source)
     if "idx" not in kept.columns:
         kept = kept.withColumn("idx", F.row_number().over(Window.partitionBy("page_id").orderBy("pos")))
-    numbered = kept.filter(F.col("idx") <= limit)
+    numbered = kept.filter(limit.isNull() | (F.col("idx") <= limit)) if limits else kept
     return numbered.withColumn("source", source).select(*LISTING_COLUMNS, "strategy")
 
 
-def card_listings(nodes: DataFrame) -> DataFrame:
-    return _finished(greedy_dedup_two_key(listing_candidates(nodes, (CARD,)))).drop("strategy")
+def card_listings(nodes: DataFrame, limits: Mapping[int, int] | None = None) -> DataFrame:
+    return _finished(greedy_dedup_two_key(listing_candidates(nodes, (CARD,))), limits).drop("strategy")
 
 
-def product_link_listings(nodes: DataFrame) -> DataFrame:
+def product_link_listings(nodes: DataFrame, limits: Mapping[int, int] | None = None) -> DataFrame:
     """Links whose path holds /product/ or /products/, first per URL."""
     rows = listing_candidates(nodes, (PRODUCT_LINK,))
-    return _finished(first_per_key(rows, ["page_id", "url"], [F.col("pos")])).drop("strategy")
+    return _finished(first_per_key(rows, ["page_id", "url"], [F.col("pos")]), limits).drop("strategy")
 
 
-def link_image_listings(nodes: DataFrame) -> DataFrame:
+def link_image_listings(nodes: DataFrame, limits: Mapping[int, int] | None = None) -> DataFrame:
     """Links with an image, or with text and a product-like URL; first qualifying per URL."""
     rows = listing_candidates(nodes, (IMAGE_LINK,))
-    return _finished(first_per_key(rows, ["page_id", "url"], [F.col("pos")])).drop("strategy")
+    return _finished(first_per_key(rows, ["page_id", "url"], [F.col("pos")]), limits).drop("strategy")
 
 
-def page_listings(nodes: DataFrame) -> DataFrame:
+def page_listings(nodes: DataFrame, limits: Mapping[int, int] | None = None) -> DataFrame:
     """Per page the first strategy that finds anything: product links, cards, linked images.
 
     The first candidate of a strategy always survives, so the strategy can be
@@ -243,10 +248,10 @@ def page_listings(nodes: DataFrame) -> DataFrame:
     """
     best = F.min("strategy").over(Window.partitionBy("page_id"))
     chosen = listing_candidates(nodes).withColumn("_best", best).filter("strategy = _best").drop("_best")
-    return _finished(greedy_dedup_two_key(chosen))
+    return _finished(greedy_dedup_two_key(chosen), limits)
 
 
-def discover_categories(nodes: DataFrame, limit: int = CATEGORIES_PER_STORE) -> DataFrame:
+def discover_categories(nodes: DataFrame, limit: int | None = None) -> DataFrame:
     """Category links of a store page: one row per id, the first one, in order of first appearance.
 
     A name equal to the "show all" label, or no name, falls back to the first
@@ -265,13 +270,41 @@ def discover_categories(nodes: DataFrame, limit: int = CATEGORIES_PER_STORE) ->
         # a row that still carries the label gives way to the next one
         F.min_by(F.struct("name", "url"), F.struct((F.col("name") == SHOW_ALL_LABEL).alias("l"), "pos")).alias("row"),
     )
-    kept = top_k(first, ["page_id"], [F.col("first_pos")], limit, "idx")
+    if limit is None:
+        kept = first.withColumn("idx", F.row_number().over(Window.partitionBy("page_id").orderBy("first_pos")))
+    else:
+        kept = top_k(first, ["page_id"], [F.col("first_pos")], limit, "idx")
     return kept.select("page_id", "idx", "category_id", "row.name", "row.url")
 
 
 def node_contains(nodes: DataFrame, ancestors: Column, descendants: Column) -> DataFrame:
-    """Pairs of an element and an element at or below it; equi on the page, range on the interval."""
+    """Pairs of an element and an element at or below it; equi on the page, range on the interval.
+
+    The result can hold depth x descendants rows; `contained_counts` gives their number without the pairs.
+    """
     a = nodes.filter(ancestors).select("page_id", F.col("pos").alias("a_pos"), F.col("end_pos").alias("a_end"),
                                        F.col("tag").alias("a_tag"))
     d = nodes.filter(descendants).select("page_id", F.col("pos").alias("d_pos"), F.col("tag").alias("d_tag"))
     return a.join(d, "page_id").filter(F.col("d_pos").between(F.col("a_pos"), F.col("a_end"))).drop("a_end")
+
+
+def contained_counts(nodes: DataFrame, ancestors: Column, descendants: Column) -> DataFrame:
+    """(page_id, pos, tag, contained_tag, n) for every ancestor and tag of the descendants it holds, linear in the page.
+
+    Descendants are counted before each place of the page; an interval's number is a difference of two such counts,
+    one at its start and one at its end.
+    """
+    tags = nodes.filter(descendants).select("page_id", F.col("pos").alias("at"), F.col("tag").alias("contained_tag"))
+    kinds = tags.select("page_id", "contained_tag").distinct()
+    a = nodes.filter(ancestors).select("page_id", "pos", "end_pos", "tag")
+    ends = a.join(kinds, "page_id").select(
+        "page_id", "contained_tag", "pos", "tag",
+        F.explode(F.array(F.struct((F.col("pos") - 1).alias("at"), F.lit(-1).alias("sign")), F.struct(F.col("end_pos").alias("at"), F.lit(1).alias("sign")))).alias("e"),
+    )
+    marks = ends.select("page_id", "contained_tag", F.col("e.at").alias("at"), "pos", "tag", F.col("e.sign").alias("sign")).unionByName(
+        tags.withColumns({"pos": F.lit(None).cast("int"), "tag": F.lit(None).cast("string"), "sign": F.lit(0)})
+    )
+    upto = Window.partitionBy("page_id", "contained_tag").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = marks.withColumn("before", F.sum(F.when(F.col("sign") == 0, 1).otherwise(0)).over(upto)).filter("sign <> 0")
+    counted = seen.groupBy("page_id", "pos", "tag", "contained_tag").agg(F.sum(F.col("before") * F.col("sign")).alias("n"))
+    return counted.filter("n > 0")

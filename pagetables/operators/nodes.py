@@ -11,6 +11,7 @@ element's text is one slice of it.
 
 from __future__ import annotations
 
+import json
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -32,15 +33,22 @@ TITLE_LIMIT = 240
 ROWS_PER_BATCH = 20_000
 CHARS_PER_BATCH = 32_000_000
 
+# tags whose first occurrence at or below an element is recorded with the element
+FIRST_TAGS = ["img", "a", "h1", "h2", "h3", "h4", "h5"]
+FIRST_TEXT = 240
+
 NODE_SCHEMA = (
     "page_id bigint, url string, pos int, end_pos int, parent_pos int, depth int, tag string, "
-    "attrs map<string,string>, own_text array<string>, text string, text_len int, price string, plain_title string"
+    "attrs map<string,string>, own_text array<string>, text string, text_len int, price string, plain_title string, "
+    + ", ".join(f"first_{t} struct<pos:int,text:string,attrs:map<string,string>>" for t in FIRST_TAGS)
 )
+_FIRST = pa.struct([("pos", pa.int32()), ("text", pa.string()), ("attrs", pa.map_(pa.string(), pa.string()))])
 _ARROW = pa.schema([
     ("page_id", pa.int64()), ("url", pa.string()), ("pos", pa.int32()), ("end_pos", pa.int32()),
     ("parent_pos", pa.int32()), ("depth", pa.int32()), ("tag", pa.string()),
     ("attrs", pa.map_(pa.string(), pa.string())), ("own_text", pa.list_(pa.string())), ("text", pa.string()),
     ("text_len", pa.int32()), ("price", pa.string()), ("plain_title", pa.string()),
+    *[(f"first_{t}", _FIRST) for t in FIRST_TAGS],
 ])
 
 
@@ -62,6 +70,7 @@ class _Outline(HTMLParser):
         self.open = [0]
         self.open_by_tag: dict[str, list[int]] = {}
         self.silent = False  # inside a JSON-LD script
+        self.scripts: list[list[str]] = []  # bodies of the JSON-LD scripts
 
     def handle_starttag(self, tag, attrs):
         pos = len(self.tags)
@@ -76,6 +85,7 @@ class _Outline(HTMLParser):
         self.open.append(pos)
         if tag == "script" and "ld+json" in values.get("type", "").lower():
             self.silent = True
+            self.scripts.append([])
 
     def handle_endtag(self, tag):
         if tag == "script":
@@ -90,7 +100,9 @@ class _Outline(HTMLParser):
             self.open_by_tag[self.tags[closed]].pop()
 
     def handle_data(self, data):
-        if not self.silent:
+        if self.silent:
+            self.scripts[-1].append(data)
+        else:
             text = " ".join(data.split())
             if text:
                 self.texts[self.open[-1]].append(text)
@@ -134,6 +146,7 @@ def _element_rows(page_id: int, url: str, html: str) -> Iterator[tuple]:
     text = " ".join(pieces)
     digits = [m.start() for m in _DIGIT.finditer(text)]
     in_link_until = -1
+    firsts = _firsts(page, offsets, text)
     for pos, tag in enumerate(page.tags):
         start, end = offsets[pos], max(offsets[pos], offsets[page.ends[pos] + 1] - 1)
         price, at = "", bisect_left(digits, start)
@@ -148,9 +161,28 @@ def _element_rows(page_id: int, url: str, html: str) -> Iterator[tuple]:
             page_id, url, pos, page.ends[pos], page.parents[pos], page.depths[pos], tag, page.attrs[pos],
             page.texts[pos], shown, end - start, " ".join(price.split()),
             _plain_title(text, start, end, price) if tag in CANDIDATE_TAGS else None,
+            *firsts.get(pos, _NO_FIRSTS),
         )
 
 
+_NO_FIRSTS = (None,) * len(FIRST_TAGS)
+
+
+def _firsts(page: _Outline, offsets: list[int], text: str) -> dict[int, tuple]:
+    """For each candidate element the first element of each of FIRST_TAGS at or below it: one scan from the page's end."""
+    ahead: dict[str, dict] = {}
+    found = {}
+    for pos in range(len(page.tags) - 1, -1, -1):
+        tag, last = page.tags[pos], page.ends[pos]
+        if tag in FIRST_TAGS:
+            start = offsets[pos]
+            stop = max(start, min(offsets[last + 1] - 1, start + FIRST_TEXT))
+            ahead[tag] = {"pos": pos, "text": text[start:stop], "attrs": page.attrs[pos]}
+        if tag in CANDIDATE_TAGS:
+            found[pos] = tuple(ahead[t] if t in ahead and ahead[t]["pos"] <= last else None for t in FIRST_TAGS)
+    return found
+
+
 def _nodes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows: list[tuple] = []
     chars = 0
@@ -173,7 +205,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _parsable(pages: DataFrame, max_bytes: int) -> DataFrame:
-    return pages.select("page_id", "url", "html").filter(F.octet_length("html") <= max_bytes)
+    return pages.select("page_id", "url", "html").filter(F.coalesce(F.octet_length("html"), F.lit(0)) <= max_bytes)
 
 
 def page_nodes(pages: DataFrame, max_bytes: int = MAX_HTML_BYTES) -> DataFrame:
@@ -186,20 +218,87 @@ def page_nodes(pages: DataFrame, max_bytes: int = MAX_HTML_BYTES) -> DataFrame:
     return _parsable(pages, max_bytes).mapInArrow(_nodes_of, NODE_SCHEMA)
 
 
-def _texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+# --- fixed values: results depend on these exact texts -----------------------
+CONTAINER_KEYS = ["@graph", "itemListElement", "mainEntity", "offers"]
+PRICE_KEYS = ["price", "lowPrice", "highPrice"]
+# --- end of fixed values -----------------------------------------------------
+
+OBJECTS = "array<struct<path:array<int>,text:string,entries:array<struct<key:string,text:string>>,price:string>>"
+_OBJECTS = pa.list_(pa.struct([
+    ("path", pa.list_(pa.int32())), ("text", pa.string()),
+    ("entries", pa.list_(pa.struct([("key", pa.string()), ("text", pa.string())]))), ("price", pa.string()),
+]))
+
+
+def readable(value) -> str:
+    """Readable text of a JSON value: names stand for objects, lists are joined, blanks are empty."""
+    if isinstance(value, dict):
+        for key in ("name", "@id"):
+            if key in value:
+                return readable(value[key])
+        return json.dumps(value, ensure_ascii=False)
+    if isinstance(value, list):
+        return ", ".join(t for t in map(readable, value) if t)
+    return " ".join(str(value or "").split())
+
+
+def _found_objects(scripts: list[list[str]]) -> list[dict]:
+    """All JSON-LD objects in the order of the walk: a parent, then what its container keys hold, at any depth."""
+    out: list[dict] = []
+    bodies = [body for body in map("".join, scripts) if body.strip()]
+    for block, body in enumerate(bodies):
+        try:
+            data = json.loads(body)
+        except (ValueError, RecursionError):
+            continue
+        tops = data if isinstance(data, list) else [data]
+        todo = [((block, i), top) for i, top in reversed(list(enumerate(tops)))]
+        while todo:
+            path, value = todo.pop()
+            if isinstance(value, list):
+                todo += [((*path[:-1], path[-1] + i), item) for i, item in reversed(list(enumerate(value)))]
+            elif isinstance(value, dict):
+                out.append({"path": path, "value": value})
+                todo += [((*path, rank, 0), value[key]) for rank, key in reversed(list(enumerate(CONTAINER_KEYS))) if key in value]
+    for i in range(len(out) - 1, -1, -1):  # children come behind their parents
+        value, inside = out[i]["value"], (*out[i]["path"], CONTAINER_KEYS.index("offers"))
+        price = next((readable(value[k]) for k in PRICE_KEYS if k in value), None)
+        if price is None and value.get("offers"):
+            j = i + 1
+            while j < len(out) and out[j]["path"][:len(out[i]["path"])] == out[i]["path"]:
+                if out[j]["path"][:len(inside)] == inside and out[j]["price"] is not None:
+                    price = out[j]["price"] or None
+                    break
+                j += 1
+        out[i]["price"] = price
+    return [
+        {
+            "path": list(o["path"]), "text": json.dumps(o["value"], ensure_ascii=False, separators=(",", ":")), "price": o["price"],
+            "entries": [{"key": k, "text": readable(v)} for k, v in o["value"].items()],
+        }
+        for o in out
+    ]
+
+
+def _trees_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [
-            " ".join(piece for own in _Outline().outline(html or "").texts for piece in own)
-            for html in batch.column("html").to_pylist()
-        ]
+        texts, objects = [], []
+        for html in batch.column("html").to_pylist():
+            page = _Outline().outline(html or "")
+            texts.append(" ".join(piece for own in page.texts for piece in own))
+            objects.append(_found_objects(page.scripts))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("page_id"), batch.column("url"), batch.column("html"), pa.array(texts, pa.string())],
-            names=["page_id", "url", "html", "text"],
+            [*batch.columns, pa.array(texts, pa.string()), pa.array(objects, _OBJECTS)],
+            names=[*batch.schema.names, "text", "objects"],
         )
 
 
-def with_tree_text(pages: DataFrame, max_bytes: int = MAX_HTML_BYTES) -> DataFrame:
-    """Pages within the size limit plus their text in tree order, in one narrow pass."""
-    return _parsable(pages, max_bytes).mapInArrow(
-        _texts_of, "page_id bigint, url string, html string, text string"
-    )
+def with_page_tree(pages: DataFrame, max_bytes: int | None = MAX_HTML_BYTES) -> DataFrame:
+    """Pages plus their text in tree order and their JSON-LD objects, in one narrow pass that parses each page once.
+
+    `objects` has the path, JSON text, readable fields and price of every object. A page without html has an empty
+    text and no objects.
+    """
+    rows = pages.select("page_id", "url", "html")
+    rows = rows if max_bytes is None else rows.filter(F.coalesce(F.octet_length("html"), F.lit(0)) <= max_bytes)
+    return rows.mapInArrow(_trees_of, f"page_id bigint, url string, html string, text string, objects {OBJECTS}")

@@ -27,7 +27,7 @@ def _first(array: Column, limit: int | None) -> Column:
     return array if limit is None else F.slice(array, 1, limit)
 
 
-def resolved_images(limit: int | None = H.IMAGES_PER_PAGE) -> Column:
+def resolved_images(limit: int | None = None) -> Column:
     """Images of a page with absolute sources. The work is done before the explode, once per image."""
     images = _first(H.image_array("html"), limit)
     return let(
@@ -41,7 +41,7 @@ def resolved_images(limit: int | None = H.IMAGES_PER_PAGE) -> Column:
     )
 
 
-def resolved_links(limit: int | None = H.LINKS_PER_PAGE) -> Column:
+def resolved_links(limit: int | None = None) -> Column:
     """Links of a page with absolute targets."""
     links = _first(H.link_array("html"), limit)
     return let(
@@ -52,11 +52,11 @@ def resolved_links(limit: int | None = H.LINKS_PER_PAGE) -> Column:
     )
 
 
-def page_images(pages: DataFrame, limit: int | None = H.IMAGES_PER_PAGE) -> DataFrame:
+def page_images(pages: DataFrame, limit: int | None = None) -> DataFrame:
     rows = pages.select("page_id", F.posexplode(resolved_images(limit)).alias("pos", "i"))
     return rows.select("page_id", "pos", "i.src", "i.alt", "i.title")
 
 
-def page_links(pages: DataFrame, limit: int | None = H.LINKS_PER_PAGE) -> DataFrame:
+def page_links(pages: DataFrame, limit: int | None = None) -> DataFrame:
     rows = pages.select("page_id", F.col("url").alias("page_url"), F.posexplode(resolved_links(limit)).alias("pos", "l"))
     return rows.select("page_id", "page_url", "pos", "l.href", "l.text")

@@ -1,8 +1,8 @@
 """Caps, top-k and ordered distinct.
 
 `row_number() <= k` is the shape that Spark cuts per map task before it
-shuffles, so a hot group sends at most k rows per task. Beyond the size where
-Spark does that, the rows are cut in two steps over a salt.
+shuffles. Every cut is made in two steps, first over (group, salt), so the last
+task of a hot group gets k rows of each salt, however many tasks there were.
 """
 
 from __future__ import annotations
@@ -20,12 +20,10 @@ def top_k(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str | None = None
 ) -> DataFrame:
     """First k rows of every group in the given order; `rank` names a column for their place."""
-    threshold = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
-    if k > threshold:
-        hashable = [f.name for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
-        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*hashable), F.lit(SALTS)))
-        part = Window.partitionBy(*keys, "_salt").orderBy(*order)
-        df = salted.withColumn("_rn", F.row_number().over(part)).filter(F.col("_rn") <= k).drop("_rn", "_salt")
+    hashable = [f.name for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*hashable), F.lit(SALTS)))
+    part = Window.partitionBy(*keys, "_salt").orderBy(*order)
+    df = salted.withColumn("_rn", F.row_number().over(part)).filter(F.col("_rn") <= k).drop("_rn", "_salt")
     name = rank or "_rn"
     window = Window.partitionBy(*keys).orderBy(*order)
     kept = df.withColumn(name, F.row_number().over(window)).filter(F.col(name) <= k)

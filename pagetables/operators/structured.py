@@ -1,4 +1,7 @@
-"""JSON-LD of a page corpus. Row-wise: the objects of a page stay one array, in document order."""
+"""JSON-LD of a page corpus. Row-wise: the objects of a page stay one array, in document order.
+
+`objects` is the column that `with_page_tree` adds: every object of a page at any depth, parents before children.
+"""
 
 from __future__ import annotations
 
@@ -10,8 +13,7 @@ from pyspark.sql import functions as F
 from pagetables.functions import payload as J
 from pagetables.functions.html import script_bodies
 from pagetables.functions.text import let, model_from_text
-
-DEPTH = 4
+from pagetables.operators.nodes import with_page_tree
 
 
 def jsonld_items(html: Column | str) -> Column:
@@ -37,75 +39,13 @@ def read_jsonld(pages: DataFrame) -> DataFrame:
     return rows.select("page_id", "j.block", "j.idx", "j.kind", F.col("j.text").alias("item"))
 
 
-def _object(path: Column, text: Column) -> Column:
-    return F.struct(path.alias("path"), text.alias("text"))
-
-
-_PLACED = "array<struct<path:array<int>,text:string,kind:string>>"
-
-
-def _children(o: Column) -> Column:
-    """Objects directly under the container keys, in key rank order; lists of lists are opened twice."""
-    keys = F.expr(f"array({', '.join(repr(k) for k in J.CONTAINER_KEYS)})")
-
-    def listed(value: Column) -> Column:
-        opened = F.transform(
-            J.elements(value["text"]),
-            lambda e: F.when(e["kind"] == "ARRAY", J.elements(e["text"])).otherwise(F.array(e)),
-        )
-        return F.when(value["kind"] == "ARRAY", F.flatten(opened)).when(value["kind"] == "OBJECT", F.array(value))
-
-    def under(record: Column) -> Column:
-        def placed(key: Column, rank: Column) -> Column:
-            rows = F.transform(
-                let(record[key], listed),
-                lambda e, i: F.struct(
-                    F.concat(o["path"], F.array(rank, i)).alias("path"), e["text"].alias("text"), e["kind"].alias("kind")
-                ),
-            )
-            return F.coalesce(rows, F.array().cast(_PLACED))
-
-        objects = F.filter(F.flatten(F.transform(keys, placed)), lambda e: e["kind"] == "OBJECT")
-        return F.transform(objects, lambda e: _object(e["path"], e["text"]))
-
-    return let(J.fields(o["text"]), under)
-
-
-def object_array(html: Column | str, depth: int = DEPTH) -> Column:
-    """ARRAY<STRUCT<path, text, entries>> of all objects of a page, parents before their children.
-
-    `entries` holds the readable text of every field in key order, so that the
-    lookups below are plain filters.
-    """
-
-    def expand(level: Column, left: int) -> Column:
-        if left == 0:
-            return level
-        return let(level, lambda here: F.concat(here, expand(F.flatten(F.transform(here, _children)), left - 1)))
-
-    tops = F.filter(jsonld_items(html), lambda j: j["kind"] == "OBJECT")
-    roots = F.transform(tops, lambda j: _object(F.array(j["block"], j["idx"]), j["text"]))
-    ordered = F.array_sort(expand(roots, depth))
-    return F.transform(
-        ordered,
-        lambda o: F.struct(
-            o["path"].alias("path"),
-            o["text"].alias("text"),
-            F.transform(
-                F.map_entries(J.fields(o["text"])),
-                lambda e: F.struct(e["key"].alias("key"), J.text_value(e["value"]).alias("text")),
-            ).alias("entries"),
-        ),
-    )
-
-
 def jsonld_objects(pages: DataFrame) -> DataFrame:
     """One row per object with its place in the walk."""
-    rows = pages.select("page_id", F.posexplode(object_array("html")).alias("pos", "o"))
+    rows = with_page_tree(pages).select("page_id", F.posexplode("objects").alias("pos", "o"))
     return rows.select("page_id", "pos", F.size("o.path").alias("path_len"), F.col("o.text").alias("object"))
 
 
-def structured_rows(pages: DataFrame) -> DataFrame:
+def structured_rows(pages: DataFrame, keys: Sequence[str] = ("page_id",)) -> DataFrame:
     """Top-level items as rows: scalar fields as text, four known nested fields as JSON, others dropped."""
 
     def row(record: Column) -> Column:
@@ -114,9 +54,9 @@ def structured_rows(pages: DataFrame) -> DataFrame:
         )
         return F.transform_values(kept, lambda _, v: J.scalar_text(v))
 
-    rows = pages.select("page_id", F.explode(jsonld_items("html")).alias("j"))
+    rows = pages.select(*keys, F.explode(jsonld_items("html")).alias("j"))
     record = J.fields(F.when(F.col("j.kind") == "OBJECT", F.col("j.text")))
-    return rows.select("page_id", "j.block", "j.idx", let(record, row).alias("extra"))
+    return rows.select(*keys, "j.block", "j.idx", let(record, row).alias("extra"))
 
 
 def structured_value(objects: Column, keys: Sequence[str]) -> Column:
@@ -134,28 +74,8 @@ def structured_value_ordered(objects: Column, keys: Sequence[str]) -> Column:
 
 def structured_price(objects: Column) -> Column:
     """Price of the first object that has one, itself or among its offers."""
-
-    def own(o: Column) -> Column:
-        ranked = F.transform(
-            F.filter(o["entries"], lambda e: e["key"].isin(*J.PRICE_KEYS)),
-            lambda e: F.struct(F.array_position(F.array(*map(F.lit, J.PRICE_KEYS)), e["key"]).alias("rank"), e["text"]),
-        )
-        return F.array_min(ranked)["text"]
-
-    offer_rank = J.CONTAINER_KEYS.index("offers")
-
-    def price(priced: Column) -> Column:
-        def of(p: Column) -> Column:
-            prefix = F.concat(p["path"], F.array(F.lit(offer_rank)))
-            offers = F.filter(
-                priced, lambda c: (F.slice(c["path"], F.lit(1), F.size(prefix)) == prefix) & c["price"].isNotNull()
-            )
-            return F.coalesce(p["price"], F.nullif(F.get(offers, F.lit(0))["price"], F.lit("")))
-
-        return F.get(F.filter(F.transform(priced, of), lambda v: v.isNotNull()), F.lit(0))
-
-    with_own = F.transform(objects, lambda o: F.struct(o["path"].alias("path"), own(o).alias("price")))
-    return F.coalesce(let(with_own, price), F.lit(""))
+    prices = F.filter(F.transform(objects, lambda o: o["price"]), lambda p: p.isNotNull())
+    return F.coalesce(F.get(prices, F.lit(0)), F.lit(""))
 
 
 def extract_model_number(text: Column | str, objects: Column | None = None) -> Column:

@@ -10,7 +10,7 @@ from pagetables.functions import text as X
 from pagetables.functions import urls as U
 from pagetables.operators import catalog, merge, pages as P, ranking
 from pagetables.plans import sqltext as Q
-from pagetables.plans.registry import query, spread, table
+from pagetables.plans.registry import query, table
 from pagetables.sources.pages import page_status, usable_pages
 
 # words of the generated corpus; the defaults target furniture shops
@@ -23,7 +23,7 @@ VOCABULARY = {
 
 
 def pages_of(spark: SparkSession, folder: str) -> DataFrame:
-    return spread(table(spark, folder, "pages"))
+    return table(spark, folder, "pages")
 
 
 @query("read_pages", f"""
@@ -70,7 +70,7 @@ def html_to_text(spark, folder):
 
 @query("clean_text", f"SELECT doc_id, {Q.clean('text')} AS text FROM documents")
 def clean_text(spark, folder):
-    return spread(table(spark, folder, "documents")).select("doc_id", X.clean_text("text").alias("text"))
+    return table(spark, folder, "documents").select("doc_id", X.clean_text("text").alias("text"))
 
 
 _CODES = X.CURRENCY_CODES
@@ -83,7 +83,7 @@ _PRICE_SQL = (
 @query("first_price", f"""
 SELECT doc_id, {Q.clean(f"regexp_extract(text, '{_PRICE_SQL}', 0)")} AS price FROM documents""")
 def first_price(spark, folder):
-    return spread(table(spark, folder, "documents")).select("doc_id", X.first_price("text").alias("price"))
+    return table(spark, folder, "documents").select("doc_id", X.first_price("text").alias("price"))
 
 
 @query("same_site", f"""
@@ -213,14 +213,14 @@ discovered AS (
 
 @query("discover_catalog_urls", f"WITH {Q.LINKS}, {DISCOVERED} SELECT site, rank, url, name, score FROM discovered")
 def discover_catalog_urls(spark, folder):
-    return catalog.discover_catalog_urls(usable_pages(pages_of(spark, folder)), **VOCABULARY)
+    return catalog.discover_catalog_urls(usable_pages(pages_of(spark, folder)), k=catalog.CATALOG_PAGES, **VOCABULARY)
 
 
 @query("topk_by_score", f"""
 WITH {Q.LINKS}, {DISCOVERED}
 SELECT site, rank, url, score FROM discovered WHERE rank <= 3""")
 def topk_by_score(spark, folder):
-    found = catalog.discover_catalog_urls(usable_pages(pages_of(spark, folder)), **VOCABULARY)
+    found = catalog.discover_catalog_urls(usable_pages(pages_of(spark, folder)), k=catalog.CATALOG_PAGES, **VOCABULARY)
     top = ranking.top_k(found.drop("rank"), ["site"], [F.col("score").desc(), F.col("url")], 3, "rank")
     return top.select("site", "rank", "url", "score")
 

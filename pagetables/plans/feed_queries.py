@@ -118,7 +118,7 @@ SELECT store, category, category_order, CAST(least(want, greatest(0, 60 - spent)
 def category_counts(spark, folder):
     pages = _with_order(FX.cursor_api_pages(spark, folder))
     rows = C.store_categories(pages, "store", "category", "category_order", 7, 60)
-    return rows.withColumn("products_found", F.col("products_found").cast("bigint"))
+    return rows.withColumn("products_found", F.col("products_found").cast("bigint")).drop("api_pages", "warning")
 
 
 @query("cap_budget", """
@@ -350,7 +350,7 @@ store AS (
 def store_records(spark, folder):
     enriched = FD.enrich_products(
         FX.store_products(spark, folder).withColumn("idx", F.lit(1)), FX.store_details(spark, folder),
-        FX.store_options(spark, folder), "p_partkey",
+        FX.store_options(spark, folder), "p_partkey", ["arrived"],
     )
     return FD.store_records(enriched.drop("idx"))
 
@@ -368,7 +368,8 @@ def normalize_store_product(spark, folder):
 SELECT p_partkey, p_size <= 35 AS has_detail, p_size >= 30 AND p_partkey <= 250 AS has_options FROM part""")
 def enrich_products(spark, folder):
     rows = FD.enrich_products(
-        FX.store_products(spark, folder), FX.store_details(spark, folder), FX.store_options(spark, folder), "p_partkey"
+        FX.store_products(spark, folder), FX.store_details(spark, folder), FX.store_options(spark, folder), "p_partkey",
+        ["arrived"], options_limit=250,
     )
     return rows.select("p_partkey", F.col("detail").isNotNull().alias("has_detail"), F.col("options").isNotNull().alias("has_options"))
 
@@ -472,10 +473,10 @@ WITH {SITE_SQL}
 SELECT f.site, f.rank, f.idx, f.url, f.title, f.category_url AS source_category_url
 FROM first_seen f JOIN summary s ON f.site = s.site AND f.rank = s.rank""")
 def site_catalog(spark, folder):
-    rows, _ = C.site_catalog(FX.catalog_corpus(spark, folder), row_limit=12)
+    rows, _ = C.site_catalog(FX.catalog_corpus(spark, folder), row_limit=12, k=40)
     return rows.select("site", "rank", "idx", "url", "title", "source_category_url")
 
 
 @query("site_catalog_categories", f"WITH {SITE_SQL} SELECT site, rank, name, category_url, products_found FROM summary")
 def site_catalog_categories(spark, folder):
-    return C.site_catalog(FX.catalog_corpus(spark, folder), row_limit=12)[1]
+    return C.site_catalog(FX.catalog_corpus(spark, folder), row_limit=12, k=40)[1].drop("api_pages", "warning")

@@ -10,13 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagetables.plans.registry import spread, table
+from pagetables.plans.registry import table
 
 SHOP = "'https://shop' || p_size || '.example.com'"
 
 
 def parts(spark: SparkSession, folder: str) -> DataFrame:
-    return spread(table(spark, folder, "part"))
+    return table(spark, folder, "part")
 
 
 def _pages(spark, folder, url: str, html: str) -> DataFrame:
@@ -154,11 +154,13 @@ def store_products(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def store_details(spark: SparkSession, folder: str) -> DataFrame:
-    return parts(spark, folder).filter("p_size <= 35").selectExpr("p_partkey", f"{STORE_DETAIL} AS payload")
+    return parts(spark, folder).filter("p_size <= 35").selectExpr(
+        "p_partkey", f"explode(array(struct(1 AS arrived, 'null' AS payload), struct(2 AS arrived, {STORE_DETAIL} AS payload))) AS r"
+    ).select("p_partkey", "r.*")
 
 
 def store_options(spark: SparkSession, folder: str) -> DataFrame:
-    return parts(spark, folder).filter("p_size >= 30").selectExpr("p_partkey", f"{STORE_OPTIONS} AS payload")
+    return parts(spark, folder).filter("p_size >= 30").selectExpr("p_partkey", "1 AS arrived", f"{STORE_OPTIONS} AS payload")
 
 
 def gallery_pages(spark: SparkSession, folder: str) -> DataFrame:

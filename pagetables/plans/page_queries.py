@@ -147,7 +147,7 @@ def structured_rows(spark, folder):
 
 @query("structured_value", "SELECT p_partkey AS page_id, p_brand AS brand FROM part")
 def structured_value(spark, folder):
-    pages = FX.jsonld_pages(spark, folder).withColumn("o", S.object_array("html"))
+    pages = nodes.with_page_tree(FX.jsonld_pages(spark, folder)).withColumnRenamed("objects", "o")
     return pages.select("page_id", S.structured_value(F.col("o"), J.DETAIL_KEYS["brand"]).alias("brand"))
 
 
@@ -155,7 +155,7 @@ def structured_value(spark, folder):
 SELECT p_partkey AS page_id, CASE WHEN p_partkey <> 0 THEN CAST(p_partkey AS VARCHAR) WHEN p_size < 40 THEN 'S' || p_partkey ELSE '' END AS model,
   CASE WHEN p_size < 40 THEN 'S' || p_partkey WHEN p_partkey <> 0 THEN CAST(p_partkey AS VARCHAR) ELSE '' END AS sku_first FROM part""")
 def structured_value_ordered(spark, folder):
-    pages = FX.jsonld_pages(spark, folder).withColumn("o", S.object_array("html"))
+    pages = nodes.with_page_tree(FX.jsonld_pages(spark, folder)).withColumnRenamed("objects", "o")
     return pages.select(
         "page_id",
         S.structured_value_ordered(F.col("o"), J.DETAIL_KEYS["model_number"]).alias("model"),
@@ -165,7 +165,7 @@ def structured_value_ordered(spark, folder):
 
 @query("structured_price", "SELECT p_partkey AS page_id, CAST(p_retailprice AS VARCHAR) AS price FROM part")
 def structured_price(spark, folder):
-    pages = FX.jsonld_pages(spark, folder).withColumn("o", S.object_array("html"))
+    pages = nodes.with_page_tree(FX.jsonld_pages(spark, folder)).withColumnRenamed("objects", "o")
     return pages.select("page_id", S.structured_price(F.col("o")).alias("price"))
 
 
@@ -346,7 +346,7 @@ details AS (
 
 @query("page_detail", f"WITH {DETAIL_SQL} SELECT * FROM details")
 def page_detail(spark, folder):
-    return details.page_detail(FX.jsonld_pages(spark, folder))
+    return details.page_detail(FX.jsonld_pages(spark, folder), details.DETAIL_IMAGES, details.DETAIL_CHARS)
 
 
 @query("detail_eligibility", """

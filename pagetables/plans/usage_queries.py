@@ -308,7 +308,7 @@ def site_counts(spark, folder):
 
 @query("page_counters", f"""
 WITH {Q.LINKS}, per AS (SELECT page_id, count(*) AS n FROM links GROUP BY 1)
-SELECT {Q.host("url")} AS site, count(*) AS pages, 0 AS images, CAST(coalesce(sum(least(n, 1000)), 0) AS BIGINT) AS links, 0 AS metadata, 0 AS structured_data
+SELECT {Q.host("url")} AS site, count(*) AS pages, 0 AS images, CAST(coalesce(sum(n), 0) AS BIGINT) AS links, 0 AS metadata, 0 AS structured_data
 FROM pages LEFT JOIN per USING (page_id) GROUP BY 1""")
 def page_counters(spark, folder):
     return B.page_counters(pages_of(spark, folder))
@@ -357,7 +357,7 @@ def bundle_tables(spark, folder):
 @query("write_bundle", f"""
 WITH {Q.LINKS}
 SELECT {Q.host("page_url")} AS site, count(*) AS links, count(DISTINCT href) AS urls, CAST(sum(length(text)) AS BIGINT) AS chars
-FROM links WHERE pos < 1000 GROUP BY 1""")
+FROM links GROUP BY 1""")
 def write_bundle(spark, folder):
     written = SH.write_bundle({"Links": B.Bundle(pages_of(spark, folder)).links}, ST.scratch(spark))
     back = spark.read.parquet(written[0])
@@ -368,7 +368,7 @@ def write_bundle(spark, folder):
 
 # --- streams ------------------------------------------------------------------
 
-@query("stream_pages", f"WITH {Q.LINKS} SELECT page_id, pos, href, text FROM links WHERE pos < 1000")
+@query("stream_pages", f"WITH {Q.LINKS} SELECT page_id, pos, href, text FROM links")
 def stream_pages(spark, folder):
     return ST.drain(ST.stream_links(ST.stream_table(spark, folder, "pages"))).select("page_id", "pos", "href", "text")
 
@@ -377,7 +377,7 @@ def stream_pages(spark, folder):
 WITH {Q.LINKS}
 SELECT href AS url, min(struct_pack(a := page_id, b := pos)).a AS page_id, min(struct_pack(a := page_id, b := pos)).b AS pos,
   coalesce(arg_min(title, struct_pack(a := page_id, b := pos)) FILTER (title <> ''), '') AS title
-FROM (SELECT *, CASE WHEN length(text) > 4 THEN text ELSE '' END AS title FROM links WHERE pos < 1000) GROUP BY 1""")
+FROM (SELECT *, CASE WHEN length(text) > 4 THEN text ELSE '' END AS title FROM links) GROUP BY 1""")
 def stream_merge(spark, folder):
     links = ST.stream_links(ST.stream_table(spark, folder, "pages"))
     title = F.when(F.length("text") > 4, F.col("text")).otherwise(F.lit(""))
@@ -389,7 +389,7 @@ def stream_merge(spark, folder):
     return sink.read(spark)
 
 
-@query("stream_dedup_urls", f"WITH {Q.LINKS} SELECT DISTINCT href FROM links WHERE pos < 1000")
+@query("stream_dedup_urls", f"WITH {Q.LINKS} SELECT DISTINCT href FROM links")
 def stream_dedup_urls(spark, folder):
     links = ST.stream_links(ST.stream_table(spark, folder, "pages"))
     timed = links.withColumn("seen_at", F.timestamp_seconds(F.lit(1704067200)))

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -32,22 +33,33 @@ def session(app: str = "pagetables", cpus: int | str = "*", shuffle_partitions:
     return spark
 
 
-def broadcast_if_small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
-    """Broadcast hint for a materialised table of few narrow rows, else the table as it is.
-
-    Without the hint the join shuffles; the planner then filters the big side
-    with a Bloom filter before the shuffle where that pays.
-    """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir. Only a local session may go without: it gets a temp folder."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder:
+        return folder.rstrip("/")
+    if not context.master.startswith("local[") and context.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    folder = tempfile.mkdtemp(prefix="pagetables-")
+    context.setCheckpointDir(folder)
+    return folder
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint into the shared folder the cluster names; a temp folder only where none is set."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if folder:
+    """Checkpoint into the shared folder that the cluster names."""
+    context = df.sparkSession.sparkContext
+    folder = shared_folder(df.sparkSession)
+    if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
-    elif context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="pagetables-"))
     return df.checkpoint()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors of a cluster on which it is not installed."""
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="pagetables-")) / "pagetables.zip"
+    with zipfile.ZipFile(target, "w") as bundle:
+        for file in root.rglob("*.py"):
+            bundle.write(file, file.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(target))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagetables.functions.urls import site_of, with_scheme
@@ -11,17 +11,23 @@ MAX_HTML_BYTES = 5_000_000
 
 
 def read_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """page_id, url, html of a crawled corpus."""
-    return spark.read.format(fmt).load(path).select("page_id", "url", "html")
+    """page_id, url, html of a crawled corpus; bytes that are not UTF-8 are replaced."""
+    rows = spark.read.format(fmt).load(path)
+    return rows.select("page_id", "url", F.make_valid_utf8(F.col("html").cast("string")).alias("html"))
 
 
-def read_page_files(spark: SparkSession, path: str) -> DataFrame:
-    """Raw files as pages; bytes that are not UTF-8 are replaced. The URL is the file path."""
+def read_page_files(spark: SparkSession, path: str, url: Column | None = None) -> DataFrame:
+    """Raw files as pages; bytes that are not UTF-8 are replaced.
+
+    `url` gives a page's address from `path`; by default the last part of the path is the percent-encoded address.
+    """
     files = spark.read.format("binaryFile").load(path)
-    return files.select(
+    name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"(?i)\.html?$", "")
+    named = files.withColumn("_name", name)
+    return named.select(
         F.xxhash64("path").alias("page_id"),
-        F.col("path").alias("url"),
-        F.col("content").cast("string").alias("html"),
+        (F.expr("coalesce(try_url_decode(_name), _name)") if url is None else url).alias("url"),
+        F.make_valid_utf8(F.col("content").cast("string")).alias("html"),
     )
 
 

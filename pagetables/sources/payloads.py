@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagetables.functions import payload as J
@@ -36,15 +36,15 @@ def payload_status(payloads: DataFrame, column: str = "payload") -> DataFrame:
     )
 
 
-def running_pages(sizes: DataFrame, group: Sequence[str], page_size: int, limit: int) -> DataFrame:
+def running_pages(sizes: DataFrame, group: Sequence[str], page_size: int, limit: int | None = None) -> DataFrame:
     """Pages that numbered paging fetches: up to and including the first short, empty or missing-next one.
 
-    Every page but the last is full, so at most limit / page_size + 1 pages of
-    a group can matter and only those enter the window.
+    Every page but the last is full, so with a limit at most limit / page_size + 1
+    pages of a group can matter and only those enter the window.
     """
     order = Window.partitionBy(*group).orderBy("page_no")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    first = top_k(sizes, group, [F.col("page_no")], limit // page_size + 2)
+    first = sizes if limit is None else top_k(sizes, group, [F.col("page_no")], limit // page_size + 2)
     state = first.select(
         *group,
         "page_no",
@@ -53,13 +53,13 @@ def running_pages(sizes: DataFrame, group: Sequence[str], page_size: int, limit:
         F.coalesce(F.sum("size").over(before), F.lit(0)).cast("int").alias("taken_before"),
         (F.row_number().over(order) == F.col("page_no")).alias("_in_sequence"),
     )
-    keep = (F.col("_smallest") >= page_size) & (F.col("taken_before") < limit) & F.col("_in_sequence")
+    keep = (F.col("_smallest") >= page_size) & _below("taken_before", limit) & F.col("_in_sequence")
     return state.filter(keep).drop("_smallest", "_in_sequence")
 
 
 def paginate_numbered(
     pages: DataFrame, group: Sequence[str], items: str = "items",
-    page_size: int = FEED_PAGE_SIZE, limit: int = FEED_PRODUCTS,
+    page_size: int = FEED_PAGE_SIZE, limit: int | None = None,
 ) -> DataFrame:
     """Items of numbered API pages in order; `idx` counts per group and ends at the limit."""
     sizes = pages.select(*group, "page_no", F.size(items).alias("size"))
@@ -68,7 +68,7 @@ def paginate_numbered(
         *group, "page_no", "taken_before", F.posexplode(items).alias("pos", "item")
     )
     idx = F.col("taken_before") + F.col("pos") + 1
-    return rows.withColumn("idx", idx).filter(F.col("idx") <= limit).drop("taken_before", "pos")
+    return rows.withColumn("idx", idx).filter(_below("idx", None if limit is None else limit + 1)).drop("taken_before", "pos")
 
 
 def api_pages(running: DataFrame, group: Sequence[str]) -> DataFrame:
@@ -76,31 +76,35 @@ def api_pages(running: DataFrame, group: Sequence[str]) -> DataFrame:
     return running.groupBy(*group).agg(F.count(F.lit(1)).alias("api_pages"))
 
 
-def cursor_pages(pages: DataFrame, group: Sequence[str], items: str = "items", limit: int = CATEGORY_PRODUCTS) -> DataFrame:
+def _below(column: str, limit: int | None) -> Column:
+    return F.lit(True) if limit is None else F.col(column) < limit
+
+
+def cursor_pages(pages: DataFrame, group: Sequence[str], items: str = "items", limit: int | None = None) -> DataFrame:
     """Pages that cursor paging fetches: it stops at an empty page, at a null cursor or at the limit.
 
-    A page that is passed holds at least one item, so at most limit + 1 pages
-    of a group can matter.
+    A page that is passed holds at least one item, so with a limit at most
+    limit + 1 pages of a group can matter.
     """
     sizes = pages.select(*group, "page_seq", F.size(items).alias("size"), F.col("next_cursor").isNotNull().alias("more"))
-    first = top_k(sizes, group, [F.col("page_seq")], limit + 1)
+    first = sizes if limit is None else top_k(sizes, group, [F.col("page_seq")], limit + 1)
     before = Window.partitionBy(*group).orderBy("page_seq").rowsBetween(Window.unboundedPreceding, -1)
     state = first.select(
         *group, "page_seq", "size", "more",
         F.coalesce(F.min(F.when(F.col("more"), F.col("size")).otherwise(0)).over(before), F.lit(1)).alias("_passed"),
         F.coalesce(F.sum("size").over(before), F.lit(0)).cast("int").alias("taken_before"),
     )
-    return state.filter((F.col("_passed") > 0) & (F.col("taken_before") < limit)).drop("_passed")
+    return state.filter((F.col("_passed") > 0) & _below("taken_before", limit)).drop("_passed")
 
 
-def paginate_cursor(pages: DataFrame, group: Sequence[str], items: str = "items", limit: int = CATEGORY_PRODUCTS) -> DataFrame:
+def paginate_cursor(pages: DataFrame, group: Sequence[str], items: str = "items", limit: int | None = None) -> DataFrame:
     """Items of cursor-paged API answers in order, ending at the limit."""
     kept = cursor_pages(pages, group, items, limit).select(*group, "page_seq", "taken_before")
     rows = pages.join(kept, [*group, "page_seq"]).select(
         *group, "page_seq", "taken_before", F.posexplode(items).alias("pos", "item")
     )
     idx = F.col("taken_before") + F.col("pos") + 1
-    return rows.withColumn("idx", idx).filter(F.col("idx") <= limit).drop("taken_before", "pos")
+    return rows.withColumn("idx", idx).filter(_below("idx", None if limit is None else limit + 1)).drop("taken_before", "pos")
 
 
 def cursor_limit_warnings(cursors: DataFrame, group: Sequence[str], limit: int = CATEGORY_PRODUCTS) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
 
@@ -16,12 +15,12 @@ from pagetables.functions.urls import site_of
 from pagetables.operators.accounts import FREE_REQUESTS, SUBSCRIPTION_DAYS, job_latest
 from pagetables.operators.merge import merge_by_key
 from pagetables.operators.pages import page_links
+from pagetables.session import shared_folder
 
 
 def scratch(spark: SparkSession) -> str:
-    """Fresh folder for checkpoints and results: below the cluster's shared folder when it names one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared}/pagetables-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="pagetables-")
+    """Fresh folder for checkpoints and results, below the folder that the cluster shares."""
+    return f"{shared_folder(spark)}/pagetables-{uuid.uuid4().hex}"
 
 
 def stream_table(spark: SparkSession, folder: str, name: str, files_per_batch: int | None = None) -> DataFrame:
