@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BATCH_BYTES = 8 << 20
+#: Bytes of rows that a function gets at once; arrays made of them are some twenty times as large.
+PART_BYTES = 1 << 20
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -52,15 +54,17 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_batches(df: DataFrame, fn: Callable[[dict[str, list]], Iterable[dict[str, list]]], schema: str) -> DataFrame:
-    """Run `fn` over column lists of at most about 8 MB of texts each; it yields column lists of `schema`."""
+def map_batches(
+    df: DataFrame, fn: Callable[[dict[str, list]], Iterable[dict[str, list]]], schema: str, size: int = PART_BYTES,
+) -> DataFrame:
+    """Run `fn` over column lists of at most about `size` bytes each; it yields column lists of `schema`."""
     spark = df.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     out = pa.schema([(f.name, _arrow(f.dataType)) for f in spark.createDataFrame([], schema).schema])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, size):
                 for columns in fn({name: part.column(i).to_pylist() for i, name in enumerate(part.schema.names)}):
                     yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in out], schema=out)
 
@@ -80,7 +84,7 @@ def judged(df: DataFrame, fn: Callable[[list], dict[str, list]], schema: str) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, PART_BYTES):
                 got = fn([t or "" for t in part.column("text").to_pylist()])
                 columns = [part.column(c) for c in kept] + [pa.array(got[name], kind) for name, kind in kinds]
                 yield pa.RecordBatch.from_arrays(columns, names=[*kept, *(name for name, _ in kinds)])
@@ -88,12 +92,14 @@ def judged(df: DataFrame, fn: Callable[[list], dict[str, list]], schema: str) ->
     return df.mapInArrow(run, T.StructType([*df.select(*kept).schema, *added]))
 
 
-def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Cut a batch so that no part is much larger than BATCH_BYTES, but for single rows that are."""
-    parts = max(1, -(-batch.nbytes // BATCH_BYTES))
-    step = max(1, -(-batch.num_rows // parts))
-    for start in range(0, batch.num_rows, step):
-        yield batch.slice(start, step)
+def slices(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
+    """Cut a batch in halves until a part has at most `size` bytes or one row."""
+    if batch.num_rows > 1 and batch.nbytes > size:
+        half = batch.num_rows // 2
+        yield from slices(batch.slice(0, half), size)
+        yield from slices(batch.slice(half), size)
+    elif batch.num_rows:
+        yield batch
 
 
 def _arrow(kind) -> pa.DataType:

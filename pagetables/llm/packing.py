@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagetables.llm.common import map_batches, query, table, written
+from pagetables.llm.common import BATCH_BYTES, map_batches, query, table, written
 
 LENGTH = 2048
 VOCABULARY = "word_bpe_49k.json"
@@ -163,7 +163,7 @@ def tokenized(docs: DataFrame, path=vocabulary_path) -> DataFrame:
                "place": places(ids).tolist(), "ids": [i.tobytes() for i in ids]}
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_batches(docs.select("doc_id", "text"), fn, f"doc_id {kind}, doc_tokens long, width int, place long, ids binary")
+    return map_batches(docs.select("doc_id", "text"), fn, f"doc_id {kind}, doc_tokens long, width int, place long, ids binary", BATCH_BYTES)
 
 
 def pack(docs: DataFrame, length: int = LENGTH, path=vocabulary_path) -> DataFrame:
