@@ -129,12 +129,16 @@ def store_listings(
     `details` and `options` have product_id, payload and the columns of `order`; the last record of an id counts.
     """
     rows = store_catalog(pages, store, category, category_order, per_category, per_store)
-    keyed = rows.withColumnRenamed("item", "payload").withColumn("product_id", F.get_json_object("payload", "$.id"))
+    # a product has a category of its own
+    names = {category: "_category", category_order: "_order", **({category_url: "_url"} if category_url else {}), "item": "payload"}
+    keyed = rows.withColumnsRenamed(names).withColumn("product_id", F.get_json_object("payload", "$.id"))
     enriched = enrich_products(keyed, details, options, "product_id", order, "idx", options_limit).drop("product_id")
     records = enrich_gallery(store_records(enriched), galleries)
-    url = F.lit("") if category_url is None else F.col(category_url)
-    return normalize_store_product(records).select(
-        "*", F.col(category).alias("source_category_id"), F.col(category).alias("source_category_name"), url.alias("source_category_url")
+    shown = normalize_store_product(records)
+    url = F.col("_url") if category_url else F.lit("")
+    return shown.select(
+        *[c for c in shown.columns if c not in names.values()], F.col("_category").alias("source_category_id"),
+        F.col("_category").alias("source_category_name"), url.alias("source_category_url"), F.col("_order").alias("source_category_order"),
     )
 
 

@@ -215,7 +215,8 @@ def feed_collection(spark, folder):
 
 @query("feed_collections", """
 SELECT p_brand AS site, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_type) AS INTEGER) AS idx, p_type AS name,
-  lower(p_type) AS handle, CAST(count(*) AS VARCHAR) AS products_found, 'C-' || p_type AS category_id
+  lower(p_type) AS handle, CAST(count(*) AS VARCHAR) AS products_found, 'C-' || p_type AS category_id,
+  'https://' || p_brand || '/collections/' || lower(p_type) AS url
 FROM part GROUP BY p_brand, p_type""")
 def feed_collections(spark, folder):
     counts = FX.parts(spark, folder).groupBy("p_brand", "p_type").agg(F.count(F.lit(1)).alias("n"))
@@ -223,7 +224,8 @@ def feed_collections(spark, folder):
     listed = F.sort_array(F.collect_list(F.struct("p_type", item.alias("item"))))
     pages = counts.groupBy(F.col("p_brand").alias("site")).agg(listed.alias("l"))
     return C.feed_collections(
-        pages.select("site", F.lit(1).alias("page_no"), F.transform("l", lambda e: e["item"]).alias("items")), ["site"]
+        pages.select("site", F.lit(1).alias("page_no"), F.transform("l", lambda e: e["item"]).alias("items")), ["site"],
+        base=F.concat(F.lit("https://"), F.col("site")),
     )
 
 
