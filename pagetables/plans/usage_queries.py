@@ -12,7 +12,7 @@ from pagetables.plans import fixtures as FX
 from pagetables.plans import sqltext as Q
 from pagetables.plans.corpus_queries import pages_of
 from pagetables.plans.page_queries import DETAIL_SQL
-from pagetables.plans.registry import query, table
+from pagetables.plans.registry import SQL, query, table
 from pagetables.sinks import sheets as SH
 from pagetables.streaming import streams as ST
 
@@ -373,6 +373,11 @@ def stream_pages(spark, folder):
     return ST.drain(ST.stream_links(ST.stream_table(spark, folder, "pages"))).select("page_id", "pos", "href", "text")
 
 
+@query("stream_titles", SQL["page_title"])
+def stream_titles(spark, folder):
+    return ST.drain(ST.stream_titles(ST.stream_table(spark, folder, "pages"))).drop("batch_id")
+
+
 @query("stream_merge", f"""
 WITH {Q.LINKS}
 SELECT href AS url, min(struct_pack(a := page_id, b := pos)).a AS page_id, min(struct_pack(a := page_id, b := pos)).b AS pos,
@@ -392,7 +397,8 @@ def stream_merge(spark, folder):
 @query("stream_dedup_urls", f"WITH {Q.LINKS} SELECT DISTINCT href FROM links")
 def stream_dedup_urls(spark, folder):
     links = ST.stream_links(ST.stream_table(spark, folder, "pages"))
-    timed = links.withColumn("seen_at", F.timestamp_seconds(F.lit(1704067200)))
+    # a page was seen some seconds after the one before it
+    timed = links.withColumn("seen_at", F.timestamp_seconds(F.lit(1704067200) + F.col("page_id") % 500))
     return ST.drain(ST.stream_dedup_urls(timed, "seen_at")).select("href")
 
 

@@ -14,7 +14,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pagetables.functions.urls import site_of
 from pagetables.operators.accounts import FREE_REQUESTS, SUBSCRIPTION_DAYS, job_latest
 from pagetables.operators.merge import merge_by_key
-from pagetables.operators.pages import page_links
+from pagetables.operators.pages import page_links, page_meta, page_title
 from pagetables.session import shared_folder
 
 
@@ -69,6 +69,16 @@ def stream_links(pages: DataFrame) -> DataFrame:
     return page_links(pages)
 
 
+def stream_titles(pages: DataFrame) -> DataFrame:
+    """Titles of arriving pages."""
+    return page_title(pages)
+
+
+def stream_meta(pages: DataFrame) -> DataFrame:
+    """Named meta tags of arriving pages."""
+    return page_meta(pages)
+
+
 def stream_dedup_urls(links: DataFrame, ts: str, delay: str = "10 minutes") -> DataFrame:
     """First arrival of each (site, URL) within the watermark."""
     keyed = links.withColumn("site", site_of("href")).withWatermark(ts, delay)
@@ -81,26 +91,44 @@ def stream_job_latest(updates: DataFrame, fields: Sequence[str]) -> DataFrame:
 
 
 class MergeSink:
-    """Upsert by URL for a stream, as an append-only table of partial merges.
+    """Upsert by URL for a stream, as a table of partial merges.
 
-    Every micro-batch is merged in itself and written below its batch id, so a
-    repeated batch replaces its own files. Merging is associative over batches,
-    so a read merges the partial rows; `compact` folds them into one.
+    Every micro-batch is merged in itself and written below its batch id, so a repeated batch replaces its own files.
+    Merging is associative over batches, so a read merges the partial rows. `compact` folds all batches so far into
+    one and starts a new generation: later batches and reads use that one only, and the folders of earlier generations
+    may be deleted. A generation is named by the first batch id that is not in its folded part, so a batch that is
+    repeated after a compaction changes nothing.
     """
 
     def __init__(self, path: str, key: str, order: Sequence[str]) -> None:
-        self.path, self.key, self.order = path, key, list(order)
+        self.path, self.key, self.order, self.generation = path, key, list(order), 0
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        partial = merge_by_key(batch, self.key, self.order)
-        partial.write.mode("overwrite").parquet(f"{self.path}/batch_id={batch_id}")
+        if batch_id >= self.generation:
+            self._write(merge_by_key(batch, self.key, self.order), batch_id)
 
-    def read(self, spark: SparkSession) -> DataFrame:
-        partial = spark.read.parquet(self.path).withColumn("batch_id", F.col("batch_id").cast("bigint"))
-        return merge_by_key(partial, self.key, ["batch_id", *self.order]).drop("batch_id")
+    def _write(self, rows: DataFrame, batch_id: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.path}/generation={self.generation}/batch_id={batch_id}")
+
+    def resume(self, spark: SparkSession) -> MergeSink:
+        """Take up the latest generation of a table that an earlier run wrote."""
+        self.generation = spark.read.parquet(self.path).agg(F.max(F.col("generation").cast("bigint"))).first()[0] or 0
+        return self
 
-    def compact(self, spark: SparkSession, target: str) -> None:
-        self.read(spark).write.mode("overwrite").parquet(f"{target}/batch_id=-1")
+    def _partial(self, spark: SparkSession) -> DataFrame:
+        rows = spark.read.parquet(f"{self.path}/generation={self.generation}")
+        return rows.withColumn("batch_id", F.col("batch_id").cast("bigint"))
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        return merge_by_key(self._partial(spark), self.key, ["batch_id", *self.order]).drop("batch_id")
+
+    def compact(self, spark: SparkSession) -> None:
+        rows = self._partial(spark)
+        last = rows.agg(F.max("batch_id")).first()[0]
+        merged = merge_by_key(rows, self.key, ["batch_id", *self.order]).drop("batch_id")
+        if last is not None and last >= self.generation:
+            self.generation = last + 1
+            self._write(merged, -1)
 
 
 QUOTA_OUTPUT = "event_id bigint, user bigint, effective_plan string, allowed boolean, used int, remaining int"

@@ -199,4 +199,11 @@ def test_streaming_merge_over_several_batches_equals_batch(spark, tmp_path):
     run = stream.writeStream.foreachBatch(sink).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     run.awaitTermination()
     sink(frame.filter("pos >= 60"), 2)  # a repeated batch changes nothing
-    assert sorted(map(tuple, sink.read(spark).collect())) == sorted(map(tuple, merge.merge_by_key(frame, "url", ["pos"]).collect()))
+    expected = sorted(map(tuple, merge.merge_by_key(frame, "url", ["pos"]).collect()))
+    assert sorted(map(tuple, sink.read(spark).collect())) == expected
+    sink.compact(spark)
+    sink(frame.filter("pos >= 60"), 2)  # repeated after the compaction
+    assert sink.generation == 3 and sorted(map(tuple, sink.read(spark).collect())) == expected
+    later = streams.MergeSink(str(tmp_path / "out"), "url", ["pos"]).resume(spark)
+    later(frame.filter("pos < 5").withColumn("url", F.concat("url", F.lit("2"))), 3)
+    assert later.read(spark).count() == len(expected) + frame.filter("pos < 5").select("url").distinct().count()
