@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pagetables.functions import payload as J
 from pagetables.functions.text import clean_warnings, normalize_email, truthy
 from pagetables.operators.ranking import top_k
-from pagetables.operators.timeline import with_last, with_next
+from pagetables.operators.timeline import with_last, with_next, with_running_count
 
 # --- fixed values: results depend on these exact numbers and texts -----------
 FREE_REQUESTS = 3
@@ -59,22 +59,16 @@ def effective_plan(
 def free_quota(requests: DataFrame, user: str = "user", limit: int = FREE_REQUESTS) -> DataFrame:
     """Requests with their quota state. Free requests 1..limit count, later ones are denied and do not.
 
-    Only the first `limit` free requests of a user decide, and they are found
-    by a top-k. A busy user never goes through one window.
+    The count runs over chunks of the time line, so a busy user never goes through one window.
     """
-    at = F.struct("ts", "event_id")
-    free = requests.filter(F.col("effective_plan") == "free").select(user, "ts", "event_id")
-    first = top_k(free, [user], [F.col("ts"), F.col("event_id")], limit)
-    marks = first.groupBy(user).agg(F.sort_array(F.collect_list(at)).alias("_marks"))
-    joined = requests.join(marks, user, "left")
-    used = F.coalesce(F.size(F.filter("_marks", lambda m: m <= at)), F.lit(0))
     is_free = F.col("effective_plan") == "free"
-    counted = F.exists("_marks", lambda m: m == at)
+    counted = with_running_count(requests, user, "ts", ["ts", "event_id"], is_free, "_seen")
+    used = F.least(F.col("_seen"), F.lit(limit)).cast("int")
     return (
-        joined.withColumn("allowed", ~is_free | F.coalesce(counted, F.lit(False)))
-        .withColumn("used", F.greatest(used, F.lit(0)))
-        .withColumn("remaining", F.greatest(F.lit(0), F.lit(limit) - F.greatest(used, F.lit(0))))
-        .drop("_marks")
+        counted.withColumn("allowed", ~is_free | (F.col("_seen") <= limit))
+        .withColumn("used", used)
+        .withColumn("remaining", F.lit(limit) - used)
+        .drop("_seen")
     )
 
 
@@ -88,23 +82,42 @@ def plan_gate(requests: DataFrame, plan: str = "plan", mode: str = "mode") -> Da
     return requests.withColumn("reason", reason)
 
 
-def account_state(updates: DataFrame) -> DataFrame:
-    """Latest account per normalised e-mail; non-blank new values win over old ones."""
+#: Columns of an account that its updates may lack, and their first values.
+ACCOUNT_DEFAULTS = {
+    "free_scrapes_used": 0, "plan": "free", "plan_status": "free", "subscription_id": "",
+    "subscription_expires_at": 0, "subscription_checked_at": 0,
+}
+
+
+def account_state(updates: DataFrame, lifetime: Sequence[str] = ()) -> DataFrame:
+    """Latest account per normalised e-mail; non-blank new values win over old ones.
+
+    Fields that no update gives have their first values; e-mails in `lifetime` have the full plan for good.
+    """
     at = F.struct("ts", "update_id")
 
     def latest(column: str) -> Column:
         return F.max_by(column, F.when(truthy(column).isNotNull(), at))
 
+    def newest(column: str) -> Column:
+        return F.max_by(column, F.when(F.col(column).isNotNull(), at))
+
+    given = [c for c in ACCOUNT_DEFAULTS if c in updates.columns]
     keyed = updates.withColumn("email", normalize_email("email")).filter("email <> ''")
     state = keyed.groupBy("email").agg(
         latest("name").alias("name"),
         latest("picture").alias("picture"),
         F.min("ts").alias("created_at"),
         F.max("ts").alias("updated_at"),
+        *[newest(c).alias(c) for c in given],
     )
-    return state.withColumn("name", F.coalesce(truthy("name"), F.col("email"))).withColumn(
-        "picture", F.coalesce(truthy("picture"), F.lit(""))
-    )
+    state = state.withColumns({
+        "name": F.coalesce(truthy("name"), F.col("email")), "picture": F.coalesce(truthy("picture"), F.lit("")),
+        **{c: F.coalesce(c, F.lit(v)) if c in given else F.lit(v) for c, v in ACCOUNT_DEFAULTS.items()},
+        "lifetime_access": F.col("email").isin(*lifetime) if lifetime else F.lit(False),
+    })
+    forever = {"plan": "pro", "plan_status": "lifetime", "subscription_expires_at": 0}
+    return state.withColumns({c: F.when(F.col("lifetime_access"), F.lit(v)).otherwise(F.col(c)) for c, v in forever.items()})
 
 
 def account_report(accounts: DataFrame, now: Column, limit: int = FREE_REQUESTS) -> DataFrame:

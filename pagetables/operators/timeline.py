@@ -36,6 +36,22 @@ def with_last(
     )
 
 
+def with_running_count(
+    df: DataFrame, key: str, ts: str, order: Sequence[str], flag: Column, name: str, chunk: str = CHUNK
+) -> DataFrame:
+    """Adds how many of the key's rows at or before each row have the flag."""
+    rows = df.withColumn("_chunk", F.date_trunc(chunk, F.col(ts))).withColumn("_flag", flag)
+    chunks = rows.groupBy(key, "_chunk").agg(F.count_if("_flag").alias("_n"))
+    before = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carry = chunks.select(key, "_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_carry"))
+    inside = Window.partitionBy(key, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (
+        rows.join(carry, [key, "_chunk"])
+        .withColumn(name, F.count_if("_flag").over(inside) + F.col("_carry"))
+        .drop("_chunk", "_flag", "_carry")
+    )
+
+
 def with_next(df: DataFrame, key: str, ts: str, order: Sequence[str], name: str, chunk: str = CHUNK) -> DataFrame:
     """Adds the time of the key's next row, NULL for the last one."""
     rows = df.withColumn("_chunk", F.date_trunc(chunk, F.col(ts)))

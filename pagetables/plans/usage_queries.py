@@ -89,11 +89,16 @@ def plan_gate(spark, folder):
 WITH u AS (
   SELECT lower(replace(c_name, '#', '')) || '@example.com' AS email, o_orderdate AS ts, o_orderkey AS update_id,
     CASE WHEN o_orderpriority LIKE '1%' THEN 'N' || o_orderkey ELSE '' END AS name,
-    CASE WHEN o_totalprice > 200000 THEN 'pic' || o_orderkey END AS picture
+    CASE WHEN o_totalprice > 200000 THEN 'pic' || o_orderkey END AS picture,
+    CASE WHEN o_orderpriority LIKE '2%' THEN o_orderkey % 4 END AS used
   FROM orders JOIN customer ON o_custkey = c_custkey)
 SELECT email, coalesce(arg_max(name, struct_pack(a := ts, b := update_id)) FILTER (name <> ''), email) AS name,
   coalesce(arg_max(picture, struct_pack(a := ts, b := update_id)) FILTER (picture <> ''), '') AS picture,
-  min(ts) AS created_at, max(ts) AS updated_at FROM u GROUP BY email""")
+  min(ts) AS created_at, max(ts) AS updated_at, coalesce(arg_max(used, struct_pack(a := ts, b := update_id)) FILTER (used IS NOT NULL), 0) AS free_scrapes_used,
+  CASE WHEN email = 'customer000000005@example.com' THEN 'pro' ELSE 'free' END AS plan,
+  CASE WHEN email = 'customer000000005@example.com' THEN 'lifetime' ELSE 'free' END AS plan_status, '' AS subscription_id,
+  0 AS subscription_expires_at, 0 AS subscription_checked_at, email = 'customer000000005@example.com' AS lifetime_access
+FROM u GROUP BY email""")
 def account_state(spark, folder):
     customers = table(spark, folder, "customer").select("c_custkey", "c_name")
     updates = table(spark, folder, "orders").join(customers, F.col("o_custkey") == F.col("c_custkey")).select(
@@ -101,8 +106,9 @@ def account_state(spark, folder):
         F.col("o_orderdate").alias("ts"), F.col("o_orderkey").alias("update_id"),
         F.when(F.col("o_orderpriority").startswith("1"), F.concat(F.lit("N"), F.col("o_orderkey"))).otherwise(F.lit("")).alias("name"),
         F.when(F.col("o_totalprice") > 200000, F.concat(F.lit("pic"), F.col("o_orderkey"))).alias("picture"),
+        F.when(F.col("o_orderpriority").startswith("2"), F.col("o_orderkey") % 4).alias("free_scrapes_used"),
     )
-    return A.account_state(updates)
+    return A.account_state(updates, ["customer000000005@example.com"])
 
 
 def account_rows(spark, folder):
