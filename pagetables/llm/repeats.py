@@ -224,6 +224,7 @@ def _ranked(columns, starts: np.ndarray) -> np.ndarray:
 
 
 def _maximal(columns) -> dict:
+    """The stretches of each document that maximal repeats mark, overlapping ones as one."""
     lo = np.array(columns["lo"], np.int64)
     sizes = np.array([len(b) for b in columns["bytes"]], np.int64)
     owner = np.repeat(np.arange(len(lo)), sizes + 1)
@@ -235,9 +236,17 @@ def _maximal(columns) -> dict:
     data[last] = 257 + np.arange(len(lo))
     base = _ranked(columns, lo)
     found, length = repeats(data, base[owner] + within)
-    who = owner[found]
+    places = base[owner[found]] + within[found]  # document and start in one number
+    order = np.argsort(places, kind="stable")
+    places, ends = places[order], (places + length)[order]
+    if not len(places):
+        return {"did": [], "dg": [], "start": [], "size": []}
+    reach = np.maximum.accumulate(ends)
+    heads = np.flatnonzero(np.concatenate([[True], places[1:] > reach[:-1]]))
+    tails = np.concatenate([reach[heads[1:] - 1], reach[-1:]])
+    who = owner[found][order][heads]
     pick = lambda c: [columns[c][i] for i in who.tolist()]
-    return {"did": pick("did"), "dg": pick("dg"), "start": lo[who] + within[found], "size": length}
+    return {"did": pick("did"), "dg": pick("dg"), "start": places[heads] & ((1 << 40) - 1), "size": tails - places[heads]}
 
 
 def _strings(columns):
