@@ -18,7 +18,7 @@ from pagetables.llm.vectors import run_hashes
 #: A line is boilerplate on a host from so many distinct texts, and so large a share of the host's texts, on.
 TEXTS, SHARE = 20, 0.002
 #: A document is depleted if fewer words are left, or a smaller share of them.
-LEFT_WORDS, LEFT_SHARE = 20, 0.1
+LEFT_WORDS, LEFT_SHARE = 10, 0.2
 #: Limits of the contract for the base rules.
 MIN_WORDS, MAX_REPEATED, WINDOW = 20, 30, 8
 BLANKS = "\x09\x0a\x0b\x0c\x0d"
