@@ -203,7 +203,8 @@ def pack(docs: DataFrame, length: int = LENGTH, path=vocabulary_path) -> DataFra
         yield out
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    joined = rows.select("uid", "doc_id", "ids", "width").join(at, "uid").drop("uid")
+    # sorted and merged at every size: the ids are moved once and no side is held in memory
+    joined = rows.select("uid", "doc_id", "ids", "width").join(at.hint("merge"), "uid").drop("uid")
     return map_batches(
         joined, fn, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     )
