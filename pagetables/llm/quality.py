@@ -106,6 +106,37 @@ def judge(docs: DataFrame, texts: int = TEXTS, share: float = SHARE) -> DataFram
     )
 
 
-@query("op2_quality_rules")
+BLANK = r"[\x20\x09-\x0D]"
+WORD = r"[^\x20\x09-\x0D]+"
+OP2_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS host, text, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORD}') AS words FROM documents),
+runs AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, run) AS n
+  FROM (SELECT doc_id, i, array_to_string(words[i + 1:i + {WINDOW}], ' ') AS run
+        FROM (SELECT doc_id, words, unnest(range(len(words) - {WINDOW - 1})) AS i FROM d WHERE len(words) >= {WINDOW}))),
+repeated AS (
+  SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest(range(i, i + {WINDOW})) AS place FROM runs WHERE n > 1) GROUP BY doc_id),
+lines AS (
+  SELECT doc_id, host, text, line, len(words) AS size, regexp_replace(lower(array_to_string(words, ' ')), '[0-9]+', '0', 'g') AS norm
+  FROM (SELECT *, regexp_extract_all(line, '{WORD}') AS words FROM (SELECT doc_id, host, text, unnest(string_split(t, chr(10))) AS line FROM d))
+  WHERE len(words) > 0),
+doubled AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY doc_id),
+hosts AS (SELECT host, count(DISTINCT t) + max(CASE WHEN text IS NULL THEN 1 ELSE 0 END) AS texts FROM d GROUP BY host),
+common AS (SELECT host, norm FROM lines JOIN hosts USING (host) GROUP BY host, norm, texts
+  HAVING count(DISTINCT text) >= {TEXTS} AND count(DISTINCT text) >= {SHARE} * texts),
+gone AS (SELECT doc_id, sum(size) AS n FROM lines JOIN common USING (host, norm) GROUP BY doc_id),
+all_of AS (
+  SELECT d.doc_id, len(words) AS n_words, length(regexp_replace(t, '{BLANK}', '', 'g')) AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(doubled.n, 0) AS n_dup_lines, coalesce(repeated.n, 0) AS n_repeat_words,
+    CAST(len(words) - coalesce(gone.n, 0) AS BIGINT) AS words_left
+  FROM d LEFT JOIN doubled USING (doc_id) LEFT JOIN repeated USING (doc_id) LEFT JOIN gone USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED} * n_words AS base_failed,
+  NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED} * n_words)
+    AND words_left >= {LEFT_WORDS} AND words_left >= {LEFT_SHARE} * n_words AS kept, words_left
+FROM all_of"""
+
+
+@query("op2_quality_rules", OP2_SQL)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"))
