@@ -19,6 +19,7 @@ SLOTS = 1 << 18
 PROBES = 2
 #: The model is fitted on at most this many labelled rows of each language, the first by the hash of their id.
 SAMPLE = 1000
+SALTS = 64
 #: An n-gram belongs to a language if this share of its texts has it, and no less than NEAR times the largest share.
 LEAST, NEAR = 0.02, 0.3
 UNKNOWN = "und"
@@ -64,8 +65,10 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]
     SLOTS masks and the counts per language.
     """
     usable = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    place = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = usable.select("doc_id", "lang").withColumn("rn", F.row_number().over(place)).filter(F.col("rn") <= sample)
+    chosen = usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("place")).withColumn("salt", F.pmod("place", F.lit(SALTS)))
+    for keys in (["lang", "salt"], ["lang"]):  # the last task of a language gets `sample` rows of each salt
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy("place", "doc_id"))
+        chosen = chosen.withColumn("rn", rank).filter(F.col("rn") <= sample).drop("rn")
     chosen = chosen.select("doc_id").distinct()  # at most `sample` ids of each language
     texts = usable.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id")
     sizes = {r["lang"]: r["n"] for r in texts.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
