@@ -24,7 +24,7 @@ VOCABULARY = "word_bpe_49k.json"
 END = 1
 BUCKETS, DIMENSIONS, BITS = 256, 4, 8
 #: Chunks of text with known ids that a worker keeps; the table is dropped when full.
-KNOWN = 400_000
+KNOWN = 300_000
 #: Ranges of the curve, at most; rows of a range for smaller corpora.
 RANGES, RANGE_ROWS = 4096, 20_000
 
