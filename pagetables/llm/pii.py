@@ -34,7 +34,6 @@ KINDS = {
     "secret": (SECRET, None, 0.3, r"(?:passw(?:or)?d|secret|token|api[_-]?key)\s*[=:]\s*$", "commit|sha|hash"),
 }
 BASE = ("email", "ip", "card", "phone")
-ADDED = tuple(k for k in KINDS if k not in BASE)
 #: A span that the method adds needs this score; context moves a score by STEP within NEAR characters before it.
 LEAST, STEP, NEAR = 0.6, 0.35, 40
 

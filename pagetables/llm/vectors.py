@@ -55,21 +55,6 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return mixed(np.add.reduceat(values, heads)), np.searchsorted(first, starts)
 
 
-def shingle_sets(texts: list[str], size: int = 5) -> list[np.ndarray]:
-    """The distinct hashes of each text's runs of `size` words, sorted; a shorter text's words are one run, no words none."""
-    words, starts = word_hashes(texts)
-    runs = run_hashes(words, size)
-    out = []
-    for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
-        if b - a >= size:
-            out.append(np.unique(runs[a:b - size + 1]))
-        elif b > a:
-            out.append(run_hashes(words[a:b], b - a))
-        else:
-            out.append(np.zeros(0, np.uint64))
-    return out
-
-
 def run_hashes(values: np.ndarray, size: int) -> np.ndarray:
     """The hash of each run of `size` values, by the place where it starts."""
     n = len(values) - size + 1
