@@ -76,26 +76,37 @@ def contexts(hashes: Hashes, place, first, last, length: int = LENGTH) -> np.nda
     return mixed(around + ((place - first) * 256 + (last - place)).astype(np.uint64))
 
 
-def suffixes(data: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix array by prefix doubling and common prefix lengths of neighbours, right up to `most`; data are numbers > 0."""
+def suffixes(data: np.ndarray, most: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix array by the ranks of ever longer prefixes, and common prefix lengths of neighbours.
+
+    Lengths from `least` to `most` are right, shorter ones may come out as less; data are numbers > 0.
+    """
     n = len(data)
-    levels = [np.unique(data, return_inverse=True)[1].astype(np.int64) + 1]
-    width = 1
+    rank, width = np.unique(data, return_inverse=True)[1].astype(np.int64) + 1, 1
+    levels = [(width, rank)]
+
+    def behind(by: int) -> np.ndarray:
+        return np.concatenate([rank[by:], np.zeros(min(by, n), np.int64)])
+
     while width < most:
-        rank = levels[-1]
-        behind = np.concatenate([rank[width:], np.zeros(min(width, n), np.int64)])[:n]
-        levels.append(np.unique(rank * (n + 2) + behind, return_inverse=True)[1].astype(np.int64) + 1)
-        width *= 2
-    order = np.argsort(levels[-1], kind="stable")
-    a, b = order[:-1].copy(), order[1:].copy()
+        top = int(rank.max()) + 1
+        if top < 1 << 21:  # three ranks fit into one number
+            key, width = rank << 42 | behind(width) << 21 | behind(2 * width), 3 * width
+        else:
+            key, width = rank * top + behind(width), 2 * width
+        rank = np.unique(key, return_inverse=True)[1].astype(np.int64) + 1
+        levels.append((width, rank))
+    order = np.argsort(rank, kind="stable")
     common = np.zeros(max(n - 1, 0), np.int64)
-    for level in range(len(levels) - 1, -1, -1):
-        padded = np.concatenate([levels[level], np.zeros(1, np.int64)])
-        for _ in range(2 if level == len(levels) - 1 else 1):
-            same = (a < n) & (b < n)
-            same &= padded[np.minimum(a, n)] == padded[np.minimum(b, n)]
-            step = same * (1 << level)
-            common += step
+    live, a, b = np.arange(n - 1), order[:-1], order[1:]
+    for width, rank in reversed(levels):
+        if width == max(w for w, _ in levels if w <= least):  # pairs that share less do not matter
+            near = rank[order[:-1]] == rank[order[1:]]
+            live, a, b = live[near[live]], a[near[live]], b[near[live]]
+        padded = np.concatenate([rank, np.zeros(1, np.int64)])
+        for _ in range(2):
+            step = (padded[np.minimum(a, n)] == padded[np.minimum(b, n)]) * width
+            common[live] += step
             a, b = a + step, b + step
     return order, common
 
@@ -105,21 +116,22 @@ def repeats(data: np.ndarray, place: np.ndarray, length: int = LENGTH, most: int
 
     `data` holds bytes + 1 and, between texts, numbers over 256 that occur once.
     """
-    order, common = suffixes(data, most)
+    order, common = suffixes(data, most, length)
     left = np.concatenate([[0], data[:-1]])[order]
-    inside = common >= length
+    turns = np.concatenate([[0], np.cumsum(left[1:] != left[:-1])]).tolist()  # equal at both ends: one left neighbour all through
+    left, inside = left.tolist(), common >= length
     edges = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8)))
     starts, sizes = [], []
     for low, high in zip(edges[::2].tolist(), edges[1::2].tolist()):  # order[low..high] share `length` or more
         stack: list[tuple[int, int]] = []  # (common length, first place) of the open intervals
+        lengths = common[low:high].tolist()
         for i in range(low, high + 1):
-            now = int(common[i]) if i < high else 0
+            now = lengths[i - low] if i < high else 0
             begin = i
             while stack and stack[-1][0] > now:
                 size, begin = stack.pop()
-                group = order[begin:i + 1]
-                near = left[begin:i + 1]
-                if (near != near[0]).any() or near[0] > 256:  # cannot be extended to the left
+                if turns[i] > turns[begin] or left[begin] > 256:  # cannot be extended to the left
+                    group = order[begin:i + 1]
                     late = group[place[group] > place[group].min()]
                     starts.append(late)
                     sizes.append(np.full(len(late), size))
