@@ -18,10 +18,23 @@ EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: Kinds that the method adds.
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])"
+#: Kinds that the method adds. An account number has its country's length, whatever words follow; countries that are
+#: not listed take all groups up to 34 characters. The number stands in group 1 of a look-ahead and the match is its
+#: first four characters, so that no proposal hides the next one.
+LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK|FI|FK|FO|GL|NL|SD", 19: "MK|SI", 20: "AT|BA|EE|KZ|LT|LU|MN|XK", 21: "CH|HR|LI|LV",
+    22: "BG|BH|CR|DE|GB|GE|IE|ME|RS|VA", 23: "AE|IL|IQ|OM|SO|TL", 24: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG", 25: "LY|PT|ST",
+    26: "IS|TR", 27: "BI|DJ|FR|GR|IT|MC|MR|SM", 28: "AL|AZ|BY|CY|DO|GT|HN|HU|LB|NI|PL|SV", 29: "BR|EG|PS|QA|UA",
+    30: "JO|KW|MU|YE", 31: "MT|SC", 32: "LC", 33: "RU",
+}
+HEAD = 4
+_listed = "|".join(rf"(?:{names})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - HEAD}}}" for n, names in LENGTHS.items())
+_other = rf"(?!{'|'.join(LENGTHS.values())})[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{11,30}}"
+IBAN = rf"(?<![A-Za-z0-9])(?=((?:{_listed}|{_other})(?![A-Za-z0-9])))[A-Z]{{2}}[0-9]{{2}}"
 NATIONAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-SECRET = r"(?<![A-Za-z0-9_])[A-Za-z0-9_/+-]{12,64}(?![A-Za-z0-9_])"
+SECRET = r"(?<![A-Za-z0-9_])[A-Za-z0-9_/+-]{12,}+"
+#: What stands before a secret: a word, its sign and perhaps quotes, as in `token = "` and `"api_key": "`.
+NAMED = r"(?:passw(?:or)?d|secret|token|api[_-]?key)\\?[\"'`]?\s*[=:]"
 
 #: kind: (pattern, text that a match needs, start score, words that raise it, words that lower it)
 KINDS = {
@@ -31,22 +44,27 @@ KINDS = {
     "phone": (PHONE, "+", 0.6, "tel|phone|call|mobile|fax|llame|appel", "score|result"),
     "iban": (IBAN, None, 0.8, "iban|bank|account|konto|cuenta|compte", "serial|part"),
     "national_id": (NATIONAL, "-", 0.4, r"ssn|social security|tax id", "order|part|serial"),
-    "secret": (SECRET, None, 0.3, r"(?:passw(?:or)?d|secret|token|api[_-]?key)\s*[=:]\s*$", "commit|sha|hash"),
+    "secret": (SECRET, None, 0.3, NAMED + r"\s*\\?[\"'`]?$", r"(?<![a-z])(?:commits?|sha|hash(?:es)?)(?![a-z])"),
 }
 BASE = ("email", "ip", "card", "phone")
 #: A span that the method adds needs this score; context moves a score by STEP within NEAR characters before it.
 LEAST, STEP, NEAR = 0.6, 0.35, 40
 
 
-def proposals(text: Column, pattern: str) -> Column:
-    """Leftmost matches that do not overlap, as an array of structs (s, e, v)."""
-    marked = F.regexp_replace(F.replace(text, F.lit(MARK), F.lit(OTHER)), F.lit(pattern), F.lit(f"{MARK}$0{MARK}"))
+def proposals(text: Column, pattern: str, head: int = 0) -> Column:
+    """Leftmost matches that do not overlap, as an array of structs (s, e, v).
+
+    With `head` a match is that many characters long and starts a value, which group 1 of `pattern` holds; values may overlap.
+    """
+    found = "$0$1" if head else "$0"
+    marked = F.regexp_replace(F.replace(text, F.lit(MARK), F.lit(OTHER)), F.lit(pattern), F.lit(f"{MARK}{found}{MARK}"))
     empty = F.array().cast("array<struct<s:int,e:int,v:string>>")
     start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("odd"), empty.alias("out"))
 
     def step(acc: Column, piece: Column) -> Column:
-        end = acc["at"] + F.length(piece)
-        found = F.struct(acc["at"].alias("s"), end.alias("e"), piece.alias("v"))
+        end = acc["at"] + (F.when(acc["odd"], head).otherwise(F.length(piece)) if head else F.length(piece))
+        value = F.substring(piece, F.lit(head + 1), F.length(piece)) if head else piece
+        found = F.struct(acc["at"].alias("s"), (acc["at"] + F.length(value)).alias("e"), value.alias("v"))
         return F.struct(
             end.alias("at"), (~acc["odd"]).alias("odd"),
             F.when(acc["odd"], F.array_append(acc["out"], found)).otherwise(acc["out"]).alias("out"),
@@ -98,12 +116,12 @@ def scored(kind: str, text: Column) -> Column:
         )
 
     if kind == "secret":  # its marks may stand anywhere, so look for the words first
-        some = F.lower(text).rlike(r"(?:passw(?:or)?d|secret|token|api[_-]?key)\s*[=:]")
+        some = F.lower(text).rlike(NAMED)
     elif needs is None:
         some = text.rlike("[0-9]{2}|[0-9][ -][0-9]")
     else:
         some = F.contains(text, F.lit(needs))
-    found = F.transform(F.filter(proposals(text, pattern), lambda m: confirmed(kind, m["v"])), span)
+    found = F.transform(F.filter(proposals(text, pattern, HEAD if kind == "iban" else 0), lambda m: confirmed(kind, m["v"])), span)
     none = F.array().cast("array<struct<kind:string,s:int,e:int,score:double>>")
     found = found if kind in BASE else F.filter(found, lambda m: m["score"] >= LEAST)
     return F.when(some, found).otherwise(none)

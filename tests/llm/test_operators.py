@@ -388,6 +388,33 @@ def test_added_kinds_and_masks(spark):
     assert pii.without_personal_data(frame).columns == frame.columns
 
 
+def spans_of(spark, texts, kind):
+    rows = {r.doc_id: r.spans for r in pii.digest(docs_of(spark, texts)).collect()}
+    spans = [[s.split(":") for s in rows[i].split(",") if s.startswith(kind + ":")] for i in range(len(texts))]
+    return [[t[int(a):int(b)] for _, a, b in found] for t, found in zip(texts, spans)]
+
+
+def test_quoted_and_long_secrets(spark):
+    known = [r.text for r in table(spark, "/root/testdata/sf0.01", "documents").filter("text ilike '%token = \"%'").collect()]
+    wanted = [re.findall(r'(?i)token = "([0-9a-f]{40})"', t) for t in known]
+    assert sum(map(len, wanted)) > 0 and spans_of(spark, known, "secret") == wanted
+    secret, long = "dfd1944d0f5c", "a1" * 100
+    forms = ['token = "%s".', "é {\"api_key\": \"%s\"}", "password='%s'", "{\\\"secret\\\":\\\"%s\\\"}", "token: %s"]
+    made = [f % v for f in forms for v in (secret, long)]
+    assert spans_of(spark, made, "secret") == [[v] for _ in forms for v in (secret, long)]
+    assert spans_of(spark, [f'the name "{secret}"', 'token = "abcdefghijklm"'], "secret") == [[], []]
+    lowered = [f'they shathed token = "{secret}"', f'sha1 token = "{secret}"', f'commit_hash token = "{secret}"']
+    assert spans_of(spark, lowered, "secret") == [[secret], [], []]
+
+
+def test_account_numbers_among_words(spark):
+    de, no, gb = "DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947", "GB29NWBK60161331926819"
+    made = [f"{de} EUR", f"{de} 25 OPEN", f"{no} A 1 B 2", f"{de} {gb} {no}", f"REF AA11 {gb} END", f"É {gb}X", f"{de[:-1]}1 EUR", f"X{gb}"]
+    assert spans_of(spark, made, "iban") == [[de], [de], [no], [de, gb, no], [gb], [], [], []]
+    masked = pii.without_personal_data(docs_of(spark, made[3:4])).first().text
+    assert masked == "<IBAN> <IBAN> <IBAN>"
+
+
 # --- 9 ------------------------------------------------------------------------
 
 def near_brute(texts):
