@@ -23,6 +23,10 @@ SALTS = 64
 #: An n-gram belongs to a language if this share of its texts has it, and no less than NEAR times the largest share.
 LEAST, NEAR = 0.02, 0.3
 UNKNOWN = "und"
+#: A known language needs this part of the evidence (corrected hits over n-grams) that all but LOWEST of its labelled
+#: rows reach; less where a language has few of them (FEW halves it), as they teach few n-grams. Short texts may miss
+#: it by DEVIATIONS standard deviations.
+PART, LOWEST, FEW, DEVIATIONS = 0.5, 0.01, 20, 1
 
 
 def held_out() -> Column:
@@ -58,19 +62,24 @@ def probes(hashes: np.ndarray, slots: int = SLOTS) -> list[np.ndarray]:
     return [((hashes >> np.uint64(22 * i)) % np.uint64(slots)).astype(np.int64) for i in range(PROBES)]
 
 
-def learn(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """Languages in order and the masks, one row per slot and one word for each 63 languages.
-
-    `docs` (doc_id, text, lang); rows without text or language teach nothing. What comes to the driver are at most
-    SLOTS masks and the counts per language.
-    """
+def labelled(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """The rows (doc_id, text, lang) that teach: at most about `sample` of each language."""
     usable = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
     chosen = usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("place")).withColumn("salt", F.pmod("place", F.lit(SALTS)))
     for keys in (["lang", "salt"], ["lang"]):  # the last task of a language gets `sample` rows of each salt
         rank = F.row_number().over(Window.partitionBy(*keys).orderBy("place", "doc_id"))
         chosen = chosen.withColumn("rn", rank).filter(F.col("rn") <= sample).drop("rn")
     chosen = chosen.select("doc_id").distinct()  # at most `sample` ids of each language
-    texts = usable.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id")
+    return usable.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id")
+
+
+def learn(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
+    """Languages in order and the masks, one row per slot and one word for each 63 languages.
+
+    `docs` (doc_id, text, lang); rows without text or language teach nothing. What comes to the driver are at most
+    SLOTS masks and the counts per language.
+    """
+    texts = labelled(docs, sample)
     sizes = {r["lang"]: r["n"] for r in texts.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     names = sorted(sizes)
     if not names:
@@ -104,33 +113,69 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]
     return names, masks
 
 
-def predict(docs: DataFrame, names: list[str], masks: np.ndarray) -> DataFrame:
+def false_positives(names: list[str], masks: np.ndarray) -> np.ndarray:
+    fill = np.array([((masks[:, i // 63] >> np.uint64(i % 63)) & np.uint64(1)).mean() for i in range(len(names))]) if names else np.zeros(0)
+    return fill ** PROBES
+
+
+def corrected(texts: list[str], masks: np.ndarray, false: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hits of each text per language less the expected false ones, its number of n-grams, and whether it has a letter."""
+    hashes, owners, seen = grams(texts)
+    slots = probes(hashes)
+    total = np.bincount(owners, minlength=len(texts))
+    hits = np.zeros((len(texts), len(false)))
+    for word in range(masks.shape[1]):
+        found = masks[slots[0], word]
+        for slot in slots[1:]:
+            found &= masks[slot, word]
+        some = np.flatnonzero(found)
+        found, by = found[some], owners[some]
+        for i in range(word * 63, min(len(false), word * 63 + 63)):
+            hits[:, i] = np.bincount(by, weights=((found >> np.uint64(i % 63)) & np.uint64(1)).astype(np.float64), minlength=len(texts))
+    return np.maximum(0, (hits - total[:, None] * false) / np.maximum(1e-9, 1 - false)), total, seen
+
+
+def calibrate(docs: DataFrame, names: list[str], masks: np.ndarray, sample: int = SAMPLE) -> np.ndarray:
+    """The evidence that each language needs, from the rows that taught it."""
+    false = false_positives(names, masks)
+    shared = docs.sparkSession.sparkContext.broadcast(masks)
+
+    def fn(columns):
+        net, total, _ = corrected(columns["text"], shared.value, false)
+        own = [names.index(x) for x in columns["lang"]]
+        share = net[np.arange(len(own)), own] / np.maximum(1, total)
+        yield {"lang": columns["lang"], "share": [x if n else None for x, n in zip(share.tolist(), total.tolist())]}
+
+    shares = map_batches(labelled(docs, sample).select("text", "lang"), fn, "lang string, share double")
+    low = shares.groupBy("lang").agg(F.count("share").alias("n"), F.expr(f"percentile_approx(share, {LOWEST})").alias("low"))
+    needs = {r["lang"]: PART * r["low"] * r["n"] / (r["n"] + FEW) for r in low.filter("n > 0").collect()}
+    return np.array([needs.get(name, 0.0) for name in names])
+
+
+def enough(net: np.ndarray, total: np.ndarray, needs: np.ndarray) -> np.ndarray:
+    """Whether the hits speak for the best language of each text: some hits, not the same for all, and as many as it needs."""
+    best = net.argmax(axis=1)
+    top, need = net.max(axis=1), needs[best]
+    slack = DEVIATIONS * np.sqrt(total * need * (1 - need))
+    return (top > 0) & (top >= total * need - slack) & ((net.shape[1] == 1) | (net.min(axis=1) < top))
+
+
+def predict(docs: DataFrame, names: list[str], masks: np.ndarray, needs: np.ndarray | None = None) -> DataFrame:
     """`docs` without its text and with lang_pred, score for every row; only the text is looked at.
 
-    A text that is null or has no letter, and any text when no language was learned, is `und` with score 0. Ties go
-    to the first language by name.
+    A text that is null or has no letter, and any text when no language was learned, is `und` with score 0; with
+    `needs`, so is a text without enough evidence. Ties go to the first language by name.
     """
-    fill = np.array([((masks[:, i // 63] >> np.uint64(i % 63)) & np.uint64(1)).mean() for i in range(len(names))]) if names else np.zeros(0)
-    false = fill ** PROBES
+    false = false_positives(names, masks)
     shared = docs.sparkSession.sparkContext.broadcast(masks)  # SLOTS words for each 63 languages: 2 MB
 
     def fn(texts):
-        hashes, owners, seen = grams(texts)
-        slots = probes(hashes)
-        total = np.bincount(owners, minlength=len(texts))
-        hits = np.zeros((len(texts), len(names)))
-        for word in range(shared.value.shape[1]):
-            found = shared.value[slots[0], word]
-            for slot in slots[1:]:
-                found &= shared.value[slot, word]
-            some = np.flatnonzero(found)
-            found, by = found[some], owners[some]
-            for i in range(word * 63, min(len(names), word * 63 + 63)):
-                hits[:, i] = np.bincount(by, weights=((found >> np.uint64(i % 63)) & np.uint64(1)).astype(np.float64), minlength=len(texts))
-        net = np.maximum(0, (hits - total[:, None] * false) / np.maximum(1e-9, 1 - false))
+        net, total, seen = corrected(texts, shared.value, false)
         best = net.argmax(axis=1) if names else np.zeros(len(texts), int)
         sums = net.sum(axis=1)
         known = seen & bool(names)
+        if names and needs is not None:
+            known &= enough(net, total, needs)
         return {
             "lang_pred": [names[b] if k else UNKNOWN for b, k in zip(best.tolist(), known.tolist())],
             "score": [float(net[i, best[i]] / sums[i]) if known[i] and sums[i] > 0 else 0.0 for i in range(len(texts))],
@@ -149,9 +194,10 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def known_language(docs: DataFrame) -> DataFrame:
-    """The rows of `docs`, all columns, whose text has a language that could be learned."""
-    names, masks = learn(docs.filter(~held_out()))
-    rows = predict(docs.select(F.struct(*docs.columns).alias("row"), "text"), names, masks)
+    """The rows of `docs`, all columns, whose text shows enough evidence for a language that could be learned."""
+    known = docs.filter(~held_out())
+    names, masks = learn(known)
+    rows = predict(docs.select(F.struct(*docs.columns).alias("row"), "text"), names, masks, calibrate(known, names, masks))
     return rows.filter(F.col("lang_pred") != UNKNOWN).select("row.*")
 
 

@@ -153,6 +153,18 @@ def test_language(spark, odd, empty):
     assert {r.lang_pred for r in nothing.collect()} == {"und"}
 
 
+def test_language_stage_rejects_without_evidence(spark):
+    rng = random.Random(8)
+    docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text", "lang")
+    junk = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(60)) for _ in range(20)]
+    junk += ["это простой русский текст о погоде и людях в городе", "日本語の文章です", "zqxj", "to jest polski tekst o pogodzie i ludziach w mieście"]
+    more = spark.createDataFrame([(10**9 + i, t, None) for i, t in enumerate(junk)], "doc_id long, text string, lang string")
+    letters = {r.doc_id for r in docs.collect() if r.text and any(c.isalpha() for c in r.text)}
+    assert {r.doc_id for r in language.known_language(docs.union(more)).collect()} == letters
+    net, total = np.array([[8.0, 8.0], [8.0, 2.0], [0.0, 0.0], [1.0, 0.0]]), np.array([9, 9, 9, 40])
+    assert language.enough(net, total, np.array([0.4, 0.4])).tolist() == [False, True, False, False]
+
+
 def test_filters_return_all_languages(spark):
     rows = [(i, t, x) for i, (t, x) in enumerate([("gemeinsam der hund", "de"), ("gemeinsam the dog", "en")] * 20)]
     names, masks = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
