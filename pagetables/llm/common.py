@@ -102,6 +102,45 @@ def slices(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
         yield batch
 
 
+def in_blocks(
+    df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str, size: int,
+) -> DataFrame:
+    """Run `fn` over the rows of a partition, joined to Arrow batches of about `size` bytes; a larger row comes alone."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            for part in slices(batch, size):
+                if held and sum(b.nbytes for b in held) + part.nbytes > size:
+                    yield from fn(_joined(held))
+                    held = []
+                held.append(part)
+        if held:
+            yield from fn(_joined(held))
+
+    return df.mapInArrow(run, schema)
+
+
+def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    whole = pa.Table.from_batches(batches).combine_chunks()
+    return pa.RecordBatch.from_arrays([c.chunk(0) for c in whole.columns], schema=whole.schema)
+
+
+def out_schema(spark: SparkSession, schema: str) -> pa.Schema:
+    return pa.schema([(f.name, _arrow(f.dataType)) for f in spark.createDataFrame([], schema).schema])
+
+
+def forget(df: DataFrame) -> None:
+    """Delete a table that `written` made and nothing reads any more."""
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/table-" in name:
+            path = jvm.org.apache.hadoop.fs.Path(name[:name.index("/table-")] + "/" + name[name.index("/table-") + 1:].split("/")[0])
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _arrow(kind) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 
