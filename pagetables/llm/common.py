@@ -46,11 +46,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The same rows read from a table in the shared folder: lineage ends there, lost executors cost no recomputation."""
+def written(df: DataFrame, by: str | None = None) -> DataFrame:
+    """The same rows read from a table in the shared folder: lineage ends there, lost executors cost no recomputation.
+
+    With `by`, the last column, there is one folder for each of its values.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(by) if by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

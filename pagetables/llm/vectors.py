@@ -6,6 +6,8 @@ Hashes are the same in every process and do not depend on the other texts of a b
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 SPACE = 32
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -64,3 +66,50 @@ def run_hashes(values: np.ndarray, size: int) -> np.ndarray:
     for i in range(size):
         total = total * np.uint64(0x100000001B3) + values[i:i + n]
     return mixed(total)
+
+
+#: Bytes with A-Z as a-z.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+
+
+def byte_set(values: bytes) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[list(values)] = True
+    return out
+
+
+def split_words(column: pa.Array, blank: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Words between `blank` bytes of a column of strings, A-Z as a-z.
+
+    Returns each word's code, the distinct words in the order of their codes, each word's row and first byte, and all
+    bytes of the column one after the other. A null string is empty.
+    """
+    column = pc.fill_null(column, "").cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[column.offset:column.offset + len(column) + 1]
+    data = np.frombuffer(data, np.uint8)[offsets[0]:offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+    offsets = offsets - offsets[0]
+    inside = ~blank[data]
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    rows = offsets[:-1][np.diff(offsets) > 0]
+    first[rows] = inside[rows]
+    starts = np.flatnonzero(first)
+    letters = LOWER[data[inside]]
+    begins = np.append(np.cumsum(inside, dtype=np.int64)[starts] - 1, len(letters))
+    words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(begins), pa.py_buffer(letters)])
+    coded = words.dictionary_encode()
+    return coded.indices.to_numpy(), coded.dictionary, np.searchsorted(offsets, starts, side="right") - 1, starts, data
+
+
+def byte_hashes(words: pa.Array, seeds: np.ndarray | int = 0) -> np.ndarray:
+    """Hashes of a large_binary array of words that are not empty."""
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset:words.offset + len(words) + 1]
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    data = np.frombuffer(words.buffers()[2], np.uint8)[offsets[0]:offsets[-1]]
+    offsets = offsets - offsets[0]
+    place = np.arange(1, len(data) + 1) - np.repeat(offsets[:-1], np.diff(offsets))
+    values = mixed(data + GOLDEN * place.astype(np.uint64))
+    return mixed(mixed(np.add.reduceat(values, offsets[:-1])) + np.asarray(seeds, np.uint64))
