@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagetables.llm.common import forget, in_blocks, out_schema, query, table, written
-from pagetables.llm.vectors import GOLDEN, byte_hashes, byte_set, mixed, split_words
+from pagetables.llm.vectors import GOLDEN, byte_hashes, byte_set, from_planes, mixed, planes, split_words
 
 LONGEST, LEAST, TOP = 5, 100, 2000
 SHARDS = 3
@@ -56,7 +56,7 @@ def blocks(docs: DataFrame, shards: int, size: int = BLOCK_BYTES) -> DataFrame:
             ends = np.frombuffer(words.buffers()[1], np.int64)[words.offset:words.offset + len(words) + 1]
             yield pa.RecordBatch.from_arrays([
                 pa.array([lang]), pa.array([b"".join(words.to_pylist())]),
-                pa.array([(ends - ends[0]).astype(np.int32).tobytes()]), pa.array([with_gaps.tobytes()]),
+                pa.array([(ends - ends[0]).astype(np.int32).tobytes()]), pa.array([planes(with_gaps)]),
             ], schema=out)
 
     texts = docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), "text").filter(F.col("text").isNotNull())
@@ -88,7 +88,7 @@ def counted_words(shard: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                words, codes = _words(row), np.frombuffer(row["codes"], np.int32)
+                words, codes = _words(row), from_planes(row["codes"])
                 n = np.bincount(codes[codes >= 0], minlength=len(words))
                 for at in range(0, len(words), 1 << 16):
                     part = words.slice(at, 1 << 16)
@@ -99,29 +99,29 @@ def counted_words(shard: DataFrame) -> DataFrame:
 
 
 def counted_phrases(shard: DataFrame, shared, step: int, shards: int, longest: int) -> DataFrame:
-    """(k, front, back, until, n) per block of the phrases of two words and more that are being counted in this step."""
-    schema = "k byte, front long, back long, until int, n long"
+    """Per block, the phrases of two words and more that are being counted in this step: (h, until, n); and those that
+    have come of late: (h, k, front, back), by which they can be spelled."""
+    schema = "h long, until int, n long, k byte, front long, back long"
     out = out_schema(shard.sparkSession, schema)
 
     def run(batches):
         active = shared.value
         for batch in batches:
             for row in batch.to_pylist():
-                for k, front, back, until, n in block_phrases(row, active, step, shards, longest):
-                    for at in range(0, len(n), 1 << 18):
-                        part = slice(at, at + (1 << 18))
-                        size = len(n[part])
+                for columns in block_phrases(row, active, step, shards, longest):
+                    size = len(columns["h"])
+                    for at in range(0, size, 1 << 18):
+                        part = {c: v[at:at + (1 << 18)] for c, v in columns.items()}
                         yield pa.RecordBatch.from_arrays([
-                            pa.array(np.full(size, k, np.int8)), pa.array(front[part].view(np.int64)), pa.array(back[part].view(np.int64)),
-                            pa.array(until[part].astype(np.int32)), pa.array(n[part].astype(np.int64)),
+                            pa.array(part[f.name]).cast(f.type) if f.name in part else pa.nulls(len(part["h"]), f.type) for f in out
                         ], schema=out)
 
     return shard.select("lang", "words", "ends", "codes").mapInArrow(run, schema)
 
 
 def block_phrases(row: dict, active: np.ndarray, step: int, shards: int, longest: int):
-    """For each length the phrases of a block: hashes of front and back, last step, count."""
-    codes = np.frombuffer(row["codes"], np.int32)
+    """Of each length the phrases of a block: what is counted now, and the parts of those that have come of late."""
+    codes = from_planes(row["codes"])
     names = byte_hashes(_words(row), seed(row["lang"]))
     came = active[slots_of(names, len(active))]
     # `at` are the places where a phrase of k words starts that has come, `ids` its number among `names`
@@ -134,28 +134,27 @@ def block_phrases(row: dict, active: np.ndarray, step: int, shards: int, longest
         keys, which, n = np.unique(ids[pair] * len(names) + ids[pair + 1], return_inverse=True, return_counts=True)
         front, back = keys // len(names), keys % len(names)
         until = np.maximum(came[front], came[back]).astype(np.int64) + shards
-        now = until >= step  # it starts one step after the later of both came and lasts `shards` steps
-        yield k, names[front[now]], names[back[now]], until[now], n[now]
+        parts = names[front].view(np.int64), names[back].view(np.int64)
         names = chained(names[front], names[back])
+        now = until >= step  # it starts one step after the later of both came and lasts `shards` steps
+        h = names.view(np.int64)
+        yield {"h": h[now], "until": until[now], "n": n[now]}
         came = active[slots_of(names, len(active))]
+        late = (came != NEVER) & (came.astype(np.int64) + shards >= step)
+        yield {"h": h[late], "k": np.full(late.sum(), k), "front": parts[0][late], "back": parts[1][late]}
         come = came[which] != NEVER
         at, ids = at[pair][come], which[come]
 
 
 def named(rows: DataFrame) -> DataFrame:
-    """Rows (lang, word, ...) with the hash h of the word, or rows (front, back, ...) with that of the phrase."""
-    single = "word" in rows.columns
+    """Rows (lang, word, ...) with the hash h of the word."""
     schema = T.StructType([*rows.schema, T.StructField("h", T.LongType())])
 
     def run(batches):
         for batch in batches:
-            if single:
-                langs = batch.column("lang").dictionary_encode()
-                seeds = np.array([seed(x) for x in langs.dictionary.to_pylist()], np.uint64)
-                h = byte_hashes(batch.column("word").cast(pa.large_binary()), seeds[langs.indices.to_numpy()] if len(langs) else 0)
-            else:
-                front, back = (batch.column(c).to_numpy().view(np.uint64) for c in ("front", "back"))
-                h = chained(front, back)
+            langs = batch.column("lang").dictionary_encode()
+            seeds = np.array([seed(x) for x in langs.dictionary.to_pylist()], np.uint64)
+            h = byte_hashes(batch.column("word").cast(pa.large_binary()), seeds[langs.indices.to_numpy()] if len(langs) else 0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(h.view(np.int64))], names=[*batch.schema.names, "h"])
 
     return rows.mapInArrow(run, schema)
@@ -187,30 +186,37 @@ def count(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, shards: i
     spark = docs.sparkSession
     encoded = written(blocks(docs, shards), "shard")
     active = np.full(slots, NEVER, np.uint8)
-    words, counting, done, last, step = None, None, [], -1, 0
+    words, counting, done, parts, last, step = None, None, [], [], -1, 0
     while step < shards or step <= last + shards:
         shard, came = encoded.filter(F.col("shard") == step % shards), []
         if step < shards:
             rows = _with_before(counted_words(shard), words)
             before, words = words, written(rows.groupBy("lang", "word").agg(F.sum("n").alias("n"), F.sum("old").alias("old")))
-            came.append(_newly(words, least))
+            came.append(named(_newly(words, least)).select("h"))
             _drop(before)
         if last >= 0 and longest > 1:
             rows = _with_before(counted_phrases(shard, spark.sparkContext.broadcast(active), step, shards, longest), counting)
-            rows = rows.groupBy("k", "front", "back", "until").agg(F.sum("n").alias("n"), F.sum("old").alias("old"))
-            before, counting = counting, written(rows.filter((F.col("until") > step) | (F.col("n") >= least)))
-            came.append(_newly(counting, least))
-            done.append(written(counting.filter(F.col("until") == step).drop("old", "until")))
-            counting = counting.filter(F.col("until") > step)
-            _drop(before)
+            rows = rows.groupBy("h").agg(
+                F.max("until").alias("until"), F.sum("n").alias("n"), F.sum("old").alias("old"),
+                F.max("k").alias("k"), F.max("front").alias("front"), F.max("back").alias("back"),
+            )
+            state = written(rows.filter((F.col("until") > step) | (F.col("n") >= least) | F.col("k").isNotNull()))
+            came.append(_newly(state, least).select("h"))
+            done.append(written(state.filter((F.col("until") == step) & (F.col("n") >= least)).select("h", "n")))
+            parts.append(written(state.filter(F.col("k").isNotNull()).select("h", "k", "front", "back")))
+            _drop(counting)
+            empty = [F.lit(None).cast(kind).alias(c) for c, kind in (("k", "byte"), ("front", "long"), ("back", "long"))]
+            counting = state.filter(F.col("until") > step).select("h", "until", "n", "old", *empty)
         if activate(active, reduce(DataFrame.union, came), step):
             last = step
         step += 1
     frequent = written(named(words.filter(F.col("n") >= least).drop("old")))
     totals = written(words.groupBy("lang").agg(F.sum("n").alias("n")))
-    phrases = reduce(DataFrame.unionByName, done) if done else spark.createDataFrame([], "k byte, front long, back long, n long")
-    phrases = written(named(phrases))
-    for table_ in (encoded, words, counting, *done):
+    phrases = spark.createDataFrame([], "k byte, front long, back long, n long, h long")
+    if done:
+        of = reduce(DataFrame.unionByName, parts).dropDuplicates(["h"])
+        phrases = written(reduce(DataFrame.unionByName, done).join(of, "h").select("k", "front", "back", "n", "h"))
+    for table_ in (encoded, words, counting, *done, *parts):
         _drop(table_)
     return frequent, phrases, totals
 
@@ -222,7 +228,7 @@ def _with_before(rows: DataFrame, before: DataFrame | None) -> DataFrame:
 
 
 def _newly(rows: DataFrame, least: int) -> DataFrame:
-    return named(rows.filter((F.col("n") >= least) & (F.col("old") < least))).select("h")
+    return rows.filter((F.col("n") >= least) & (F.col("old") < least))
 
 
 def _drop(rows: DataFrame | None) -> None:

@@ -131,7 +131,7 @@ def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c.chunk(0) for c in whole.columns], schema=whole.schema)
 
 
-def out_schema(spark: SparkSession, schema: str) -> pa.Schema:
+def out_schema(spark: SparkSession, schema: str | T.StructType) -> pa.Schema:
     return pa.schema([(f.name, _arrow(f.dataType)) for f in spark.createDataFrame([], schema).schema])
 
 

@@ -113,3 +113,12 @@ def byte_hashes(words: pa.Array, seeds: np.ndarray | int = 0) -> np.ndarray:
     place = np.arange(1, len(data) + 1) - np.repeat(offsets[:-1], np.diff(offsets))
     values = mixed(data + GOLDEN * place.astype(np.uint64))
     return mixed(mixed(np.add.reduceat(values, offsets[:-1])) + np.asarray(seeds, np.uint64))
+
+
+def planes(numbers: np.ndarray) -> bytes:
+    """32-bit numbers with all their lowest bytes first, then the next ones: small numbers compress well so."""
+    return numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<i4").reshape(-1)

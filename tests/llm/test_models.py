@@ -86,14 +86,13 @@ def test_class_model_is_a_distribution(spark):
     """After every class the probabilities of all known words, the end and a new word sum to one."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     raw = written(classlm.encoded(docs))
-    words = written(classlm.vocabulary(raw))
-    blocks = written(classlm.with_counts(raw, words))
-    model = classlm.learn(blocks, words, 8, 2, 512)
+    blocks = written(classlm.with_counts(raw))
+    model = classlm.learn(blocks, 8, 2, 512)
     row = lambda b: {k: b[k] for k in ("held", "sizes", "codes", "tails", "hashes", "known")}
     units, known = {}, {}
     for b in blocks.collect():
         _, _, _, unit, count = classlm._block(row(b), model.units)
-        for h, u, c in zip(b["hashes"], unit.tolist(), count.tolist()):
+        for h, u, c in zip(np.frombuffer(b["hashes"], np.int64).tolist(), unit.tolist(), count.tolist()):
             if c > 0:
                 units[h], known[h] = u, c
     u, c = np.array(list(units.values()) + [model.units.rare]), np.array(list(known.values()) + [0])
@@ -127,16 +126,21 @@ def test_exchange_gains_against_the_likelihood():
 def test_profiles_against_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     raw = written(classlm.encoded(docs, 1 << 16))  # many blocks
-    words = written(classlm.vocabulary(raw))
-    blocks = written(classlm.with_counts(raw, words))
-    counts = {r.h: r.c for r in words.collect()}
-    heads = np.array([h for h, c in counts.items() if c > 20], np.int64)
+    blocks = written(classlm.with_counts(raw))
+    counts = Counter()
+    for b in raw.collect():
+        for h, n in zip(np.frombuffer(b["hashes"], np.int64).tolist(), classlm.from_planes(b["counts"]).tolist()):
+            counts[h] += n
+    tokens, known, once, heads = classlm.counted(blocks, 500)
+    assert (tokens, known) == (sum(counts.values()), sum(c > 0 for c in counts.values()))
+    assert once == sum(c == 1 for c in counts.values())
+    assert sorted(heads.tolist()) == sorted(h for h, c in counts.items() if c > 1 and (500 * c >= tokens or h == classlm.END))
     units = classlm.Units(heads)
     classes = np.arange(units.count) % 5
     expected = defaultdict(lambda: np.zeros(11, np.int64))
     for b in blocks.collect():
         held, sizes, codes, unit, known = classlm._block(b.asDict(), units)
-        assert known.tolist() == [counts[h] for h in b["hashes"]]
+        assert known.tolist() == [counts[h] for h in np.frombuffer(b["hashes"], np.int64).tolist()]
         at = 0
         for gone, size in zip(held.tolist(), sizes.tolist()):
             line = [unit[codes[-1]], *unit[codes[at:at + size]]]
