@@ -77,6 +77,50 @@ def paginate_cursor(spark, folder):
     return rows.select("store", "category", "page_seq", "idx", F.get_json_object("item", "$.id").alias("id"))
 
 
+CHAIN = """
+RECURSIVE listed AS (SELECT 'st' || (p_size // 10) AS store, p_brand AS category, p_partkey // 100 AS page_seq, p_partkey, p_name FROM part),
+sizes AS (SELECT store, category, page_seq, count(*) FILTER (NOT starts_with(p_name, 'red')) AS n, count(*) < 3 AS more FROM listed GROUP BY 1, 2, 3),
+placed AS (
+  SELECT *, store || '/' || category || '/' AS name, row_number() OVER w AS rn, lead(page_seq) OVER w AS ahead,
+    nth_value(page_seq, 2) OVER (PARTITION BY store, category ORDER BY page_seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS second
+  FROM sizes WINDOW w AS (PARTITION BY store, category ORDER BY page_seq)),
+pages AS (
+  SELECT store, category, page_seq AS number, n, CASE WHEN rn > 1 THEN name || page_seq END AS cur,
+    CASE WHEN more THEN CASE WHEN ahead IS NOT NULL THEN name || ahead WHEN store IN ('st1', 'st3') THEN name || second
+      ELSE name || page_seq || '/more' END END AS onward FROM placed),
+chain AS (
+  SELECT store, category, number, n, onward, CAST(0 AS BIGINT) AS page_seq, [''] AS path FROM pages WHERE cur IS NULL
+  UNION ALL
+  SELECT p.store, p.category, p.number, p.n, p.onward, c.page_seq + 1, list_append(c.path, p.cur)
+  FROM chain c JOIN pages p ON p.store = c.store AND p.category = c.category AND p.cur = c.onward WHERE NOT list_contains(c.path, p.cur))"""
+
+
+@query("paginate_cursor_tokens", f"""
+WITH {CHAIN},
+kept AS (
+  SELECT * FROM (SELECT *, coalesce(sum(n) OVER w, 0) AS before, coalesce(min(n) OVER w, 1) AS passed
+    FROM chain WINDOW w AS (PARTITION BY store, category ORDER BY page_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+  WHERE passed > 0 AND before < 7)
+SELECT l.store, l.category, k.page_seq, CAST(l.p_partkey AS VARCHAR) AS id,
+  CAST(row_number() OVER (PARTITION BY l.store, l.category ORDER BY k.page_seq, l.p_partkey) AS INTEGER) AS idx
+FROM listed l JOIN kept k ON l.store = k.store AND l.category = k.category AND l.page_seq = k.number
+WHERE NOT starts_with(l.p_name, 'red') QUALIFY idx <= 7""")
+def paginate_cursor_tokens(spark, folder):
+    rows = PL.paginate_cursor_tokens(FX.token_api_pages(spark, folder), ["store", "category"], limit=7)
+    return rows.select("store", "category", "page_seq", "idx", F.get_json_object("item", "$.id").alias("id"))
+
+
+@query("cursor_chains", f"""
+WITH {CHAIN},
+tails AS (SELECT store, category, count(*) AS pages, arg_max(onward, page_seq) AS onward, arg_max(path, page_seq) AS path, max(page_seq) AS top,
+            arg_max(onward IS NULL, page_seq) AS ended FROM chain GROUP BY 1, 2)
+SELECT store, category, t.pages, CASE WHEN t.ended THEN 'end' WHEN list_contains(t.path, t.onward) THEN 'cycle' ELSE 'dangling' END AS chain_end,
+  a.n - t.pages AS unreached
+FROM tails t JOIN (SELECT store, category, count(*) AS n FROM pages GROUP BY 1, 2) a USING (store, category)""")
+def cursor_chains(spark, folder):
+    return PL.cursor_chains(FX.token_api_pages(spark, folder), ["store", "category"])
+
+
 @query("cursor_limit_warnings", f"""
 WITH {CURSOR} SELECT DISTINCT store, category, 'product safety limit reached at 7 products' AS warning
 FROM kept WHERE before + n >= 7 AND more AND n > 0""")

@@ -7,7 +7,7 @@ compute the expected result straight from the columns.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagetables.plans.registry import table
@@ -189,6 +189,23 @@ def cursor_api_pages(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def token_api_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """The same answers without numbers: a page is known by its cursor, the first one has none.
+
+    The last page of a chain names a page that is not there, or in two stores the second page again.
+    """
+    pages = cursor_api_pages(spark, folder)
+    order = Window.partitionBy("store", "category").orderBy("page_seq")
+    token = lambda seq: F.concat(F.col("store"), F.lit("/"), F.col("category"), F.lit("/"), seq.cast("string"))
+    second = F.nth_value("page_seq", 2).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    ahead = F.lead("page_seq").over(order)
+    last = F.when(F.col("store").isin("st1", "st3"), token(second)).otherwise(F.concat(token(F.col("page_seq")), F.lit("/more")))
+    return pages.select(
+        "store", "category", "items", F.when(F.row_number().over(order) > 1, token(F.col("page_seq"))).alias("cursor"),
+        F.when(F.col("next_cursor").isNotNull(), F.when(ahead.isNull(), last).otherwise(token(ahead))).alias("next_cursor"),
+    )
+
+
 def catalog_corpus(spark: SparkSession, folder: str) -> DataFrame:
     """Shop sites (one per size): each page links itself as a collection and shows two products."""
     html = """

@@ -15,6 +15,7 @@ from pagetables.plans.page_queries import DETAIL_SQL
 from pagetables.plans.registry import SQL, query, table
 from pagetables.sinks import sheets as SH
 from pagetables.streaming import streams as ST
+from pagetables.streaming import timed as TM
 
 DAYS = 5  # shorter than the default, so that subscriptions expire inside the data
 
@@ -408,15 +409,34 @@ def stream_dedup_urls(spark, folder):
     return ST.drain(ST.stream_dedup_urls(timed, "seen_at")).select("href")
 
 
+@query("stream_meta", SQL["page_meta"])
+def stream_meta(spark, folder):
+    pages = FX.shop_pages(spark, folder)
+    path = f"{ST.scratch(spark)}/pages"
+    pages.write.parquet(path)
+    return ST.drain(ST.stream_meta(spark.readStream.schema(pages.schema).parquet(path))).drop("batch_id")
+
+
+def arriving(spark, rows, last):
+    """Rows as a stream of ten files in which events come up to two days late; `last` moves the watermark to the end."""
+    end = rows.limit(1).select(*[F.lit(last[f.name]).cast(f.dataType).alias(f.name) if f.name in last else F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema])
+    path = TM.late_arrivals(rows, 10, 48, f"{ST.scratch(spark)}/arrivals", end)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 @query("stream_job_latest", """
 WITH u AS (
-  SELECT user_id AS job, ts, event_id, CASE event_type WHEN 'error' THEN 'error' WHEN 'purchase' THEN 'complete' WHEN 'view' THEN 'running' END AS status,
+  SELECT user_id || '/' || strftime(ts, '%Y-%m-%d') AS job, ts, event_id,
+    CASE event_type WHEN 'error' THEN 'error' WHEN 'purchase' THEN 'complete' WHEN 'view' THEN 'running' END AS status,
     CAST(json_extract_string(props, '$.k') AS INTEGER) AS counts FROM events)
 SELECT job, arg_max(status, struct_pack(a := ts, b := event_id)) FILTER (status IS NOT NULL) AS status,
   arg_max(counts, struct_pack(a := ts, b := event_id)) AS counts, min(ts) AS created_at, max(ts) AS updated_at FROM u GROUP BY job""")
 def stream_job_latest(spark, folder):
-    updates = job_updates(ST.stream_table(spark, folder, "events"))
-    return ST.latest_batch(ST.drain(ST.stream_job_latest(updates, ["status", "counts"]), "update"), "job")
+    daily = F.concat_ws("/", F.col("job").cast("string"), F.date_format("ts", "yyyy-MM-dd"))
+    updates = job_updates(table(spark, folder, "events")).withColumn("job", daily)
+    stream = arriving(spark, updates, {"job": None, "event_id": -1, "ts": "2100-01-01 00:00:00"})
+    latest = TM.stream_job_latest(stream, ["status", "counts"], delay="3 days", keep_hours=72, idle_hours=96)
+    return ST.latest_batch(ST.drain(latest, "update"), "job")
 
 
 @query("stream_free_quota", f"""
@@ -424,8 +444,6 @@ WITH {USAGE_SQL.replace('"user" IN (3, 7, 11)', 'false')}
 SELECT event_id, "user", effective_plan, effective_plan <> 'free' OR n <= 3 AS allowed,
   CAST(least(n, 3) AS INTEGER) AS used, CAST(greatest(0, 3 - n) AS INTEGER) AS remaining FROM requests""")
 def stream_free_quota(spark, folder):
-    plan = F.when(F.col("event_type") == "purchase", F.when(F.col("value") >= 50, F.lit("pro")).otherwise(F.lit("category")))
-    events = ST.stream_table(spark, folder, "events").filter("event_type IN ('view', 'purchase')").select(
-        F.col("user_id").alias("user"), "event_id", "ts", plan.alias("plan")
-    )
-    return ST.drain(ST.stream_free_quota(events, days=DAYS)).drop("batch_id")
+    rows = usage(spark, folder).filter("event_type IN ('view', 'purchase')").select("user", "event_id", "ts", "plan")
+    stream = arriving(spark, rows, {"user": -1, "event_id": -1, "ts": "2100-01-01 00:00:00", "plan": "pro"})
+    return ST.drain(TM.stream_free_quota(stream, "3 days", days=DAYS)).drop("batch_id")

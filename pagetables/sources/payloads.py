@@ -7,6 +7,7 @@ on one small row per page and are joined back to the payloads.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from pagetables.functions import payload as J
 from pagetables.functions.text import let
 from pagetables.operators.ranking import top_k
+from pagetables.session import cut_lineage
 
 # --- fixed values: results depend on these exact numbers and texts -----------
 FEED_PAGE_SIZE = 250
@@ -107,6 +109,77 @@ def paginate_cursor(pages: DataFrame, group: Sequence[str], items: str = "items"
     return rows.withColumn("idx", idx).filter(_below("idx", None if limit is None else limit + 1)).drop("taken_before", "pos")
 
 
+def chain_cursors(pages: DataFrame, group: Sequence[str], cursor: str = "cursor", next_cursor: str = "next_cursor") -> DataFrame:
+    """Pages that the cursors of a group reach, with `page_seq` from 0 on and `chain_end` at the last page of a chain.
+
+    A chain starts at the page without a cursor and goes to the page whose cursor the one before names. Ranks come
+    by pointer doubling: each round joins what has been reached with pointers of twice the length, so a chain of n
+    pages takes log n rounds and no group is walked in one task. Of pages with the same cursor one counts, the first by
+    a hash of its columns. `chain_end` is `end` without a next cursor, `dangling` if no page has it, `cycle` if the page was
+    passed before; a next cursor that cannot be followed is null.
+    """
+    group = list(group)
+    rows = pages.withColumn("_token", F.coalesce(F.concat(F.lit("="), F.col(cursor).cast("string")), F.lit("")))
+    rows = rows.withColumn("_next", F.concat(F.lit("="), F.col(next_cursor).cast("string")))
+    rest = [c for c in pages.columns if c not in (*group, cursor)]
+    one = rows.groupBy(*group, "_token").agg(
+        F.min_by(F.struct(*rest, "_next"), F.xxhash64(F.to_json(F.struct(*rest)))).alias("_page")
+    )
+    one = cut_lineage(one)
+    steps = one.select(*group, F.col("_token").alias("_from"), F.col("_page._next").alias("_to")).filter(F.col("_to").isNotNull())
+    exists = one.select(*group, F.col("_token").alias("_to"))
+    jump = cut_lineage(_same(steps, exists, [*group, "_to"]))  # pointers of one step, none to a page that is not there
+    reached = one.filter(F.col("_token") == "").select(*group, "_token", F.lit(0).cast("long").alias("page_seq"))
+    count, length = reached.count(), 1
+    while True:
+        after = _same(reached.withColumnRenamed("_token", "_from"), jump, [*group, "_from"]).select(
+            *group, F.col("_to").alias("_token"), (F.col("page_seq") + length).alias("page_seq")
+        )
+        reached = cut_lineage(reached.unionByName(after).groupBy(*group, "_token").agg(F.min("page_seq").alias("page_seq")))
+        now = reached.count()
+        if now == count:
+            break
+        onward = jump.withColumnsRenamed({"_from": "_mid", "_to": "_far"})
+        jump = cut_lineage(_same(jump.withColumnRenamed("_to", "_mid"), onward, [*group, "_mid"]).select(*group, "_from", F.col("_far").alias("_to")))
+        count, length = now, 2 * length
+    ranked = _same(one, reached, [*group, "_token"])
+    later = reached.select(*group, F.col("_token").alias("_next"), F.col("page_seq").alias("_next_seq"))
+    ends = _same(ranked.withColumn("_next", F.col("_page._next")), later, [*group, "_next"], "left")
+    onward = F.col("_next_seq") > F.col("page_seq")
+    end = F.when(F.col("_next").isNull(), "end").when(F.col("_next_seq").isNull(), "dangling").when(~onward, "cycle")
+    values = [F.when(onward, F.col(f"_page.`{c}`")).alias(c) if c == next_cursor else F.col(f"_page.`{c}`").alias(c) for c in rest]
+    token = F.expr("CASE WHEN _token <> '' THEN substring(_token, 2) END").cast(pages.schema[cursor].dataType)
+    return ends.select(*group, token.alias(cursor), "page_seq", *values, end.alias("chain_end"))
+
+
+def _same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on keys that may be null."""
+    named = right.withColumnsRenamed({k: f"_r{k}" for k in keys})
+    match = [left[k].eqNullSafe(named[f"_r{k}"]) for k in keys]
+    return left.join(named, reduce(Column.__and__, match), how).drop(*(f"_r{k}" for k in keys))
+
+
+def cursor_chains(pages: DataFrame, group: Sequence[str], cursor: str = "cursor", next_cursor: str = "next_cursor") -> DataFrame:
+    """Per group: pages reached, how the chain ends, and how many pages with other cursors it never reaches.
+
+    A group without a first page has the end `no start`.
+    """
+    chained = chain_cursors(pages, group, cursor, next_cursor)
+    reached = chained.groupBy(*group).agg(F.count(F.lit(1)).alias("pages"), F.max("chain_end").alias("chain_end"))
+    known = pages.groupBy(*group).agg((F.count_distinct(cursor) + F.max(F.col(cursor).isNull().cast("int"))).alias("_all"))
+    joined = _same(known, reached, list(group), "left")
+    pages_reached = F.coalesce("pages", F.lit(0))
+    return joined.select(*group, pages_reached.alias("pages"), F.coalesce("chain_end", F.lit("no start")).alias("chain_end"), (F.col("_all") - pages_reached).alias("unreached"))
+
+
+def paginate_cursor_tokens(
+    pages: DataFrame, group: Sequence[str], items: str = "items", limit: int | None = None, cursor: str = "cursor", next_cursor: str = "next_cursor",
+) -> DataFrame:
+    """Items of API answers that are known by their cursors only, in the order of the chain, ending at the limit."""
+    chained = chain_cursors(pages, group, cursor, next_cursor).withColumnRenamed(next_cursor, "next_cursor")
+    return paginate_cursor(cut_lineage(chained), group, items, limit)
+
+
 def cursor_limit_warnings(cursors: DataFrame, group: Sequence[str], limit: int = CATEGORY_PRODUCTS) -> DataFrame:
     """Groups that reached the limit although another page was offered."""
     cut = cursors.filter((F.col("taken_before") + F.col("size") >= limit) & F.col("more") & (F.col("size") > 0))
