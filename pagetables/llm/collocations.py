@@ -3,8 +3,9 @@
 The texts are encoded once and dealt to SHARDS shards, which are scanned in a cycle. Counting of single words starts with
 the first scan. A longer phrase starts once both phrases that it has with one word less, at its front and at its back,
 have been counted LEAST times, and ends after one full cycle; so lengths are counted side by side. Which phrases have
-come so far is known by an activation table of a fixed number of slots: a slot holds the step at which the first of
-its phrases reached the threshold, and a phrase starts one step after the later of its two slots. Two phrases in a slot
+come so far is known by an activation table of a fixed number of slots: a slot holds the steps at which the first and
+the last of its phrases reached the threshold, and a phrase starts one step after the later of the first
+steps of its two slots. Two phrases in a slot
 can only start a longer phrase early. Every phrase is counted in each shard once, whatever its slots hold, so the
 counts are exact; and a phrase that comes LEAST times has parts that do, so it is always started.
 
@@ -27,7 +28,7 @@ from pagetables.llm.vectors import GOLDEN, byte_hashes, byte_set, from_planes, m
 
 LONGEST, LEAST, TOP = 5, 100, 2000
 SHARDS = 3
-#: Slots of the activation table: one byte each in every task. More phrases than slots make needless counters only.
+#: Slots of the activation table: two bytes each in every task. More phrases than slots make needless counters only.
 SLOTS = 1 << 22
 BLOCK_BYTES = 12 << 20
 SALTS = 64
@@ -105,10 +106,10 @@ def counted_phrases(shard: DataFrame, shared, step: int, shards: int, longest: i
     out = out_schema(shard.sparkSession, schema)
 
     def run(batches):
-        active = shared.value
+        active, latest = shared.value
         for batch in batches:
             for row in batch.to_pylist():
-                for columns in block_phrases(row, active, step, shards, longest):
+                for columns in block_phrases(row, active, latest, step, shards, longest):
                     size = len(columns["h"])
                     for at in range(0, size, 1 << 18):
                         part = {c: v[at:at + (1 << 18)] for c, v in columns.items()}
@@ -119,7 +120,7 @@ def counted_phrases(shard: DataFrame, shared, step: int, shards: int, longest: i
     return shard.select("lang", "words", "ends", "codes").mapInArrow(run, schema)
 
 
-def block_phrases(row: dict, active: np.ndarray, step: int, shards: int, longest: int):
+def block_phrases(row: dict, active: np.ndarray, latest: np.ndarray, step: int, shards: int, longest: int):
     """Of each length the phrases of a block: what is counted now, and the parts of those that have come of late."""
     codes = from_planes(row["codes"])
     names = byte_hashes(_words(row), seed(row["lang"]))
@@ -133,14 +134,16 @@ def block_phrases(row: dict, active: np.ndarray, step: int, shards: int, longest
             return
         keys, which, n = np.unique(ids[pair] * len(names) + ids[pair + 1], return_inverse=True, return_counts=True)
         front, back = keys // len(names), keys % len(names)
-        until = np.maximum(came[front], came[back]).astype(np.int64) + shards
+        both = np.maximum(came[front], came[back])
+        until = both.astype(np.int64) + shards
         parts = names[front].view(np.int64), names[back].view(np.int64)
         names = chained(names[front], names[back])
         now = until >= step  # it starts one step after the later of both came and lasts `shards` steps
         h = names.view(np.int64)
         yield {"h": h[now], "until": until[now], "n": n[now]}
-        came = active[slots_of(names, len(active))]
-        late = (came != NEVER) & (came.astype(np.int64) + shards >= step)
+        own = slots_of(names, len(active))
+        came = np.maximum(active[own], both)  # a slot may be older than the phrase
+        late = (came != NEVER) & (latest[own].astype(np.int64) + shards >= step)
         yield {"h": h[late], "k": np.full(late.sum(), k), "front": parts[0][late], "back": parts[1][late]}
         come = came[which] != NEVER
         at, ids = at[pair][come], which[come]
@@ -160,20 +163,21 @@ def named(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def activate(active: np.ndarray, hashes: DataFrame, step: int) -> bool:
-    """Write `step` into the empty slots of these phrases; what comes to the driver are bits of slots."""
+def activate(active: np.ndarray, latest: np.ndarray, hashes: DataFrame, step: int) -> bool:
+    """Write `step` into the empty slots of these phrases, and into all their slots of `latest`; whether there are any.
+
+    What comes to the driver are bits of slots.
+    """
     slot = F.col("h").bitwiseAND(F.lit(len(active) - 1))
     bits = hashes.select(slot.alias("slot")).select((F.col("slot") / 63).cast("int").alias("word"), F.expr("shiftleft(1L, cast(slot % 63 as int))").alias("bit"))
     rows = bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect()
     words = np.array([r["word"] for r in rows], np.int64)
     masks = np.array([r["bits"] for r in rows], np.int64)
-    new = False
     for i in range(63):
         slots = words[(masks >> i) & 1 == 1] * 63 + i
-        slots = slots[active[slots] == NEVER]
-        active[slots] = step
-        new |= len(slots) > 0
-    return new
+        latest[slots] = step
+        active[slots[active[slots] == NEVER]] = step
+    return len(rows) > 0
 
 
 def count(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, shards: int = SHARDS, slots: int = SLOTS) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -185,7 +189,7 @@ def count(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, shards: i
         raise ValueError("few enough shards that a byte holds all steps, and a power of two of slots")
     spark = docs.sparkSession
     encoded = written(blocks(docs, shards), "shard")
-    active = np.full(slots, NEVER, np.uint8)
+    active, latest = np.full(slots, NEVER, np.uint8), np.zeros(slots, np.uint8)
     words, counting, done, parts, last, step = None, None, [], [], -1, 0
     while step < shards or step <= last + shards:
         shard, came = encoded.filter(F.col("shard") == step % shards), []
@@ -195,7 +199,7 @@ def count(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, shards: i
             came.append(named(_newly(words, least)).select("h"))
             _drop(before)
         if last >= 0 and longest > 1:
-            rows = _with_before(counted_phrases(shard, spark.sparkContext.broadcast(active), step, shards, longest), counting)
+            rows = _with_before(counted_phrases(shard, spark.sparkContext.broadcast((active, latest)), step, shards, longest), counting)
             rows = rows.groupBy("h").agg(
                 F.max("until").alias("until"), F.sum("n").alias("n"), F.sum("old").alias("old"),
                 F.max("k").alias("k"), F.max("front").alias("front"), F.max("back").alias("back"),
@@ -207,7 +211,7 @@ def count(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, shards: i
             _drop(counting)
             empty = [F.lit(None).cast(kind).alias(c) for c, kind in (("k", "byte"), ("front", "long"), ("back", "long"))]
             counting = state.filter(F.col("until") > step).select("h", "until", "n", "old", *empty)
-        if activate(active, reduce(DataFrame.union, came), step):
+        if activate(active, latest, reduce(DataFrame.union, came), step):
             last = step
         step += 1
     frequent = written(named(words.filter(F.col("n") >= least).drop("old")))

@@ -85,17 +85,16 @@ def test_class_model_on_odd_and_empty_input(spark):
 def test_class_model_is_a_distribution(spark):
     """After every class the probabilities of all known words, the end and a new word sum to one."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    raw = written(classlm.encoded(docs))
-    blocks = written(classlm.with_counts(raw))
-    model = classlm.learn(blocks, 8, 2, 512)
-    row = lambda b: {k: b[k] for k in ("held", "sizes", "codes", "tails", "hashes", "known")}
-    units, known = {}, {}
+    blocks = written(classlm.with_counts(written(classlm.encoded(docs)), 512))
+    model = classlm.learn(blocks, 8, 2)
+    u, c = [model.units.rare], [0]
     for b in blocks.collect():
-        _, _, _, unit, count = classlm._block(row(b), model.units)
-        for h, u, c in zip(np.frombuffer(b["hashes"], np.int64).tolist(), unit.tolist(), count.tolist()):
-            if c > 0:
-                units[h], known[h] = u, c
-    u, c = np.array(list(units.values()) + [model.units.rare]), np.array(list(known.values()) + [0])
+        _, _, _, unit, count = classlm._block(b.asDict(), model.units)
+        once = np.frombuffer(b["first"], bool) & (count > 0)
+        u += unit[once].tolist()
+        c += count[once].tolist()
+    u, c = np.array(u), np.array(c)
+    assert len(u) == model.known + 1 and c.sum() == model.tokens
     each = 10.0 ** model.of_words(u, c)
     for kind in range(8):
         assert abs((10.0 ** model.steps[kind, model.classes[u]] * each).sum() - 1) < 1e-9
@@ -126,12 +125,13 @@ def test_exchange_gains_against_the_likelihood():
 def test_profiles_against_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     raw = written(classlm.encoded(docs, 1 << 16))  # many blocks
-    blocks = written(classlm.with_counts(raw))
-    counts = Counter()
+    blocks = written(classlm.with_counts(raw, 500))
+    counts, own = Counter(), {}
     for b in raw.collect():
+        own[bytes(b["codes"]) + bytes(b["tails"])] = np.frombuffer(b["hashes"], np.int64).tolist()
         for h, n in zip(np.frombuffer(b["hashes"], np.int64).tolist(), classlm.from_planes(b["counts"]).tolist()):
             counts[h] += n
-    tokens, known, once, heads = classlm.counted(blocks, 500)
+    tokens, known, once, heads = classlm.counted(blocks)
     assert (tokens, known) == (sum(counts.values()), sum(c > 0 for c in counts.values()))
     assert once == sum(c == 1 for c in counts.values())
     assert sorted(heads.tolist()) == sorted(h for h, c in counts.items() if c > 1 and (500 * c >= tokens or h == classlm.END))
@@ -140,7 +140,7 @@ def test_profiles_against_brute_force(spark):
     expected = defaultdict(lambda: np.zeros(11, np.int64))
     for b in blocks.collect():
         held, sizes, codes, unit, known = classlm._block(b.asDict(), units)
-        assert known.tolist() == [counts[h] for h in np.frombuffer(b["hashes"], np.int64).tolist()]
+        assert known.tolist() == [counts[h] for h in own[bytes(b["codes"]) + bytes(b["tails"])]]
         at = 0
         for gone, size in zip(held.tolist(), sizes.tolist()):
             line = [unit[codes[-1]], *unit[codes[at:at + size]]]
@@ -190,7 +190,7 @@ def test_collocations_against_brute_force(spark, shards):
     words = ["a", "b", "B", "c.", "d", "e,f", "ü", "g\th", "x  y", "\n"]
     rows = [(i, " ".join(rng.choices(words, [9, 8, 7, 3, 2, 2, 1, 1, 1, 1], k=rng.randint(0, 60))), rng.choice(["en", "en", "de", None])) for i in range(150)]
     docs = docs_of(spark, rows).repartition(6)
-    for slots in (1 << 20, 4):  # four slots: all phrases share them, counting starts early, counts stay exact
+    for slots in (1 << 20, 256, 4):  # with few slots phrases share them, counting starts early, counts stay exact
         got = sorted(map(tuple, collocations.collocations(docs, 6, 5, 40, shards, slots).collect()))
         assert got == collocations_of(rows, 6, 5, 40) and got
 
