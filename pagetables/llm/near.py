@@ -158,11 +158,17 @@ def _runs(columns: dict, keys: list[str]) -> list[list[int]]:
 def join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """doc_id, class_id, n_links, n_copies of every row of `docs` (doc_id, text).
 
-    class_id is the smallest doc_id of the documents that links join, directly or over others; equal texts are always
-    in one class. n_links counts the other texts of this similarity or more, each text once however many copies it
-    has; n_copies counts the rows with this text. A null text is a class of its own; a text without words is linked
-    to equal texts only. Repeated rows count as copies; other columns are ignored; an empty table gives no rows.
+    class_id is the smallest doc_id of the documents that links join, directly or over others (null if none has an
+    id); equal texts are always in one class. n_links counts the other texts of this similarity or more, each text once
+    however many copies it has; n_copies counts the rows with this text. A null text is a class of its own; a text
+    without words is linked to equal texts only. Repeated rows count as copies; other columns are ignored; an empty
+    table gives no rows.
     """
+    return classes(docs, similarity, recall).drop("digest", "root")
+
+
+def classes(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+    """The rows of `join` with the digest of their text and the number of their class; both are null for a null text."""
     def sign(columns):
         yield {"doc_id": columns["doc_id"], "digest": columns["digest"], "sign": signatures([t or "" for t in columns["text"]])}
 
@@ -184,19 +190,25 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL
         .withColumn("root", F.coalesce("root", "tid")).drop("id")
     )
     first = classed.groupBy("root").agg(F.min("first_id").alias("class_id"))
-    classed = classed.join(first, "root").join(counts, "tid", "left").select("digest", "class_id", "n_copies", "n_links")
+    classed = classed.join(first, "root").join(counts, "tid", "left").select("digest", "root", "class_id", "n_copies", "n_links")
     return rows.select("doc_id", "digest").join(classed, "digest", "left").select(
-        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        "doc_id", "digest", "root", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"),
     )
 
 
 def one_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of `docs`, all columns, one of each class: that of the smallest doc_id, which names one document."""
-    found = join(docs, similarity)
-    first = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["kept_id"])).drop("kept_id")
-    return kept.dropDuplicates(["doc_id"])
+    """The rows of `docs`, all columns, one of each class: of the smallest doc_id, then the smallest digest of a text.
+
+    Different texts under one doc_id, or without one, are judged each on their own. Of repeated rows one stays, any of
+    those with this id and text. A null text is a class of its own for each doc_id. An empty table gives no rows.
+    """
+    found = classes(docs, similarity).filter(F.col("root").isNotNull())
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")
+    first = found.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.doc_id").alias("kept_id"), F.col("first.digest").alias("kept_digest"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", F.unhex(F.md5("text")).alias("digest"))
+    kept = rows.join(first, (F.col("digest") == F.col("kept_digest")) & F.col("doc_id").eqNullSafe(F.col("kept_id"))).select(*rows.columns)
+    return kept.union(rows.filter(F.col("digest").isNull())).dropDuplicates(["doc_id", "digest"]).select("row.*")
 
 
 def candidates(texts: DataFrame, similarity: float, recall: float) -> DataFrame:
@@ -233,7 +245,8 @@ def verify(source: DataFrame, members: DataFrame, similarity: float) -> DataFram
         sets = [np.unique(flat[a:b]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]
         yield {"tid": columns["tid"], "root": columns["root"], "members": [s.tobytes() for s in sets]}
 
-    one = source.join(members.select("digest", F.col("first_id").alias("doc_id"), "tid", "root"), ["digest", "doc_id"])
+    named = members.select(F.col("digest").alias("own"), "first_id", "tid", "root")
+    one = source.join(named, (source["digest"] == named["own"]) & source["doc_id"].eqNullSafe(named["first_id"]))
     sets = map_batches(one.select("tid", "root", "text"), hashed, "tid long, root long, members binary")
     pairs = block_pairs(members.select("tid", "root"), ["root"], "tid", BLOCK)
     placed = _calls(pairs, ["root", "block_a", "block_b"]).join(sets.drop("root"), "tid")

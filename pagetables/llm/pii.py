@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagetables.functions.text import let
 from pagetables.llm.common import query, table
 
 MARK, OTHER = "\x01", "\x03"
@@ -49,6 +50,8 @@ KINDS = {
 BASE = ("email", "ip", "card", "phone")
 #: A span that the method adds needs this score; context moves a score by STEP within NEAR characters before it.
 LEAST, STEP, NEAR = 0.6, 0.35, 40
+#: Matches that are counted on in one array; even, as every second piece of a marked text is a match.
+CHUNK = 256
 
 
 def proposals(text: Column, pattern: str, head: int = 0) -> Column:
@@ -59,7 +62,6 @@ def proposals(text: Column, pattern: str, head: int = 0) -> Column:
     found = "$0$1" if head else "$0"
     marked = F.regexp_replace(F.replace(text, F.lit(MARK), F.lit(OTHER)), F.lit(pattern), F.lit(f"{MARK}{found}{MARK}"))
     empty = F.array().cast("array<struct<s:int,e:int,v:string>>")
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("odd"), empty.alias("out"))
 
     def step(acc: Column, piece: Column) -> Column:
         end = acc["at"] + (F.when(acc["odd"], head).otherwise(F.length(piece)) if head else F.length(piece))
@@ -70,7 +72,30 @@ def proposals(text: Column, pattern: str, head: int = 0) -> Column:
             F.when(acc["odd"], F.array_append(acc["out"], found)).otherwise(acc["out"]).alias("out"),
         )
 
-    return F.aggregate(F.split(marked, MARK, -1), start, step, lambda acc: acc["out"])
+    def counted(chunk: Column) -> Column:
+        return F.aggregate(chunk, F.struct(F.lit(0).alias("at"), F.lit(False).alias("odd"), empty.alias("out")), step)
+
+    def placed(chunks: Column) -> Column:
+        starts = before(F.transform(chunks, lambda c: c["at"]), lambda a, b: a + b)
+        return F.flatten(F.zip_with(chunks, starts, lambda c, start: F.transform(c["out"], lambda m: F.struct(
+            (m["s"] + start).alias("s"), (m["e"] + start).alias("e"), m["v"].alias("v")
+        ))))
+
+    return let(F.split(marked, MARK, -1), lambda pieces: let(in_chunks(pieces, counted), placed))
+
+
+def in_chunks(values: Column, fn) -> Column:
+    """`fn` of each run of CHUNK values, as an array: what an aggregate copies at each step is bounded by CHUNK."""
+    starts = F.sequence(F.lit(1), F.greatest(F.size(values), F.lit(1)), F.lit(CHUNK))
+    return F.transform(starts, lambda i: fn(F.slice(values, i, CHUNK)))
+
+
+def before(values: Column, plus) -> Column:
+    """For each chunk's value what `plus` makes of 0 and the values of the chunks before it."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(
+        values, start, lambda acc, v: F.struct(plus(acc["at"], v).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")), lambda acc: acc["out"]
+    )
 
 
 def digits(value: Column) -> Column:
@@ -107,21 +132,29 @@ def scored(kind: str, text: Column) -> Column:
     """Confirmed spans of one kind as structs (kind, s, e, score); kinds that the method adds need the least score."""
     pattern, needs, base, up, down = KINDS[kind]
 
-    def span(m: Column) -> Column:
-        before = F.lower(F.substring(text, F.greatest(m["s"] - NEAR, F.lit(0)) + 1, F.least(m["s"], F.lit(NEAR))))
-        score = F.lit(base) + F.when(before.rlike(up), STEP).otherwise(0.0) - F.when(before.rlike(down), STEP).otherwise(0.0)
+    def span(m: Column, part: Column, base_at: Column) -> Column:
+        at = m["s"] - base_at
+        before_it = F.lower(F.substring(part, F.greatest(at - NEAR, F.lit(0)) + 1, F.least(at, F.lit(NEAR))))
+        score = F.lit(base) + F.when(before_it.rlike(up), STEP).otherwise(0.0) - F.when(before_it.rlike(down), STEP).otherwise(0.0)
         return F.struct(
             F.lit(kind).alias("kind"), m["s"].alias("s"), m["e"].alias("e"),
             F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 2).alias("score"),
         )
 
+    def spans(chunk: Column) -> Column:
+        """Places count from the start of a text, so each chunk of matches looks into the part of the text that it needs."""
+        base_at = F.coalesce(F.greatest(F.get(chunk, F.lit(0))["s"] - NEAR, F.lit(0)), F.lit(0))
+        part = F.substring(text, base_at + 1, F.coalesce(F.get(chunk, F.size(chunk) - 1)["s"], F.lit(0)) - base_at)
+        return let(F.struct(base_at.alias("at"), part.alias("part")), lambda p: F.transform(chunk, lambda m: span(m, p["part"], p["at"])))
+
     if kind == "secret":  # its marks may stand anywhere, so look for the words first
         some = F.lower(text).rlike(NAMED)
     elif needs is None:
         some = text.rlike("[0-9]{2}|[0-9][ -][0-9]")
     else:
         some = F.contains(text, F.lit(needs))
-    found = F.transform(F.filter(proposals(text, pattern, HEAD if kind == "iban" else 0), lambda m: confirmed(kind, m["v"])), span)
+    right = F.filter(proposals(text, pattern, HEAD if kind == "iban" else 0), lambda m: confirmed(kind, m["v"]))
+    found = let(right, lambda matches: F.flatten(in_chunks(matches, spans)))
     none = F.array().cast("array<struct<kind:string,s:int,e:int,score:double>>")
     found = found if kind in BASE else F.filter(found, lambda m: m["score"] >= LEAST)
     return F.when(some, found).otherwise(none)
@@ -154,20 +187,33 @@ def digest(docs: DataFrame) -> DataFrame:
 def masked(text: Column, spans: Column) -> Column:
     """The text with each span replaced by its kind in angle brackets; of overlapping spans the first, then the longest, names it."""
     order = F.array_sort(F.transform(spans, lambda m: F.struct(m["s"].alias("s"), (-m["e"]).alias("e"), m["kind"].alias("kind"))))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    empty = F.array().cast("array<struct<from:int,s:int,kind:string>>")
 
     def step(acc: Column, m: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, m["s"] - acc["at"])
-        tag = F.concat(F.lit("<"), F.upper(m["kind"]), F.lit(">"))
-        return F.struct(
-            F.greatest(acc["at"], -m["e"]).alias("at"),
-            F.when(m["s"] >= acc["at"], F.concat(acc["out"], F.array(gap, tag))).otherwise(acc["out"]).alias("out"),
-        )
+        found = F.struct(acc["at"].alias("from"), m["s"].alias("s"), m["kind"].alias("kind"))
+        return F.struct(F.greatest(acc["at"], -m["e"]).alias("at"), F.array_append(acc["out"], found).alias("out"))
+
+    def reached(chunk: Column) -> Column:
+        return F.aggregate(chunk, F.struct(F.lit(0).alias("at"), empty.alias("out")), step)
+
+    def replaced(chunk: Column, start: Column) -> Column:
+        """Of a chunk the gaps and tags, cut from the part of the text up to its last span."""
+        last = F.get(chunk["out"], F.size(chunk["out"]) - 1)["s"]
+        part = F.substring(text, start + 1, F.greatest(last - start, F.lit(0)))
+
+        def piece(m: Column, part: Column) -> Column:
+            at = F.greatest(m["from"], start)
+            tag = F.concat(F.lit("<"), F.upper(m["kind"]), F.lit(">"))
+            return F.when(m["s"] >= at, F.concat(F.substring(part, at - start + 1, m["s"] - at), tag)).otherwise("")
+
+        return let(part, lambda p: F.array_join(F.transform(chunk["out"], lambda m: piece(m, p)), ""))
 
-    def close(acc: Column) -> Column:
-        return F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text)))
+    def whole(chunks: Column) -> Column:
+        starts = before(F.transform(chunks, lambda c: c["at"]), lambda a, b: F.greatest(a, b))
+        end = F.array_max(F.transform(chunks, lambda c: c["at"]))
+        return F.concat(F.array_join(F.zip_with(chunks, starts, replaced), ""), F.substring(text, end + 1, F.length(text)))
 
-    return F.when(F.size(spans) > 0, F.aggregate(order, start, step, close)).otherwise(text)
+    return F.when(F.size(spans) > 0, let(order, lambda o: let(in_chunks(o, reached), whole))).otherwise(text)
 
 
 def without_personal_data(docs: DataFrame) -> DataFrame:
