@@ -1,7 +1,7 @@
 """URL filter: fixed host and path rules, and association rules mined from labelled pages for every other URL.
 
-A URL is a set of tokens. Spark's FP-growth mines the token sets that are frequent among labelled pages; rules that
-lead to a bad label and pass the support, confidence and lift limits block. A rule is looked up by its rarest token
+A URL is a set of tokens. Spark's FP-growth mines the token sets that are frequent among the bad labelled pages; those
+that lead to a bad label, with a confidence that is beyond chance, block. A rule is looked up by its rarest token
 and fits a URL that has all of its tokens.
 """
 
@@ -21,8 +21,9 @@ RULES = [
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 ]
-SUPPORT, CONFIDENCE, LIFT = 0.002, 0.5, 1.5
-BAD = "label=bad"
+#: A rule needs this many bad pages, whatever the size of the table, and the lower limit of its share of bad pages
+#: (Wilson, SURE standard deviations) must reach CONFIDENCE and take the share of good pages down by LIFT.
+LEAST, CONFIDENCE, LIFT, SURE = 10, 0.5, 1.5, 3.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -70,33 +71,52 @@ def tokens() -> Column:
     return F.array_sort(F.array_distinct(every))
 
 
-def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, lift: float = LIFT) -> DataFrame:
-    """Rules (rule_id, needs, rare, confidence, support) from rows (tokens, bad).
+def lower_limit(bad: Column, n: Column, sure: float = SURE) -> Column:
+    """The lower Wilson limit of a share of `bad` in `n`."""
+    share, z = bad / n, sure * sure
+    return (share + z / (2 * n) - sure * F.sqrt(share * (1 - share) / n + z / (4 * n * n))) / (1 + z / n)
 
-    A rule goes if fewer of its tokens lead to the label with the same confidence or more.
+
+def mine(labelled: DataFrame, least: int = LEAST, confidence: float = CONFIDENCE, lift: float = LIFT) -> DataFrame:
+    """Rules (rule_id, needs, rare, bad, n, confidence, sure) from rows (tokens, bad).
+
+    Token sets of `least` bad pages or more are mined from the bad pages; then all labelled pages that have a set are
+    counted, found by the set's rarest token among the distinct token sets. `confidence` is the share of bad pages and
+    `sure` its lower limit. A rule goes if fewer of its tokens are as sure.
     """
-    items = labelled.select(F.when(F.col("bad"), F.array_append("tokens", F.lit(BAD))).otherwise(F.col("tokens")).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(items.filter(F.size("items") > 0))
-    found = model.associationRules.filter((F.col("consequent") == F.array(F.lit(BAD))) & (F.col("lift") >= lift))
-    single = model.freqItemsets.filter(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
-    rules = found.select(F.array_sort("antecedent").alias("needs"), "confidence", "support")
-    rules = rules.withColumn("rule_id", F.xxhash64("needs"))
-    by_token = rules.select("rule_id", F.explode("needs").alias("token")).join(single, "token")
+    sets = written(labelled.groupBy("tokens").agg(F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("bad")))
+    total = sets.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).collect()[0]
+    n, bad = total["n"] or 0, total["bad"] or 0
+    items = labelled.filter(F.col("bad") & (F.size("tokens") > 0)).select(F.col("tokens").alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / max(1, bad)), minConfidence=1.0).fit(items)
+    mined = model.freqItemsets.filter(F.col("freq") >= least).select(F.array_sort("items").alias("needs"), F.col("freq").alias("bad"))
+    mined = written(mined.withColumn("rule_id", F.xxhash64("needs")))
+    each = sets.select("tokens", "n", F.explode("tokens").alias("token"))
+    single = each.groupBy("token").agg(F.sum("n").alias("freq"))
+    by_token = mined.select("rule_id", F.explode("needs").alias("token")).join(single, "token")
     rare = by_token.groupBy("rule_id").agg(F.min_by("token", F.struct("freq", "token")).alias("rare"))
-    indexed = written(rules.join(rare, "rule_id"))
-    general = indexed.select(F.col("rare").alias("token"), F.col("needs").alias("few"), F.col("confidence").alias("as_sure"))
+    counted = (
+        each.withColumnRenamed("token", "rare").join(mined.join(rare, "rule_id").select("rule_id", "needs", "rare"), "rare")
+        .filter(F.size(F.array_except("needs", "tokens")) == 0).groupBy("rule_id").agg(F.sum("n").alias("n"))
+    )
+    rules = mined.join(rare, "rule_id").join(counted, "rule_id")
+    rules = rules.withColumn("confidence", F.col("bad") / F.col("n")).withColumn("sure", lower_limit(F.col("bad"), F.col("n")))
+    floor = max(confidence, 1 - (1 - bad / max(1, n)) / lift)
+    indexed = written(rules.filter(F.col("sure") >= floor))
+    general = indexed.select(F.col("rare").alias("token"), F.col("needs").alias("few"), F.col("sure").alias("as_sure"))
     redundant = (
-        indexed.select("rule_id", "needs", "confidence", F.explode("needs").alias("token")).join(general, "token")
-        .filter((F.size("few") < F.size("needs")) & (F.size(F.array_except("few", "needs")) == 0) & (F.col("as_sure") >= F.col("confidence")))
+        indexed.select("rule_id", "needs", "sure", F.explode("needs").alias("token")).join(general, "token")
+        .filter((F.size("few") < F.size("needs")) & (F.size(F.array_except("few", "needs")) == 0) & (F.col("as_sure") >= F.col("sure")))
         .select("rule_id").distinct()
     )
     return indexed.join(redundant, "rule_id", "left_anti")
 
 
-def judge(pages: DataFrame, labels: DataFrame, rules=tuple(RULES), support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
+def judge(pages: DataFrame, labels: DataFrame, rules=tuple(RULES), least: int = LEAST, confidence: float = CONFIDENCE) -> DataFrame:
     """page_id, host, path, rule, verdict, mined_rule, confidence of every row of `pages` (page_id, url).
 
-    `labels` (doc_id, quality, toxic) judge pages of the same id: quality 0 or toxic 1 is bad, null values are not.
+    `labels` (doc_id, quality, toxic) judge pages of the same id: quality 0 or toxic 1 is bad, null values are not; of
+    repeated labels one bad one is enough, and a page counts once for them.
     A null URL has no tokens and is allowed. Repeated rows stay; without labels nothing is mined; other columns are
     ignored; an empty table gives no rows.
     """
@@ -104,8 +124,8 @@ def judge(pages: DataFrame, labels: DataFrame, rules=tuple(RULES), support: floa
     bad = labels.select(
         F.col("doc_id").alias("page_id"),
         (F.coalesce(F.col("quality") == 0, F.lit(False)) | F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("bad"),
-    )
-    mined = written(mine(parts.join(bad, "page_id").select("tokens", "bad"), support, confidence))
+    ).groupBy("page_id").agg(F.max("bad").alias("bad"))
+    mined = written(mine(parts.join(bad, "page_id").select("tokens", "bad"), least, confidence))
     sets = parts.select("tokens").distinct()
     hits = (
         sets.select("tokens", F.explode("tokens").alias("rare")).join(mined.select("rare", "needs", "confidence", "rule_id"), "rare")

@@ -1,6 +1,7 @@
 """The ten operators and the pipeline against brute force, and on odd input."""
 
 import hashlib
+import itertools
 import json
 import random
 import re
@@ -83,21 +84,44 @@ def test_mined_rules_against_brute_force(spark):
         label.append((i, None if i % 50 == 0 else 1, int(bad)))
     pages = spark.createDataFrame(rows, "page_id long, url string")
     labels = spark.createDataFrame(label, "doc_id long, quality long, toxic long")
-    got = urlrules.judge(pages, labels, support=0.05, confidence=0.6).collect()
+    got = urlrules.judge(pages, labels.union(labels.limit(40)), least=20, confidence=0.5).collect()
     truth = {i: bool(t) for i, _, t in label}
     sets = {i: {f"site={u.split('/')[2]}", *(f"host={h}" for h in u.split("/")[2].split(".")), f"path={u.split('/')[3]}", "path=0"} for i, u in rows}
 
     def sure(need):
         hit = [i for i in sets if need <= sets[i]]
-        return sum(truth[i] for i in hit) / len(hit), len(hit)
+        bad, n = sum(truth[i] for i in hit), len(hit)
+        p, z = bad / n, 9.0
+        return (p + z / (2 * n) - 3 * (p * (1 - p) / n + z / (4 * n * n)) ** 0.5) / (1 + z / n) if bad >= 20 else 0, p
 
-    base = sum(truth.values()) / len(truth)
+    floor = max(0.5, 1 - (1 - sum(truth.values()) / len(truth)) / 1.5)
+    blocked = set()
     for r in got:
-        subsets = [{a, b} for a in sets[r.page_id] for b in sets[r.page_id]]
-        best = max((sure(s)[0] for s in subsets if sure(s)[0] * sure(s)[1] >= 0.05 * len(rows) and sure(s)[0] >= max(0.6, 1.5 * base)), default=None)
-        assert (r.verdict == "block") == (best is not None)
-        if best is not None:
-            assert r.confidence >= best - 1e-9
+        own = sorted(sets[r.page_id])
+        subsets = [set(c) for k in range(1, len(own) + 1) for c in itertools.combinations(own, k)]
+        fits = [sure(s) for s in subsets if sure(s)[0] >= floor]
+        assert (r.verdict == "block") == bool(fits)
+        if fits:
+            blocked.add(r.page_id)
+            assert r.confidence in [p for _, p in fits]
+    assert 20 < len(blocked) < 200
+
+
+def test_labels_by_chance_block_nothing(spark):
+    pages = table(spark, "/root/testdata/sf0.01", "pages").select("page_id", "url")
+    for seed in (1, 2):
+        chance = pages.select(F.col("page_id").alias("doc_id"), F.lit(1).alias("quality"), (F.rand(seed) < 0.25).cast("int").alias("toxic"))
+        assert urlrules.judge(pages, chance, ()).filter("verdict = 'block'").count() == 0
+
+
+@pytest.mark.parametrize("others", [80, 20000])
+def test_a_bad_host_of_twenty_pages_is_found(spark, others):
+    url = F.when(F.col("id") < 20, F.lit("http://spam.biz/a/")).otherwise(F.concat(F.lit("http://h"), F.col("id") % 50, F.lit(".org/p/")))
+    pages = spark.range(20 + others).select(F.col("id").alias("page_id"), F.concat(url, F.col("id")).alias("url"))
+    bad = (F.col("page_id") < 20) | (F.pmod(F.xxhash64("page_id"), F.lit(5)) == 0)
+    labels = pages.select(F.col("page_id").alias("doc_id"), F.lit(None).cast("int").alias("quality"), bad.cast("int").alias("toxic"))
+    got = [r.page_id for r in urlrules.judge(pages, labels).filter("verdict = 'block'").collect()]
+    assert sorted(got) == list(range(20))
 
 
 # --- 2 ------------------------------------------------------------------------
@@ -567,3 +591,32 @@ def test_pipeline_on_odd_tables(spark, tmp_path, odd, empty):
         spark.createDataFrame([(1, None)], "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
         rows = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
         assert bool(rows) == (name == "odd")
+
+
+def test_many_matches_in_one_text(spark):
+    n = 6000
+    frame = spark.createDataFrame([(1, "é1.1.1.1 " * n), (2, "a@b.cc, " * n)], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.digest(frame).collect()}
+    assert got[1].n_ip == n and got[2].n_email == n
+    spans = ",".join(f"ip:{9 * i + 1}:{9 * i + 8}" for i in range(n))
+    assert got[1].base_sha256 == hashlib.sha256(spans.encode()).hexdigest()
+    clean = {r.doc_id: r.text for r in pii.without_personal_data(frame).collect()}
+    assert clean == {1: "é<IP> " * n, 2: "<EMAIL>, " * n}
+
+
+def test_no_text_is_lost_for_its_id(spark):
+    words = lambda seed: " ".join(f"w{random.Random(seed * 1000 + i).randint(0, 10**6)}" for i in range(60))
+    near_copy = lambda t: t + " tail"
+    rows = [
+        (None, words(1)), (None, words(2)), (7, words(3)), (7, words(4)), (8, words(3)), (8, words(5)), (None, near_copy(words(2))),
+        (9, near_copy(words(1))), (9, near_copy(words(1))), (None, None), (10, None), (10, None), (None, ""), (11, ""),
+    ]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [(r.doc_id, r.text) for r in near.one_each(frame).collect()]
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    two = [(None, words(2)), (None, near_copy(words(2)))]  # no id: the smaller digest names the class
+    first = min(two, key=lambda r: hashlib.md5(r[1].encode()).digest())
+    expected = [(9, near_copy(words(1))), first, (7, words(3)), (7, words(4)), (8, words(5)), (None, None), (10, None), (11, "")]
+    assert sorted(kept, key=key) == sorted(expected, key=key)
+    links = {(r.doc_id, r.n_links) for r in near.join(frame.filter("doc_id IS NULL AND text <> ''")).collect()}
+    assert links == {(None, 0), (None, 1)}
