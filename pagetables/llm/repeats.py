@@ -23,6 +23,8 @@ from pagetables.llm.common import grouped, map_batches, query, table, written
 from pagetables.llm.vectors import mixed
 
 LENGTH, SEED = 100, 32
+#: Bytes that are ranked as one number at first.
+PACK = 7
 #: Contexts that one call compares, about; an anchor with more classes than MOST is compared by hashes of its strings.
 CALL_ROWS, MOST = 8192, 16384
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -79,11 +81,22 @@ def contexts(hashes: Hashes, place, first, last, length: int = LENGTH) -> np.nda
 def suffixes(data: np.ndarray, most: int, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffix array by the ranks of ever longer prefixes, and common prefix lengths of neighbours.
 
-    Lengths from `least` to `most` are right, shorter ones may come out as less; data are numbers > 0.
+    Lengths from `least` (PACK or more) to `most` are right, shorter ones may come out as less. `data` are bytes + 1 and
+    numbers over 256 that occur once. The first ranks are those of PACK symbols in one number; a number over 256 ends a run,
+    comes before all bytes, and makes the run unlike all others.
     """
     n = len(data)
-    rank, width = np.unique(data, return_inverse=True)[1].astype(np.int64) + 1, 1
-    levels = [(width, rank)]
+    ends = np.append(data > 256, np.ones(PACK, bool))
+    symbols = np.append(data, np.zeros(PACK, np.int64))
+    key, ended = np.zeros(n, np.int64), np.zeros(n, bool)
+    for i in range(PACK):
+        ended |= ends[i:i + n]
+        key = key << 9 | np.where(ended, 0, symbols[i:i + n])
+    first = np.argsort(key, kind="stable")
+    new = np.append(True, (key[first[1:]] != key[first[:-1]]) | ended[first[1:]])[:n]
+    rank, width = np.empty(n, np.int64), PACK
+    rank[first] = np.cumsum(new)
+    levels = [(1, np.where(data > 256, 0, data)), (width, rank)]
 
     def behind(by: int) -> np.ndarray:
         return np.concatenate([rank[by:], np.zeros(min(by, n), np.int64)])
@@ -104,14 +117,17 @@ def suffixes(data: np.ndarray, most: int, least: int) -> tuple[np.ndarray, np.nd
             near = rank[order[:-1]] == rank[order[1:]]
             live, a, b = live[near[live]], a[near[live]], b[near[live]]
         padded = np.concatenate([rank, np.zeros(1, np.int64)])
-        for _ in range(2):
-            step = (padded[np.minimum(a, n)] == padded[np.minimum(b, n)]) * width
+        same = np.ones(len(a), bool)
+        for _ in range(2 if width > 1 else PACK - 1):
+            here = padded[np.minimum(a, n)]
+            same &= (here == padded[np.minimum(b, n)]) & (here > 0)
+            step = same * width
             common[live] += step
             a, b = a + step, b + step
     return order, common
 
 
-def repeats(data: np.ndarray, place: np.ndarray, length: int = LENGTH, most: int = 256):
+def repeats(data: np.ndarray, place: np.ndarray, length: int = LENGTH, most: int = 2 * LENGTH - SEED):
     """(start, size) of the occurrences of maximal repeats of `length` or more, but the first, which `place` orders.
 
     `data` holds bytes + 1 and, between texts, numbers over 256 that occur once.
@@ -196,7 +212,7 @@ def span_size(at: str = "at") -> Column:
 
 def marks(docs: DataFrame) -> DataFrame:
     """(did, dg, start, size): stretches of bytes that occur earlier, together all repeated strings of LENGTH."""
-    rows = anchor_rows(docs)
+    rows = written(anchor_rows(docs))
     twice = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
     rows = written(rows.join(twice, "h"))
     classes = written(rows.groupBy("h", "c").agg(F.min(F.struct(*KEY, "at")).alias("head"), F.count(F.lit(1)).alias("n")))

@@ -620,3 +620,31 @@ def test_no_text_is_lost_for_its_id(spark):
     assert sorted(kept, key=key) == sorted(expected, key=key)
     links = {(r.doc_id, r.n_links) for r in near.join(frame.filter("doc_id IS NULL AND text <> ''")).collect()}
     assert links == {(None, 0), (None, 1)}
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_maximal_repeats_of_many_short_texts(seed):
+    """Texts that end inside a common run must not hide longer repeats of the others."""
+    rng = random.Random(seed)
+    length, most = 9 + seed, 40
+    source = "".join(rng.choices("ab", k=60))
+    texts = []
+    for _ in range(60):
+        a = rng.randrange(len(source) - 12)
+        text = source[a:a + rng.randint(1, most)]
+        texts.append(text if rng.random() < 0.6 else text[:5] + rng.choice("abc") + text[6:])
+    data, base, at = [], [], 0
+    for i, t in enumerate(texts):
+        data += [ord(c) + 1 for c in t] + [257 + i]
+        base.append(at)
+        at += len(t) + 1
+    starts, sizes = repeats.repeats(np.array(data, np.int64), np.arange(len(data)), length, most)
+    got = {p for s, n in zip(starts.tolist(), sizes.tolist()) for p in range(s, s + n)}
+    seen, expected = set(), set()
+    for t, b in zip(texts, base):
+        for j in range(len(t) - length + 1):
+            w = t[j:j + length]
+            if w in seen:
+                expected |= set(range(b + j, b + j + length))
+            seen.add(w)
+    assert got == expected and expected
