@@ -566,7 +566,7 @@ def test_queries_are_registered_and_the_pipeline_runs(spark):
     import corpus_pipeline
 
     names = [re.match(r"op(\d+)_", n)[1] for n in QUERIES if n.startswith("op")]
-    assert sorted(map(int, names)) == list(range(1, 11)) and set(QUERIES) <= set(entry.queries()) and "pipeline" in QUERIES
+    assert sorted(map(int, names)) == list(range(1, 14)) and set(QUERIES) <= set(entry.queries()) and "pipeline" in QUERIES
     docs = table(spark, SF, "documents")
     pieces = corpus_pipeline.run(spark, SF).collect()
     kept, at = docs, []
