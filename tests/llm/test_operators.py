@@ -333,11 +333,12 @@ def test_decontamination(spark, odd, empty, texts):
     ]
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, coverage int")
     tests = spark.createDataFrame([(1, item), (2, None), (3, "too short"), (4, "")], "item_id long, text string")
-    for chars in (decontaminate.BLOCK_CHARS, 10):
-        got = decontaminate.leaks(docs, tests, chars=chars).collect()
+    # a table of 64 bits lets everything pass, and with one row in two a seed counts as hot
+    for bits, hot_share in ((decontaminate.FILTER_BITS, decontaminate.HOT_SHARE), (64, 10 ** 6)):
+        got = decontaminate.leaks(docs, tests, bits=bits, hot_share=hot_share).collect()
         assert sorted(r.doc_id for r in got) == [1, 3, 7, 7] and all(r.coverage == 1 for r in got)
         assert {r.doc_id: r.n_tiles for r in got}[3] == 2
-        left = decontaminate.without_leaks(docs, tests, chars=chars)
+        left = decontaminate.without_leaks(docs, tests, bits=bits, hot_share=hot_share)
         assert sorted(r.doc_id for r in left.collect()) == [2, 4, 5, 6] and left.columns == docs.columns
     assert decontaminate.leaks(odd, tests).count() == 0 and decontaminate.leaks(empty, tests).count() == 0
     assert decontaminate.leaks(docs, tests.limit(0)).count() == 0
@@ -354,6 +355,36 @@ def test_decontamination(spark, odd, empty, texts):
     assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(table(spark, SF, "documents"), table(spark, SF, "benchmark")).collect()} == expected
 
 
+def test_pairs_against_all_pairs_tiled(spark):
+    """Every pair of a text and an item, tiled on their whole words, without seeds, filter or join."""
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(12)]
+    items = {i: rng.choices(vocabulary, k=rng.randint(3, 30)) for i in range(25)}
+    texts = {}
+    for d in range(60):
+        parts = [rng.choices(vocabulary, k=rng.randint(0, 20))]
+        for i in rng.sample(sorted(items), 2):
+            cut = rng.randint(0, len(items[i]))
+            parts += [items[i][cut:], rng.choices(["x", "y"], k=rng.randint(0, 2)), items[i][:cut]]
+        rng.shuffle(parts)
+        texts[d] = [w for p in parts for w in p]
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in texts.items()] + [(None, " ".join(texts[0]))], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(i, ", ".join(w)) for i, w in items.items()], "item_id long, text string")
+    number = {w: n for n, w in enumerate([*vocabulary, "x", "y"], 1)}
+    for coverage, least in ((0.5, 5), (0.9, 4)):
+        expected = set()
+        for d, text in texts.items():
+            for i, item in items.items():
+                if len(item) >= least:
+                    found = decontaminate.tiles(np.array([number[w] for w in item]), np.array([number[w] for w in text], dtype=np.int64), least)
+                    covered = sum(n for _, _, n in found)
+                    if found and covered >= coverage * len(item):
+                        expected |= {(k, i, len(item), covered) for k in ([d, None] if d == 0 else [d])}
+        for hot_share in (4096, 10 ** 6):
+            got = decontaminate.leaks(docs, benchmark, coverage, least, hot_share=hot_share).collect()
+            assert {(r.doc_id, r.item_id, r.item_words, r.covered_words) for r in got} == expected and len(got) == len(expected)
+
+
 def test_tiles_do_not_overlap():
     rng = random.Random(2)
     for _ in range(200):
