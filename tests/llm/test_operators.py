@@ -590,6 +590,35 @@ def test_sharding(spark, odd, empty, texts):
     assert len(sums) == 40 and rest[-1] < 1.3 * rest[0]
 
 
+@pytest.mark.parametrize("cells, opened", [(sharding.CELLS, sharding.OPENED), (4, 2), (2, 1)])
+def test_shards_against_the_best_partition_of_groups(spark, cells, opened):
+    rng = random.Random(cells)
+    rows = [(rng.getrandbits(64) - (1 << 63), rng.choice([20, 100, 500, 3000])) for _ in range(300)]
+    rows += rng.choices(rows, k=100)
+    frame = spark.createDataFrame(rows, "key long, size long")
+    groups = Counter()
+    for key, size in rows:
+        groups[key] += size
+    keys = sorted(groups)
+    for shards in (1, 7, 40):
+        cuts = sharding.minimax_cuts([groups[k] for k in keys], shards)
+        best = max(sum(groups[k] for k in keys[a:b]) for a, b in zip([0, *cuts], cuts))
+        ends = [e for e in sharding.group_cuts(frame, shards, cells, opened) if e is not None]
+        parts, low = [], None
+        for end in ends:
+            parts.append(sum(groups[k] for k in keys if k <= end and (low is None or k > low)))
+            low = end
+        assert len(ends) <= shards and sum(parts) == sum(groups.values()) and max(parts) == best
+
+
+def test_hot_and_missing_ids_keep_dense_slots(spark):
+    frame = docs_of(spark, [f"text {i % 50} " * (i % 9) for i in range(900)]).withColumn("doc_id", F.when(F.col("doc_id") % 3 == 0, F.col("doc_id")))
+    slots = defaultdict(list)
+    for r in sharding.shard(frame, shards=5).collect():
+        slots[r.shard].append(r.slot)
+    assert sum(map(len, slots.values())) == 900 and all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
 # --- all ----------------------------------------------------------------------
 
 def test_queries_are_registered_and_the_pipeline_runs(spark):
