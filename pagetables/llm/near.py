@@ -2,8 +2,9 @@
 
 A text is its set of five-word runs. TREES x DEPTH minima of hashed sets make its signature; each tree orders texts by
 their DEPTH minima, so texts with a common prefix are one node of the tree's trie. Matching starts at the whole
-prefix and shortens it until two sets of the wanted similarity share a node of some tree with the target recall; in a
-node, texts that agree further down are joined first. Sets of joined groups are then compared exactly.
+prefixes and shortens them, tree after tree and level after level, until two sets of the wanted similarity share a node
+of some tree with the target recall; in a node, texts that agree further down are joined first. Sets of joined groups
+are then compared exactly.
 
 Groups are cut into blocks: a task holds the texts of two blocks, and each pair of texts meets in one task. No pairs
 are sent anywhere: a task returns the links it counted per text and a spanning forest of them.
@@ -11,6 +12,8 @@ are sent anywhere: a task returns the links it counted per text and a spanning f
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,20 +23,34 @@ from pagetables.llm.vectors import mixed, run_hashes, word_hashes
 
 SIZE, SIMILARITY = 5, 0.8
 TREES, DEPTH = 16, 4
-RECALL = 0.9999
-#: Signatures that agree in fewer places cannot belong to similar sets, but for one case in some million.
-AGREE = 0.5
+RECALL = 0.99998
+#: The part of the missed share that may be due to signatures that agree in too few places.
+UNLIKE = 1 / 1000
 BLOCK = 512
 #: Rows that one call of a grouped function gets, about; small groups share calls.
 CALL_ROWS = 4096
 
 
-def prefix_length(similarity: float = SIMILARITY, recall: float = RECALL) -> int:
-    """The longest prefix that still gives the recall; the shortest if none does."""
-    depth = DEPTH
-    while depth > 1 and 1 - (1 - similarity ** depth) ** TREES < recall:
-        depth -= 1
-    return depth
+def prefix_lengths(similarity: float = SIMILARITY, recall: float = RECALL) -> list[int]:
+    """The prefix to match in each tree: all start at DEPTH and are shortened one by one until the recall is reached."""
+    lengths = [DEPTH] * TREES
+    steps = [(tree, depth) for depth in range(DEPTH - 1, 0, -1) for tree in range(TREES)]
+    while math.prod(1 - similarity ** d for d in lengths) > 1 - recall:
+        if not steps:
+            raise ValueError(f"{TREES} trees cannot find pairs of similarity {similarity} with a recall of {recall}")
+        tree, depth = steps.pop(0)
+        lengths[tree] = depth
+    return lengths
+
+
+def least_agreement(similarity: float = SIMILARITY, recall: float = RECALL) -> int:
+    """The most places in which two signatures can be asked to agree, while similar sets rarely have fewer."""
+    n, missed = TREES * DEPTH, 0.0
+    for places in range(n):
+        missed += math.comb(n, places) * similarity ** places * (1 - similarity) ** (n - places)
+        if missed > (1 - recall) * UNLIKE:
+            return places
+    return n
 
 
 def shingles(texts: list[str], size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
@@ -66,9 +83,9 @@ def signatures(texts: list[str]) -> list[bytes | None]:
     return out
 
 
-def alike(minima: np.ndarray, tree: int, depth: int) -> list[int]:
-    """A row of the same group for each row; rows that agree in AGREE of their minima are one group."""
-    n, least = len(minima), AGREE * minima.shape[1]
+def alike(minima: np.ndarray, tree: int, depth: int, least: int) -> list[int]:
+    """A row of the same group for each row; rows that agree in `least` of their minima are one group."""
+    n = len(minima)
     label = np.arange(n)
     own = minima[:, tree * DEPTH:(tree + 1) * DEPTH]
     order = np.lexsort(own.T[::-1])
@@ -213,9 +230,10 @@ def one_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
 def candidates(texts: DataFrame, similarity: float, recall: float) -> DataFrame:
     """Edges (a, b) that join texts (tid, sign) of one node whose signatures agree enough; a forest for each task."""
-    depth = prefix_length(similarity, recall)
+    lengths, least = prefix_lengths(similarity, recall), least_agreement(similarity, recall)
     trees = texts.filter(F.col("sign").isNotNull()).select("tid", "sign", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-    prefix = F.col("sign").substr(F.col("tree") * (4 * DEPTH) + 1, F.lit(4 * depth))
+    size = F.element_at(F.array(*[F.lit(4 * d) for d in lengths]), F.col("tree") + 1)
+    prefix = F.col("sign").substr(F.col("tree") * (4 * DEPTH) + 1, size)
     nodes = trees.select("tid", "tree", F.xxhash64("tree", prefix).alias("node"))
     full = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("node")
     placed = _calls(block_pairs(nodes.join(full, "node"), ["node"], "tid", BLOCK), ["node", "block_a", "block_b"])
@@ -227,10 +245,11 @@ def candidates(texts: DataFrame, similarity: float, recall: float) -> DataFrame:
         for run in _runs(columns, ["node", "block_a", "block_b"]):
             ids = [columns["tid"][i] for i in run]
             if len(run) == 2:
-                near = (minima[run[0]] == minima[run[1]]).sum() >= AGREE * TREES * DEPTH
+                near = (minima[run[0]] == minima[run[1]]).sum() >= least
                 pairs = [(0, 1)] if near else []
             else:
-                pairs = [(r, i) for i, r in enumerate(alike(minima[run], columns["tree"][run[0]], depth)) if r != i]
+                tree = columns["tree"][run[0]]
+                pairs = [(r, i) for i, r in enumerate(alike(minima[run], tree, lengths[tree], least)) if r != i]
             a += [ids[r] for r, _ in pairs]
             b += [ids[i] for _, i in pairs]
         return {"a": a, "b": b}

@@ -536,9 +536,46 @@ def test_near_duplicates(spark, odd, empty, texts):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for c, _ in near_brute(known).values()}) and kept.columns == odd.columns
 
 
-def test_recall_sets_the_prefix():
-    assert 1 - (1 - 0.8 ** near.prefix_length()) ** near.TREES >= near.RECALL
-    assert near.prefix_length(0.99) == near.DEPTH and near.prefix_length(0.1) == 1
+def test_recall_sets_the_prefixes():
+    def found(similarity, lengths):
+        return 1 - np.prod([1 - similarity ** d for d in lengths])
+
+    for similarity, recall in itertools.product((0.5, 0.6, 0.8, 0.9), (0.9, 0.999, near.RECALL)):
+        lengths = near.prefix_lengths(similarity, recall)
+        assert found(similarity, lengths) >= recall and max(lengths) - min(lengths) <= 1
+        if min(lengths) < near.DEPTH:  # the last step was needed
+            last = max(i for i, d in enumerate(lengths) if d == min(lengths))
+            assert found(similarity, [d + (i == last) for i, d in enumerate(lengths)]) < recall
+    assert near.prefix_lengths(0.99) == [near.DEPTH] * near.TREES and len(set(near.prefix_lengths())) == 2
+    with pytest.raises(ValueError):
+        near.prefix_lengths(0.1)
+
+
+def test_similar_signatures_agree_enough():
+    rng = np.random.default_rng(4)
+    for similarity in (0.5, 0.8):
+        agreed = rng.binomial(near.TREES * near.DEPTH, similarity, 1_000_000)
+        assert (agreed < near.least_agreement(similarity)).sum() <= 3
+
+
+@pytest.mark.parametrize("similarity", [0.5, 0.65, 0.9])
+def test_links_at_other_similarities(spark, similarity):
+    rng = random.Random(11)
+    base = [[f"w{rng.randint(0, 10 ** 6)}" for _ in range(80)] for _ in range(40)]
+    made = {}
+    for n, words in enumerate(base):
+        for k in range(4):
+            changed = list(words)
+            for _ in range(rng.randint(0, 6)):
+                changed[rng.randrange(len(changed))] = f"n{rng.randint(0, 10 ** 6)}"
+            made[n * 4 + k] = " ".join(changed)
+    sets = {i: {tuple(t.split()[k:k + 5]) for k in range(76)} for i, t in made.items()}
+    links, heads = Counter(), {t: i for i, t in reversed(made.items())}
+    for a, b in itertools.combinations(sorted(heads.values()), 2):
+        if len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]) - 1e-9:
+            links.update((a, b))
+    got = {r.doc_id: r.n_links for r in near.join(docs_of(spark, list(made.values())), similarity).collect()}
+    assert got == {i: links[heads[t]] for i, t in made.items()} and sum(links.values()) > 20
 
 
 def test_components(spark):
