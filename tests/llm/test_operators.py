@@ -561,7 +561,7 @@ def test_similar_signatures_agree_enough():
 @pytest.mark.parametrize("similarity", [0.5, 0.65, 0.9])
 def test_links_at_other_similarities(spark, similarity):
     rng = random.Random(11)
-    base = [[f"w{rng.randint(0, 10 ** 6)}" for _ in range(80)] for _ in range(40)]
+    base = [[f"w{rng.randint(0, 10 ** 6)}" for _ in range(200)] for _ in range(40)]
     made = {}
     for n, words in enumerate(base):
         for k in range(4):
@@ -569,7 +569,7 @@ def test_links_at_other_similarities(spark, similarity):
             for _ in range(rng.randint(0, 6)):
                 changed[rng.randrange(len(changed))] = f"n{rng.randint(0, 10 ** 6)}"
             made[n * 4 + k] = " ".join(changed)
-    sets = {i: {tuple(t.split()[k:k + 5]) for k in range(76)} for i, t in made.items()}
+    sets = {i: {tuple(t.split()[k:k + 5]) for k in range(196)} for i, t in made.items()}
     links, heads = Counter(), {t: i for i, t in reversed(made.items())}
     for a, b in itertools.combinations(sorted(heads.values()), 2):
         if len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]) - 1e-9:
