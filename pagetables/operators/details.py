@@ -73,8 +73,10 @@ def enrich_details(listings: DataFrame, details: DataFrame, limit: int | None =
     Listings are cut to their eligible part before the join, and the detail
     side has one row per URL, so the join never multiplies rows.
     """
+    # a key that no page has spreads the listings without a visit over the tasks of the join
+    none = F.concat(F.lit("\0"), F.xxhash64(*[c for c in ("page_id", "idx", "url") if c in listings.columns]).cast("string"))
     tagged = detail_eligibility(listings, limit).withColumn(
-        "_key", F.when(F.col("detail_status") == "visit", url_key("url"))
+        "_key", F.when(F.col("detail_status") == "visit", url_key("url")).otherwise(none)
     )
     keyed = details.withColumn("_url", url_key("detail_url"))
     one_per_url = first_per_key(keyed, ["_url"], [F.col("page_id")]).drop("page_id")

@@ -7,7 +7,7 @@ left move, once, to be de-duplicated per page.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -19,6 +19,7 @@ from pagetables.functions.images import image_src
 from pagetables.functions.text import clean_text, first_truthy, let
 from pagetables.operators.nodes import CANDIDATE_TAGS
 from pagetables.operators.ranking import first_per_key, top_k
+from pagetables.session import cut_lineage
 
 # --- fixed values: results depend on these exact texts -----------------------
 CARD_HINTS = "product|listing|item|card|result|tile|offer|property|vehicle|grid|catalog|search"
@@ -212,6 +213,35 @@ def greedy_dedup_two_key(rows: DataFrame) -> DataFrame:
     return by_page.mapInPandas(greedy_keep, T.StructType([*rows.schema.fields, T.StructField("idx", T.IntegerType())]))
 
 
+def greedy_dedup_scope(rows: DataFrame, scope: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Ordered two-key de-duplication (mark, link + any columns) in scopes of any size: the rows that a scan in order keeps.
+
+    `order` is a total order in a scope. A row stays when its mark is not blank and no kept row before it has its mark or
+    its link, if that is not blank. In a round, rows that are the first with their mark and the first with their link
+    stay, and the rows that share a mark or a link with them go; the rest waits. No task holds a scope: rounds are
+    aggregates and joins by (scope, mark) and (scope, link). Their number is that of the longest chain of rows of which
+    each waits for the one before, some ten for rows in a random order.
+    """
+    alone = F.concat(F.lit("\0"), F.to_json(F.struct(*order)))  # a blank link is like no other
+    linked = rows.filter(F.col("mark") != "").withColumn("_link", F.coalesce(F.nullif("link", F.lit("")), alone))
+    # of rows with the same mark and link only the first can stay
+    first = cut_lineage(first_per_key(linked, [*scope, "mark", "_link"], [F.col(c) for c in order]))
+    waiting, kept = first.select(*scope, "mark", "_link", F.struct(*order).alias("_at")), None
+    while True:
+        firsts = [waiting.groupBy(*scope, c).agg(F.min("_at").alias(f"_first{c}")) for c in ("mark", "_link")]
+        known = waiting.join(firsts[0], [*scope, "mark"]).join(firsts[1], [*scope, "_link"])
+        free = (F.col("_at") == F.col("_firstmark")) & (F.col("_at") == F.col("_first_link"))
+        known = cut_lineage(known.select(*waiting.columns, free.alias("_free")))
+        now, later = known.filter("_free").drop("_free"), known.filter("NOT _free").drop("_free")
+        kept = now if kept is None else kept.union(now)
+        for c in ("mark", "_link"):
+            later = later.join(now.select(*scope, c), [*scope, c], "left_anti")
+        waiting = cut_lineage(later.select(*waiting.columns))
+        if waiting.isEmpty():
+            break
+    return first.join(kept.select(*scope, "_at.*"), [*scope, *order], "left_semi").select(*rows.columns)
+
+
 def _finished(kept: DataFrame, limits: Mapping[int, int] | None) -> DataFrame:
     """Cut each strategy at its limit, if any; rows that carry no `idx` yet are numbered per page."""
     limit, source = F.lit(None).cast("int"), F.lit(None).cast("string")
@@ -277,15 +307,26 @@ def discover_categories(nodes: DataFrame, limit: int | None = None) -> DataFrame
     return kept.select("page_id", "idx", "category_id", "row.name", "row.url")
 
 
-def node_contains(nodes: DataFrame, ancestors: Column, descendants: Column) -> DataFrame:
-    """Pairs of an element and an element at or below it; equi on the page, range on the interval.
+NODES_PER_BIN = 64
 
-    The result can hold depth x descendants rows; `contained_counts` gives their number without the pairs.
+
+def node_contains(nodes: DataFrame, ancestors: Column, descendants: Column, width: int = NODES_PER_BIN) -> DataFrame:
+    """Pairs of an element and an element at or below it, joined by bins of `width` places of a page.
+
+    An element goes to the bins that its interval touches. All descendants of a bin inside the interval are results, so
+    only those of its first and last bin are looked at in vain: work grows with the elements and the pairs, and the bins
+    of a large page are spread over tasks. The result can hold depth x descendants rows; `contained_counts` gives their
+    number without the pairs.
     """
-    a = nodes.filter(ancestors).select("page_id", F.col("pos").alias("a_pos"), F.col("end_pos").alias("a_end"),
-                                       F.col("tag").alias("a_tag"))
-    d = nodes.filter(descendants).select("page_id", F.col("pos").alias("d_pos"), F.col("tag").alias("d_tag"))
-    return a.join(d, "page_id").filter(F.col("d_pos").between(F.col("a_pos"), F.col("a_end"))).drop("a_end")
+    a = nodes.filter(ancestors).select(
+        "page_id", F.col("pos").alias("a_pos"), F.col("end_pos").alias("a_end"), F.col("tag").alias("a_tag"),
+        F.explode(F.sequence(F.floor(F.col("pos") / width), F.floor(F.col("end_pos") / width))).alias("bin"),
+    )
+    d = nodes.filter(descendants).select(
+        "page_id", F.col("pos").alias("d_pos"), F.col("tag").alias("d_tag"), F.floor(F.col("pos") / width).alias("bin")
+    )
+    pairs = a.join(d, ["page_id", "bin"]).filter(F.col("d_pos").between(F.col("a_pos"), F.col("a_end")))
+    return pairs.drop("a_end", "bin")
 
 
 def contained_counts(nodes: DataFrame, ancestors: Column, descendants: Column) -> DataFrame:

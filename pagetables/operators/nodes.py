@@ -14,15 +14,14 @@ from __future__ import annotations
 import json
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagetables.functions.text import PRICE_PATTERN
-from pagetables.sources.pages import MAX_HTML_BYTES
 
 # --- fixed values: results depend on these exact texts -----------------------
 CANDIDATE_TAGS = ["article", "li", "div", "section", "a", "tr"]
@@ -204,20 +203,80 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     )
 
 
-def _parsable(pages: DataFrame, max_bytes: int) -> DataFrame:
-    return pages.select("page_id", "url", "html").filter(F.coalesce(F.octet_length("html"), F.lit(0)) <= max_bytes)
+def _parsable(pages: DataFrame, max_bytes: int | None) -> DataFrame:
+    rows = pages.select("page_id", "url", "html")
+    return rows if max_bytes is None else rows.filter(F.coalesce(F.octet_length("html"), F.lit(0)) <= max_bytes)
 
 
-def page_nodes(pages: DataFrame, max_bytes: int = MAX_HTML_BYTES) -> DataFrame:
-    """One row per element, in pre-order. `text` is the start of an element's text.
+def page_nodes(pages: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """One row per element, in pre-order. `text` is the start of an element's text; `element_texts` gives it whole.
 
     The root row and links that are not inside another link carry their whole
     text; these texts do not overlap, so a page never grows by nesting. Pages
-    above the size limit give no rows (`page_status` reports them).
+    above a size limit, if one is given, give no rows (`page_status` reports them).
     """
     return _parsable(pages, max_bytes).mapInArrow(_nodes_of, NODE_SCHEMA)
 
 
+ROPE_SCHEMA = (
+    "page_id bigint, url string, text binary, "
+    "elements array<struct<pos:int,end_pos:int,parent_pos:int,depth:int,tag:string,start:int,size:int>>"
+)
+
+
+def _rope(html: str) -> tuple[bytes, list[list]]:
+    """The text of a page as bytes; pos, end, parent, depth, tag, first byte and number of bytes of each element."""
+    page = _Outline().outline(html)
+    offsets, pieces, length = [], [], 0
+    for own in page.texts:
+        offsets.append(length)
+        for piece in own:
+            pieces.append(piece.encode("utf-8", "replace"))
+            length += len(pieces[-1]) + 1
+    offsets.append(length)
+    sizes = [max(0, offsets[last + 1] - 1 - start) for start, last in zip(offsets, page.ends)]
+    columns = [list(range(len(page.tags))), page.ends, page.parents, page.depths, page.tags, offsets[:-1], sizes]
+    return b" ".join(pieces), columns
+
+
+_ELEMENT = [("pos", pa.int32()), ("end_pos", pa.int32()), ("parent_pos", pa.int32()), ("depth", pa.int32()), ("tag", pa.string()),
+            ("start", pa.int32()), ("size", pa.int32())]
+
+
+def _ropes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i, html in enumerate(batch.column("html")):
+            text, columns = _rope(html.as_py() or "")
+            arrays = [pa.array(values, kind) for values, (_, kind) in zip(columns, _ELEMENT)]
+            elements = pa.ListArray.from_arrays(
+                pa.array([0, len(arrays[0])], pa.int32()), pa.StructArray.from_arrays(arrays, [name for name, _ in _ELEMENT])
+            )
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("page_id").slice(i, 1), batch.column("url").slice(i, 1), pa.array([text], pa.binary()), elements],
+                names=["page_id", "url", "text", "elements"],
+            )
+
+
+def page_ropes(pages: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """One row per page: its text once, as UTF-8 bytes, and where in it the text of each element lies.
+
+    As large as the page however deep it is nested. A page without html has one element, the document, without text.
+    """
+    return _parsable(pages, max_bytes).mapInArrow(_ropes_of, ROPE_SCHEMA)
+
+
+def element_texts(ropes: DataFrame, wanted: Callable[[Column], Column] | None = None) -> DataFrame:
+    """page_id, url, pos, end_pos, parent_pos, depth, tag and the whole text of the elements of `page_ropes`.
+
+    `wanted` chooses elements by their fields before any text is cut. A text is one slice of its page's bytes, made when
+    its row is read; nothing is moved between tasks.
+    """
+    elements = F.col("elements") if wanted is None else F.filter("elements", wanted)
+    rows = ropes.select("page_id", "url", F.col("text").alias("_bytes"), F.explode(elements).alias("e"))
+    text = F.substr(F.col("_bytes"), F.col("e.start") + 1, F.col("e.size")).cast("string")
+    return rows.select("page_id", "url", "e.pos", "e.end_pos", "e.parent_pos", "e.depth", "e.tag", text.alias("text"))
+
+
 # --- fixed values: results depend on these exact texts -----------------------
 CONTAINER_KEYS = ["@graph", "itemListElement", "mainEntity", "offers"]
 PRICE_KEYS = ["price", "lowPrice", "highPrice"]
@@ -293,12 +352,10 @@ def _trees_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def with_page_tree(pages: DataFrame, max_bytes: int | None = MAX_HTML_BYTES) -> DataFrame:
+def with_page_tree(pages: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """Pages plus their text in tree order and their JSON-LD objects, in one narrow pass that parses each page once.
 
     `objects` has the path, JSON text, readable fields and price of every object. A page without html has an empty
     text and no objects.
     """
-    rows = pages.select("page_id", "url", "html")
-    rows = rows if max_bytes is None else rows.filter(F.coalesce(F.octet_length("html"), F.lit(0)) <= max_bytes)
-    return rows.mapInArrow(_trees_of, f"page_id bigint, url string, html string, text string, objects {OBJECTS}")
+    return _parsable(pages, max_bytes).mapInArrow(_trees_of, f"page_id bigint, url string, html string, text string, objects {OBJECTS}")

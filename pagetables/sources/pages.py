@@ -6,29 +6,42 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagetables.functions.urls import site_of, with_scheme
+from pagetables.sources.charsets import charset_of, decoded
 
 MAX_HTML_BYTES = 5_000_000
 
 
-def read_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """page_id, url, html of a crawled corpus; bytes that are not UTF-8 are replaced."""
+def read_pages(spark: SparkSession, path: str, fmt: str = "parquet", content_type: str | None = None) -> DataFrame:
+    """page_id, url, html of a crawled corpus.
+
+    Where `html` holds bytes, they are read by their charset (`charset_of`); `content_type` names the column with the
+    content type of the answer, if there is one. Text is taken as it is. What cannot be read is replaced.
+    """
     rows = spark.read.format(fmt).load(path)
-    return rows.select("page_id", "url", F.make_valid_utf8(F.col("html").cast("string")).alias("html"))
+    if rows.schema["html"].dataType.typeName() != "binary":
+        return rows.select("page_id", "url", F.make_valid_utf8(F.col("html").cast("string")).alias("html"))
+    return decode_pages(rows, content_type)
+
+
+def decode_pages(rows: DataFrame, content_type: str | None = None) -> DataFrame:
+    """page_id, url, html of pages whose `html` holds bytes."""
+    known = rows.withColumn("_charset", charset_of("html", None if content_type is None else F.col(content_type)))
+    return known.select("page_id", "url", decoded("html", F.col("_charset")).alias("html"))
 
 
 def read_page_files(spark: SparkSession, path: str, url: Column | None = None) -> DataFrame:
-    """Raw files as pages; bytes that are not UTF-8 are replaced.
+    """Raw files as pages, read by their byte order mark or meta charset.
 
     `url` gives a page's address from `path`; by default the last part of the path is the percent-encoded address.
     """
     files = spark.read.format("binaryFile").load(path)
     name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"(?i)\.html?$", "")
     named = files.withColumn("_name", name)
-    return named.select(
+    return decode_pages(named.select(
         F.xxhash64("path").alias("page_id"),
         (F.expr("coalesce(try_url_decode(_name), _name)") if url is None else url).alias("url"),
-        F.make_valid_utf8(F.col("content").cast("string")).alias("html"),
-    )
+        F.col("content").alias("html"),
+    ))
 
 
 def page_status(pages: DataFrame, max_bytes: int = MAX_HTML_BYTES) -> DataFrame:
