@@ -98,22 +98,28 @@ def group_cuts(rows: DataFrame, shards: int, cells: int = CELLS, opened: int = O
     known = _cells(rows, shift)
     while True:
         known.sort()
-        sizes = [c[2] for c in known]
-        sums = np.concatenate([[0], np.cumsum(np.asarray(sizes, dtype=np.int64))]).astype(np.int64)
-        mixed = [c[2] for c in known if c[0] != c[1]]
-        widest = max(mixed, default=0)
-        ends = minimax_cuts(sizes, shards)
-        edges = [0, *ends]
-        best = max((int(sums[b] - sums[a]) for a, b in zip(edges, edges[1:])), default=0)
-        low, high = (_walk(sums, capacity, shards) for capacity in (best - widest, best + widest))
-        near = {n for a, b in zip(low, high) for n in range(a, min(b + 1, len(known)))}
-        todo = sorted((n for n in near if known[n][0] != known[n][1]), key=lambda n: (-known[n][2], n))[:opened]
+        sizes = np.asarray([c[2] for c in known], dtype=np.int64)
+        mixed = np.asarray([c[0] != c[1] for c in known], dtype=bool)
+        sums = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        ends = minimax_cuts(sizes.tolist(), shards)
+        best = int(np.diff(sums[[0, *ends]]).max())
+        near, widest = mixed, None
+        # only cells in which a cut can fall count for r, so r and the places of the cuts narrow each other
+        while near.any() and widest != int(sizes[near].max()):
+            widest = int(sizes[near].max())
+            reach = np.zeros(len(known) + 1, dtype=np.int64)
+            for first, last in zip(*(_walk(sums, capacity, shards) for capacity in (best - widest, best + widest))):
+                reach[first] += 1
+                reach[min(last + 1, len(known))] -= 1
+            near = near & (np.cumsum(reach[:-1]) > 0)
+        todo = sorted(np.flatnonzero(near).tolist(), key=lambda n: (-known[n][2], n))[:opened]
         if not todo:
             return [known[e - 1][1] if e else None for e in ends]
         by_shift: dict[int, list] = {}
         for n in todo:
             by_shift.setdefault(known[n][3], []).append(known[n])
-        known = [c for n, c in enumerate(known) if n not in set(todo)]
+        chosen_now = set(todo)
+        known = [c for n, c in enumerate(known) if n not in chosen_now]
         for at, chosen in by_shift.items():
             inside = rows.sparkSession.createDataFrame([(c[0] >> at,) for c in chosen], "cell long")
             # at most `opened` cells
