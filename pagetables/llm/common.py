@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -58,6 +59,14 @@ def written(df: DataFrame, by: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Return freed memory of this Python worker to the machine: it lives on, and the next stage may hold other things."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def map_batches(
     df: DataFrame, fn: Callable[[dict[str, list]], Iterable[dict[str, list]]], schema: str, size: int = PART_BYTES,
 ) -> DataFrame:
@@ -71,6 +80,7 @@ def map_batches(
             for part in slices(batch, size):
                 for columns in fn({name: part.column(i).to_pylist() for i, name in enumerate(part.schema.names)}):
                     yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in out], schema=out)
+        give_back()
 
     return df.mapInArrow(run, schema)
 
@@ -92,6 +102,7 @@ def judged(df: DataFrame, fn: Callable[[list], dict[str, list]], schema: str) ->
                 got = fn([t or "" for t in part.column("text").to_pylist()])
                 columns = [part.column(c) for c in kept] + [pa.array(got[name], kind) for name, kind in kinds]
                 yield pa.RecordBatch.from_arrays(columns, names=[*kept, *(name for name, _ in kinds)])
+        give_back()
 
     return df.mapInArrow(run, T.StructType([*df.select(*kept).schema, *added]))
 
@@ -122,6 +133,8 @@ def in_blocks(
                 held.append(part)
         if held:
             yield from fn(_joined(held))
+        held.clear()
+        give_back()
 
     return df.mapInArrow(run, schema)
 
