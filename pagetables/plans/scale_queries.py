@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from pagetables.operators import bundle as B
 from pagetables.operators import listings, nodes
+from pagetables.operators import vocabulary as V
 from pagetables.plans import fixtures as FX
 from pagetables.plans import sqltext as Q
 from pagetables.plans.corpus_queries import pages_of
 from pagetables.plans.page_queries import DETAIL_SQL, SHOP
 from pagetables.plans.registry import query, table
-from pagetables.sinks import snapshots
+from pagetables.sinks import snapshots, typed
 from pagetables.sources.pages import decode_pages
 from pagetables.streaming import streams as ST
 
@@ -110,3 +111,55 @@ def bundle_snapshot(spark, folder):
         for name, t in snapshots.read_bundle(spark, path).items()
     ]
     return counted[0].unionByName(counted[1])
+
+
+def _observed_payloads(spark, folder):
+    """Listings and details of the same products in one table, and payloads that are null."""
+    listed = FX.store_products(spark, folder).selectExpr("p_partkey", "'list' AS kind", "payload")
+    details = FX.store_details(spark, folder).selectExpr("p_partkey", "IF(arrived = 1, 'null', 'detail') AS kind", "payload")
+    return listed.union(details)
+
+
+@query("payload_schema", """
+WITH c AS (SELECT count(*) AS a, count(*) FILTER (p_size <= 35) AS d, count(*) FILTER (p_size < 20) AS w, count(*) FILTER (p_size BETWEEN 13 AND 35) AS i FROM part)
+SELECT unnest(['id', 'name', 'price']) AS key, a + d AS n, unnest(['BIGINT', 'STRING', 'DECIMAL']) AS type FROM c
+UNION ALL SELECT unnest(['model', 'sku', 'regular_price', 'currency', 'status', 'is_available', 'category', 'brand', 'url', 'description', 'original_image']),
+  a, unnest(['STRING', 'STRING', 'BIGINT', 'STRING', 'STRING', 'BOOLEAN', 'VARIANT', 'VARIANT', 'STRING', 'STRING', 'STRING']) FROM c
+UNION ALL SELECT unnest(['quantity', 'images', 'weight', 'gtin']), unnest([a + w, a + i, w, d]), unnest(['BIGINT', 'VARIANT', 'DECIMAL', 'BIGINT']) FROM c""")
+def payload_schema(spark, folder):
+    fields = typed.payload_schema(_observed_payloads(spark, folder))
+    return fields.select("key", "n", F.regexp_replace("type", "^DECIMAL.*", "DECIMAL").alias("type"))
+
+
+@query("typed_payloads", """
+SELECT p_partkey, 'list' AS kind, p_partkey AS id, p_name AS name, CASE WHEN p_size > 40 THEN 'MD-' || p_partkey END AS model,
+  CAST(p_retailprice AS DOUBLE) AS price, CAST(p_size AS BIGINT) AS quantity, p_size > 3 AS is_available,
+  '{"id":1,"name":"' || p_type || '"}' AS category, CAST(NULL AS BIGINT) AS gtin, CAST(NULL AS DOUBLE) AS weight FROM part
+UNION ALL SELECT p_partkey, 'detail', p_partkey, CASE WHEN p_size > 10 THEN 'Detail ' || p_name ELSE '' END, NULL, NULL, NULL, NULL, NULL,
+  p_partkey, CASE WHEN p_size < 20 THEN 1.5 END FROM part WHERE p_size <= 35
+UNION ALL SELECT p_partkey, 'null', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM part WHERE p_size <= 35""")
+def typed_payloads(spark, folder):
+    """Sixteen columns by frequency; the two fields that only details have are in the rest."""
+    rows = typed.typed_table(_observed_payloads(spark, folder), width=16)
+    return rows.select(
+        "p_partkey", "kind", "id", "name", "model", F.when(F.col("kind") == "list", F.col("price").cast("double")).alias("price"),
+        "quantity", "is_available", F.to_json("category").alias("category"),
+        F.try_variant_get("rest", "$.gtin", "bigint").alias("gtin"), F.try_variant_get("rest", "$.weight", "double").alias("weight"),
+    )
+
+
+def _page_words(spark, folder):
+    """Words of benchmark items, in groups by their length, longer ones with more points."""
+    words = table(spark, folder, "benchmark").select(F.explode(F.split(V.plain_lower("text"), "[^a-z]+")).alias("token"))
+    size = F.length("token")
+    return words.filter(size >= 3).select("token", F.when(size < 6, "short").otherwise("long").alias("group"), size.alias("points"))
+
+
+@query("vocabulary_scores", """
+WITH w AS (SELECT DISTINCT unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z]+')) AS token FROM benchmark),
+v AS (SELECT token, CASE WHEN length(token) < 6 THEN 'short' ELSE 'long' END AS "group", length(token) AS points FROM w WHERE length(token) >= 3)
+SELECT page_id, "group", count(*) AS tokens, CAST(sum(points) AS BIGINT) AS points
+FROM (SELECT page_id, translate(html, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS html FROM pages) JOIN v ON contains(html, token)
+GROUP BY ALL""")
+def vocabulary_scores(spark, folder):
+    return V.vocabulary_scores(table(spark, folder, "pages"), ["page_id"], "html", _page_words(spark, folder))
