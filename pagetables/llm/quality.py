@@ -17,6 +17,8 @@ from pagetables.llm.vectors import run_hashes
 
 #: A line is boilerplate on a host from so many distinct texts, and so large a share of the host's texts, on.
 TEXTS, SHARE = 20, 0.002
+#: Small hosts: from FEW texts on if that is one in PART texts; hosts of any size: from MANY texts on.
+FEW, PART, MANY = 5, 5, 2000
 #: A document is depleted if fewer words are left, or a smaller share of them.
 LEFT_WORDS, LEFT_SHARE = 10, 0.2
 #: Limits of the contract for the base rules.
@@ -83,19 +85,22 @@ def measure(docs: DataFrame) -> DataFrame:
     )
 
 
-def judge(docs: DataFrame, texts: int = TEXTS, share: float = SHARE) -> DataFrame:
+def judge(docs: DataFrame, texts: int = TEXTS, share: float = SHARE, few: int = FEW, part: int = PART, many: int = MANY) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, words_left of every row.
 
     `docs` has doc_id, text and source, the host; a null source is a host of its own. Equal texts count once in a
     line's frequency, so copies of a page do not make its lines boilerplate. A null text has no words and fails the
-    base rules. Repeated rows stay; other columns are ignored; an empty table gives no rows.
+    base rules. Repeated rows stay; other columns are ignored; an empty table gives no rows. Very long texts and lines
+    are judged whole; a line moves as its hash.
     """
     rows = written(measure(docs).withColumn("host", F.coalesce("host", F.lit(""))).withColumn("uid", F.monotonically_increasing_id()))
     hosts = rows.select("host", "digest").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("texts"))
     lines = rows.select("uid", "host", "digest", F.explode(F.arrays_zip("lines", "sizes")).alias("x"))
     lines = lines.select("uid", "host", "digest", F.col("x.lines").alias("line"), F.col("x.sizes").alias("size"))
     counts = lines.select("host", "line", "digest").distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
-    common = counts.filter(F.col("n") >= texts).join(hosts, "host").filter(F.col("n") >= share * F.col("texts")).select("host", "line")
+    n = F.col("n")
+    enough = ((n >= texts) & (n >= share * F.col("texts"))) | ((n >= few) & (n * part >= F.col("texts"))) | (n >= many)
+    common = counts.filter(n >= min(texts, few, many)).join(hosts, "host").filter(enough).select("host", "line")
     gone = lines.join(common, ["host", "line"]).groupBy("uid").agg(F.sum("size").alias("gone"))
     left = F.col("n_words") - F.coalesce("gone", F.lit(0))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
@@ -123,7 +128,8 @@ lines AS (
 doubled AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY doc_id),
 hosts AS (SELECT host, count(DISTINCT t) + max(CASE WHEN text IS NULL THEN 1 ELSE 0 END) AS texts FROM d GROUP BY host),
 common AS (SELECT host, norm FROM lines JOIN hosts USING (host) GROUP BY host, norm, texts
-  HAVING count(DISTINCT text) >= {TEXTS} AND count(DISTINCT text) >= {SHARE} * texts),
+  HAVING (count(DISTINCT text) >= {TEXTS} AND count(DISTINCT text) >= {SHARE} * texts)
+    OR (count(DISTINCT text) >= {FEW} AND count(DISTINCT text) * {PART} >= texts) OR count(DISTINCT text) >= {MANY}),
 gone AS (SELECT doc_id, sum(size) AS n FROM lines JOIN common USING (host, norm) GROUP BY doc_id),
 all_of AS (
   SELECT d.doc_id, len(words) AS n_words, length(regexp_replace(t, '{BLANK}', '', 'g')) AS word_chars,

@@ -156,6 +156,20 @@ def test_quality_lines(spark, empty):
     assert quality.judge(empty).count() == 0
 
 
+def test_quality_limits_at_three_sizes(spark):
+    def left(host, texts, holders, **limits):
+        """Words of the shared line that the first `holders` of `texts` texts still have."""
+        own = F.concat_ws(" ", *[F.concat(F.lit(f"w{chr(97 + j)}"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")) for j in range(30)])
+        text = F.when(F.col("id") < holders, F.concat(own, F.lit("\nshared menu line"))).otherwise(own)
+        frame = spark.range(texts).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit(host).alias("source"))
+        rows = quality.judge(frame, **limits).filter(F.col("doc_id") < holders).select("words_left").distinct().collect()
+        return {r.words_left - 30 for r in rows}
+
+    assert left("small", 19, 19) == {0} and left("small", 19, 4) == {3}
+    assert left("middle", 1000, 20) == {0} and left("middle", 1000, 19) == {3}
+    assert left("hot", 20000, 39) == {3} and left("hot", 20000, 39, many=39) == {0}
+
+
 # --- 3 ------------------------------------------------------------------------
 
 def test_language(spark, odd, empty):
