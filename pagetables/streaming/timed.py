@@ -196,7 +196,8 @@ def late_arrivals(events: DataFrame, batches: int, jitter_hours: float, folder:
     for i in range(batches if low is not None else 0):
         lower, upper = (low + (high - low) * k / batches for k in (i, i + 1))
         part = rows.filter((F.col("_arrival") >= lower) & ((F.col("_arrival") < upper) | F.lit(i == batches - 1)))
-        part.drop("_arrival").coalesce(1).write.mode("append").parquet(folder)
+        # a shuffle, so that the table is read and shaped by many tasks and only the file is written by one
+        part.drop("_arrival").repartition(1).write.mode("append").parquet(folder)
     if end is not None:
         end.coalesce(1).write.mode("append").parquet(folder)
     if low is None and end is None:
