@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from pagetables.operators import listings, nodes
+from pagetables.functions import payload as J
+from pagetables.operators import feeds, listings, nodes
 from pagetables.plans import fixtures as FX
 from pagetables.streaming import timed
 
@@ -58,3 +59,15 @@ def test_arrivals_are_shaped_by_many_tasks(spark, tmp_path):
         F.col("id").alias("event_id"), F.timestamp_seconds(F.col("id") * 3600).alias("ts"), F.spark_partition_id().alias("task"))
     back = spark.read.parquet(timed.late_arrivals(rows, 2, 1, f"{tmp_path}/arrivals"))
     assert back.count() == 800 and back.select("task").distinct().count() == 8 and len(back.inputFiles()) == 2
+
+
+def test_embedded_json_is_parsed_once(spark, tmp_path):
+    parts = spark.range(60).selectExpr(
+        "id AS p_partkey", "'n' AS p_name", "'Brand#1' AS p_brand", "'T' AS p_type", "CAST(id % 50 AS INT) AS p_size", "1.5D AS p_retailprice")
+    parts.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    reads = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("from_json")
+    categories = feeds.embedded_categories(FX.search_pages(spark, str(tmp_path)))
+    assert reads(categories) <= 15 and categories.count() == 120
+    payload = F.expr("""'{"a":{"b":{"name":" x ' || p_partkey || '"}},"c":3}'""")
+    nested = parts.select(*[J.nested_text(payload, *k).alias("-".join(k)) for k in (("a", "b", "name"), ("c", "name"), ("c",), ("d", "e"))])
+    assert reads(nested) <= 20 and nested.filter("`a-b-name` = ' x 7'").collect() == [(" x 7", "", "3", "")]
