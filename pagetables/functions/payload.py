@@ -98,11 +98,15 @@ def present_or(first: Column, second: Column, key: str) -> Column:
 
 def nested_text(text: Column | str, *keys: str) -> Column:
     """Text of a nested value, '' as soon as a step is missing."""
-    current = fields(text)
-    for key in keys[:-1]:
-        step = current[key]
-        current = fields(F.when(step["kind"] == "OBJECT", step["text"]))
-    return scalar_text(current[keys[-1]])
+    def inside(record: Column, rest: tuple[str, ...]) -> Column:
+        if len(rest) == 1:
+            return let(record[rest[0]], scalar_text)
+        return let(
+            record[rest[0]],
+            lambda step: let(fields(F.when(step["kind"] == "OBJECT", step["text"])), lambda below: inside(below, rest[1:])),
+        )
+
+    return let(fields(text), lambda record: inside(record, keys))
 
 
 def text_value(value: Column) -> Column:
