@@ -204,8 +204,9 @@ def enrich_products(
 
     within = F.lit(True) if options_limit is None else F.col(idx) <= options_limit
     return (
-        products.join(last(details, "detail"), F.col(key) == F.col("_detail_key"), "left")
-        .join(last(options, "options"), (F.col(key) == F.col("_options_key")) & within, "left")
+        # payloads derived from a small file would be broadcast by the guess at their size
+        products.join(last(details, "detail").hint("merge"), F.col(key) == F.col("_detail_key"), "left")
+        .join(last(options, "options").hint("merge"), (F.col(key) == F.col("_options_key")) & within, "left")
         .drop("_detail_key", "_options_key")
     )
 

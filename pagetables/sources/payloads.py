@@ -66,7 +66,8 @@ def paginate_numbered(
     """Items of numbered API pages in order; `idx` counts per group and ends at the limit."""
     sizes = pages.select(*group, "page_no", F.size(items).alias("size"))
     kept = running_pages(sizes, group, page_size, limit).drop("size")
-    rows = pages.join(kept, [*group, "page_no"]).select(
+    # sizes are guessed from the bytes of a file, so payloads that a query derives would be broadcast through the driver
+    rows = pages.join(kept.hint("merge"), [*group, "page_no"]).select(
         *group, "page_no", "taken_before", F.posexplode(items).alias("pos", "item")
     )
     idx = F.col("taken_before") + F.col("pos") + 1
@@ -102,7 +103,7 @@ def cursor_pages(pages: DataFrame, group: Sequence[str], items: str = "items", l
 def paginate_cursor(pages: DataFrame, group: Sequence[str], items: str = "items", limit: int | None = None) -> DataFrame:
     """Items of cursor-paged API answers in order, ending at the limit."""
     kept = cursor_pages(pages, group, items, limit).select(*group, "page_seq", "taken_before")
-    rows = pages.join(kept, [*group, "page_seq"]).select(
+    rows = pages.join(kept.hint("merge"), [*group, "page_seq"]).select(
         *group, "page_seq", "taken_before", F.posexplode(items).alias("pos", "item")
     )
     idx = F.col("taken_before") + F.col("pos") + 1

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pagetables.functions import payload as J
 from pagetables.operators import feeds, listings, nodes
 from pagetables.plans import fixtures as FX
+from pagetables.sources import payloads as PL
 from pagetables.streaming import timed
 
 PAGE = "<div><article class=card>a $5.00<img src=a.jpg><b>x</b></article><article><article>b<img></article></article></div>"
@@ -71,3 +72,15 @@ def test_embedded_json_is_parsed_once(spark, tmp_path):
     payload = F.expr("""'{"a":{"b":{"name":" x ' || p_partkey || '"}},"c":3}'""")
     nested = parts.select(*[J.nested_text(payload, *k).alias("-".join(k)) for k in (("a", "b", "name"), ("c", "name"), ("c",), ("d", "e"))])
     assert reads(nested) <= 20 and nested.filter("`a-b-name` = ' x 7'").collect() == [(" x 7", "", "3", "")]
+
+
+def test_derived_payloads_are_not_broadcast(spark, tmp_path):
+    parts = spark.range(60).selectExpr(
+        "id AS p_partkey", "'n' AS p_name", "'Brand#1' AS p_brand", "'T' AS p_type", "CAST(id % 40 AS INT) AS p_size", "1.5D AS p_retailprice")
+    parts.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    folder = str(tmp_path)
+    paged = PL.paginate_numbered(FX.feed_pages(spark, folder), ["site"], page_size=10, limit=25)
+    enriched = feeds.enrich_products(
+        FX.store_products(spark, folder), FX.store_details(spark, folder), FX.store_options(spark, folder), "p_partkey", ["arrived"])
+    for rows, n in ((paged, 45), (enriched, 60)):
+        assert "BroadcastHashJoin" not in rows._jdf.queryExecution().executedPlan().toString() and rows.count() == n
