@@ -18,7 +18,6 @@ from pagetables.operators.feeds import (
     embedded_hits,
     normalize_embedded_hit,
 )
-from pagetables.operators.nodes import page_nodes
 from pagetables.operators.pages import page_links, resolved_images
 from pagetables.operators.ranking import first_per_key, top_k
 from pagetables.operators.structured import jsonld_items, structured_rows
@@ -159,7 +158,7 @@ class Bundle:
             plain = self.catalog[0].withColumn("visited", F.lit(True)).withColumn("detail_status", F.lit("OK"))
             plain = plain.withColumn("model_number", F.coalesce("model_number", F.lit("")))
         else:
-            listed = L.page_listings(page_nodes(self._pages_of("generic")))
+            listed = L.page_listings(L.listing_nodes(self._pages_of("generic")))
             # details are made for wanted pages only
             wanted = listed.select(details.url_key("url").alias("_key")).distinct()
             looked = self.corpus.join(wanted, details.url_key(self.corpus["url"]) == wanted["_key"], "left_semi")

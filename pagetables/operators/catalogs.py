@@ -21,9 +21,8 @@ from pagetables.operators.feeds import (
     normalize_store_product,
     store_records,
 )
-from pagetables.operators.listings import product_link_listings
+from pagetables.operators.listings import link_nodes, product_link_listings
 from pagetables.operators.merge import merge_by_key
-from pagetables.operators.nodes import page_nodes
 from pagetables.operators.ranking import category_allowance
 from pagetables.session import cut_lineage
 from pagetables.sources.payloads import (
@@ -148,7 +147,7 @@ def catalog_page_listings(pages: DataFrame) -> DataFrame:
     order = Window.partitionBy("page_id").orderBy("state_no", "index_name", "result_no", "pos")
     numbered = hits.withColumn("idx", F.row_number().over(order))
     from_hits = normalize_embedded_hit(numbered).withColumn("strategy", F.lit(0))
-    from_links = product_link_listings(page_nodes(pages)).drop("page_url").withColumn("strategy", F.lit(1))
+    from_links = product_link_listings(link_nodes(pages)).drop("page_url").withColumn("strategy", F.lit(1))
     union = from_hits.unionByName(from_links, allowMissingColumns=True)
     best = F.min("strategy").over(Window.partitionBy("page_id"))
     return union.withColumn("_best", best).filter("strategy = _best").drop("_best", "strategy")

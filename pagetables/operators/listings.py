@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from pagetables.functions import urls as U
 from pagetables.functions.images import image_src
 from pagetables.functions.text import clean_text, first_truthy, let
-from pagetables.operators.nodes import CANDIDATE_TAGS
+from pagetables.operators.nodes import CANDIDATE_TAGS, page_nodes
 from pagetables.operators.ranking import first_per_key, top_k
 from pagetables.session import cut_lineage
 
@@ -118,19 +118,35 @@ LIMITS = {
 SOURCES = {PRODUCT_LINK: "product_link", CARD: None, IMAGE_LINK: "link_image_fallback"}
 
 
+LINK_COLUMNS = ["page_id", "url", "pos", "tag", "attrs", "text", "price", "first_img", "first_a"]
+CANDIDATE_COLUMNS = [*LINK_COLUMNS, "text_len", "plain_title", *[f"first_{t}" for t in HEADING_TAGS if t != "a"]]
+
+
+def listing_nodes(pages: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """The part of the element table that listings are made of: the elements that can become one, and what is read of them."""
+    return page_nodes(pages, max_bytes, CANDIDATE_COLUMNS, CANDIDATE_TAGS)
+
+
+def link_nodes(pages: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """The links alone, for `product_link_listings` and `link_image_listings`."""
+    return page_nodes(pages, max_bytes, LINK_COLUMNS, ["a"])
+
+
 def listing_candidates(nodes: DataFrame, strategies: tuple[int, ...] = (PRODUCT_LINK, CARD, IMAGE_LINK)) -> DataFrame:
     """Rows that a strategy may turn into a listing, before de-duplication.
 
     One pass over the elements serves all strategies. `mark` and `link` are
     the two keys of the de-duplication. Image, link and titles are computed
-    inside the exploded array, once per element.
+    inside the exploded array, once per element. Links are read only for a strategy that asks for them.
     """
+    linked = PRODUCT_LINK in strategies or IMAGE_LINK in strategies
     needed = ["img", *HEADING_TAGS] if CARD in strategies else ["img", "a"]
     ready = with_firsts(nodes, needed)
-    wanted = F.col("tag") == "a"
+    wanted = F.lit(linked) & (F.col("tag") == "a")
     if CARD in strategies:
         ready = ready.withColumn("score", node_score())
         wanted = wanted | (F.col("score") >= CARD_SCORE)
+    is_card = F.col("score") >= CARD_SCORE if linked else F.lit(True)
     ready = ready.filter(wanted)
     text, is_link = F.col("text"), F.col("tag") == "a"
 
@@ -148,11 +164,14 @@ def listing_candidates(nodes: DataFrame, strategies: tuple[int, ...] = (PRODUCT_
             ),
         )
 
-    def rows(url: Column, image: Column) -> Column:
-        same = is_link & (url != "") & U.same_site(url, "url")
+    def rows(url: Column, image: Column, base: Column) -> Column:
+        if not linked:
+            return found_rows(url, image, F.lit(False), F.lit(""))
+        on_site = U.url_part(url, "scheme").isin("http", "https") & (U.url_part(url, "authority") == base["authority"])
+        label = clean_text(F.coalesce(first_truthy(text, image["alt"]), F.lit("")))
         return let(
-            F.struct(same.alias("same"), clean_text(F.coalesce(first_truthy(text, image["alt"]), F.lit(""))).alias("label")),
-            lambda known: found_rows(url, image, known["same"], known["label"]),
+            is_link & (url != "") & on_site,
+            lambda same: let(F.when(same, label), lambda label: found_rows(url, image, same, label)),
         )
 
     def found_rows(url: Column, image: Column, same: Column, label: Column) -> Column:
@@ -163,9 +182,9 @@ def listing_candidates(nodes: DataFrame, strategies: tuple[int, ...] = (PRODUCT_
             found.append(row(PRODUCT_LINK, same & on_path, F.substring(title, 1, 240), url, image, url, F.lit("")))
         if CARD in strategies:
             print_ = F.lower(clean_text(F.substring(text, 1, 300)))
-            found.append(
-                row(CARD, (F.col("score") >= CARD_SCORE) & (print_ != ""), heading_text(), url, image, print_, url)
-            )
+            found.append(let(
+                F.when(is_card, print_), lambda mark: row(CARD, mark != "", heading_text(), url, image, mark, url),
+            ))
         if IMAGE_LINK in strategies:
             slug = U.unquote(F.element_at(F.split(F.btrim(U.url_path(url), F.lit("/")), "/"), -1))
             shown = (image["src"] != "") | ((label != "") & U.looks_like_product_url(url))
@@ -175,7 +194,7 @@ def listing_candidates(nodes: DataFrame, strategies: tuple[int, ...] = (PRODUCT_
 
     candidates = let(
         U.url_parts("url"),
-        lambda base: let(first_link(base), lambda url: let(first_image_parts(base), lambda img: rows(url, img))),
+        lambda base: let(first_link(base), lambda url: let(first_image_parts(base), lambda img: rows(url, img, base))),
     )
     exploded = ready.select(
         "page_id", F.col("url").alias("page_url"), "pos", "price",

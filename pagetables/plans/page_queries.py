@@ -267,7 +267,7 @@ SELECT p_partkey AS page_id, unnest([1, 2]) AS idx, unnest([p_name, p_type || '
 
 @query("card_listings", CARD_SQL)
 def card_listings(spark, folder):
-    rows = listings.card_listings(nodes.page_nodes(FX.card_pages(spark, folder)))
+    rows = listings.card_listings(listings.listing_nodes(FX.card_pages(spark, folder)))
     return rows.select("page_id", "idx", "title", "price", "image", "url")
 
 
@@ -281,7 +281,7 @@ FROM part"""
 
 @query("product_link_listings", PRODUCT_LINKS_SQL)
 def product_link_listings(spark, folder):
-    rows = listings.product_link_listings(nodes.page_nodes(FX.shop_pages(spark, folder)))
+    rows = listings.product_link_listings(listings.link_nodes(FX.shop_pages(spark, folder)))
     return rows.select("page_id", "idx", "title", "price", "image", "url")
 
 
@@ -292,21 +292,21 @@ SELECT p_partkey AS page_id, unnest([1, 2, 3]) AS idx, unnest(['Alt ' || p_name,
   'link_image_fallback' AS source
 FROM part""")
 def link_image_listings(spark, folder):
-    rows = listings.link_image_listings(nodes.page_nodes(FX.shop_pages(spark, folder)))
+    rows = listings.link_image_listings(listings.link_nodes(FX.shop_pages(spark, folder)))
     return rows.select("page_id", "idx", "title", "url", "source")
 
 
 @query("page_listings", f"""
 SELECT *, 0 AS strategy FROM ({PRODUCT_LINKS_SQL})""")
 def page_listings(spark, folder):
-    rows = listings.page_listings(nodes.page_nodes(FX.shop_pages(spark, folder)))
+    rows = listings.page_listings(listings.listing_nodes(FX.shop_pages(spark, folder)))
     return rows.select("page_id", "idx", "title", "price", "image", "url", "strategy")
 
 
 @query("greedy_dedup_two_key", f"SELECT page_id, title, price, url, url AS link FROM ({CARD_SQL})")
 def greedy_dedup_two_key(spark, folder):
     kept = listings.greedy_dedup_two_key(
-        listings.listing_candidates(nodes.page_nodes(FX.card_pages(spark, folder)), (listings.CARD,))
+        listings.listing_candidates(listings.listing_nodes(FX.card_pages(spark, folder)), (listings.CARD,))
     )
     return kept.select("page_id", "title", "price", "url", "link")
 

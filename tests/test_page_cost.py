@@ -51,3 +51,21 @@ def test_ropes_come_in_batches_of_many_pages():
     for row, source in zip(rows, html):
         text, columns = nodes._rope(source or "")
         assert row["text"] == text and [tuple(e.values()) for e in row["elements"]] == list(zip(*columns))
+
+
+def test_listings_of_chosen_elements_are_those_of_all(spark):
+    pages = spark.createDataFrame([*PAGES, (4, "http://h/x", None)], PAGE)
+    some, every = listings.listing_nodes(pages), nodes.page_nodes(pages)
+    assert {r["tag"] for r in some.collect()} <= set(nodes.CANDIDATE_TAGS) and "own_text" not in some.columns
+    for made in (listings.page_listings, listings.card_listings, listings.product_link_listings, listings.link_image_listings):
+        rows = sorted(map(str, made(every).collect()))
+        assert sorted(map(str, made(some).collect())) == rows
+    links = listings.link_nodes(pages)
+    for made in (listings.product_link_listings, listings.link_image_listings):
+        assert sorted(map(str, made(links).collect())) == sorted(map(str, made(every).collect()))
+
+
+def test_candidates_of_cards_alone_leave_links_out(spark):
+    pages = spark.createDataFrame(PAGES, PAGE)
+    rows = listings.listing_candidates(listings.listing_nodes(pages), (listings.CARD,))
+    assert {r["strategy"] for r in rows.select(F.col("strategy")).collect()} == {listings.CARD}
