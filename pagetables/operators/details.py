@@ -38,7 +38,8 @@ def page_detail(pages: DataFrame, images: int | None = None, description: int |
 
     `images` and `description` cut the image list and the page text; by default both are whole.
     """
-    ready = with_page_tree(pages).withColumnRenamed("objects", "_objects")
+    read = ["page_id", "url", "html", "text", "objects"]
+    ready = with_page_tree(pages, columns=read, fields=["entries", "price"]).withColumnRenamed("objects", "_objects")
     sources = F.transform(resolved_images(images), lambda i: i["src"])
     price = F.nullif(structured_price(F.col("_objects")), F.lit(""))
     return ready.select(

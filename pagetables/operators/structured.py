@@ -41,7 +41,8 @@ def read_jsonld(pages: DataFrame) -> DataFrame:
 
 def jsonld_objects(pages: DataFrame) -> DataFrame:
     """One row per object with its place in the walk."""
-    rows = with_page_tree(pages).select("page_id", F.posexplode("objects").alias("pos", "o"))
+    tree = with_page_tree(pages, columns=["page_id", "objects"], fields=["path", "text"])
+    rows = tree.select("page_id", F.posexplode("objects").alias("pos", "o"))
     return rows.select("page_id", "pos", F.size("o.path").alias("path_len"), F.col("o.text").alias("object"))
 
 

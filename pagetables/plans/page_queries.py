@@ -145,9 +145,15 @@ def structured_rows(spark, folder):
     )
 
 
+def _objects(spark, folder, field):
+    """The objects of each page with one field, as `o`."""
+    pages = nodes.with_page_tree(FX.jsonld_pages(spark, folder), columns=["page_id", "objects"], fields=[field])
+    return pages.withColumnRenamed("objects", "o")
+
+
 @query("structured_value", "SELECT p_partkey AS page_id, p_brand AS brand FROM part")
 def structured_value(spark, folder):
-    pages = nodes.with_page_tree(FX.jsonld_pages(spark, folder)).withColumnRenamed("objects", "o")
+    pages = _objects(spark, folder, "entries")
     return pages.select("page_id", S.structured_value(F.col("o"), J.DETAIL_KEYS["brand"]).alias("brand"))
 
 
@@ -155,7 +161,7 @@ def structured_value(spark, folder):
 SELECT p_partkey AS page_id, CASE WHEN p_partkey <> 0 THEN CAST(p_partkey AS VARCHAR) WHEN p_size < 40 THEN 'S' || p_partkey ELSE '' END AS model,
   CASE WHEN p_size < 40 THEN 'S' || p_partkey WHEN p_partkey <> 0 THEN CAST(p_partkey AS VARCHAR) ELSE '' END AS sku_first FROM part""")
 def structured_value_ordered(spark, folder):
-    pages = nodes.with_page_tree(FX.jsonld_pages(spark, folder)).withColumnRenamed("objects", "o")
+    pages = _objects(spark, folder, "entries")
     return pages.select(
         "page_id",
         S.structured_value_ordered(F.col("o"), J.DETAIL_KEYS["model_number"]).alias("model"),
@@ -165,7 +171,7 @@ def structured_value_ordered(spark, folder):
 
 @query("structured_price", "SELECT p_partkey AS page_id, CAST(p_retailprice AS VARCHAR) AS price FROM part")
 def structured_price(spark, folder):
-    pages = nodes.with_page_tree(FX.jsonld_pages(spark, folder)).withColumnRenamed("objects", "o")
+    pages = _objects(spark, folder, "price")
     return pages.select("page_id", S.structured_price(F.col("o")).alias("price"))
 
 

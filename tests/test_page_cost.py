@@ -69,3 +69,12 @@ def test_candidates_of_cards_alone_leave_links_out(spark):
     pages = spark.createDataFrame(PAGES, PAGE)
     rows = listings.listing_candidates(listings.listing_nodes(pages), (listings.CARD,))
     assert {r["strategy"] for r in rows.select(F.col("strategy")).collect()} == {listings.CARD}
+
+
+def test_page_tree_with_few_fields(spark):
+    pages = spark.createDataFrame([*PAGES, (4, "http://h/x", None)], PAGE)
+    whole = {r["page_id"]: r["objects"] for r in nodes.with_page_tree(pages).collect()}
+    assert len(whole[2]) > 5
+    for field in nodes.OBJECT_FIELDS:
+        rows = nodes.with_page_tree(pages, columns=["page_id", "objects"], fields=[field]).collect()
+        assert {r["page_id"]: [o[field] for o in r["objects"]] for r in rows} == {k: [o[field] for o in v] for k, v in whole.items()}
