@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from html import unescape
 from html.entities import html5
+from zlib import crc32
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -35,11 +36,8 @@ BOILERPLATE_WARNING = (
 WARNING_REST = "Note: ."
 # --- end of fixed values -----------------------------------------------------
 
-SPACE_CLASS = r"[\s\x1c-\x1f]"
-
-# All HTML entities, from the standard library's table. Pages use few of them, so those are looked up first.
-COMMON = ["amp", "lt", "gt", "quot", "apos", "nbsp", "copy", "reg", "middot", "euro", "hellip", "ndash", "mdash", "rsquo", "lsquo"]
-ENTITIES = {name[:-1]: text for name, text in html5.items() if name.endswith(";")}
+# All HTML entities, from the standard library's table.
+ENTITIES = dict(html5)  # names with their semicolon, and those that go without
 # Names that are also decoded without a closing semicolon, and numbers that stand for something else or nothing.
 OPEN_ENTITIES = sorted((name for name in html5 if not name.endswith(";")), key=lambda n: (-len(n), n))
 ODD_NUMBERS = {n: unescape(f"&#{n};") for n in range(160) if unescape(f"&#{n};") != chr(n)}
@@ -58,9 +56,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+# The characters of (?U)[\s\x1c-\x1f], spelled out: Unicode classes are looked up slowly.
+_WIDE_SPACE = r"\t-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+# a run of white space that is not just one blank
+SPACE_RUN = rf"[{_WIDE_SPACE}][ {_WIDE_SPACE}]*+| [ {_WIDE_SPACE}]++"
+
+
 def clean_text(c: Column | str) -> Column:
     """Collapse every run of Unicode white space to one blank and trim; NULL gives ''."""
-    return F.trim(F.regexp_replace(F.coalesce(col(c), F.lit("")), rf"(?U){SPACE_CLASS}+", " "))
+    return F.trim(F.regexp_replace(F.coalesce(col(c), F.lit("")), SPACE_RUN, " "))
 
 
 def truthy(c: Column | str, kind: str = "string") -> Column:
@@ -79,45 +83,59 @@ def code_point(n: Column) -> Column:
     return F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
 
 
-def _sql_text(value: str) -> str:
-    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
+BUCKETS = 512
 
-def _sql_map(pairs: dict[str, str]) -> Column:
-    return F.expr(f"map({', '.join(_sql_text(x) for pair in pairs.items() for x in pair)})")
 
-
-def _named(name: Column) -> Column:
-    common = _sql_map({n: ENTITIES[n] for n in COMMON})
-    return F.coalesce(common[name], F.when(name != "", _sql_map(ENTITIES)[name]))
+def _looked_up(pairs: dict[str, str], key: Column) -> Column:
+    """Value of a key in a table that is one literal: a short text for each checksum, so little is read and shipped."""
+    texts = ["\1"] * BUCKETS
+    for name, value in pairs.items():
+        texts[crc32(name.encode()) % BUCKETS] += f"{name}\2{value}\1"
+    near = F.get(F.split(F.lit("\3".join(texts)), "\3"), F.crc32(key.cast("binary")) % BUCKETS)
+    mark = F.concat(F.lit("\1"), key, F.lit("\2"))
+    return let(
+        F.struct(near.alias("near"), mark.alias("mark"), F.instr(near, mark).alias("at")),
+        lambda f: F.when(f["at"] > 0, F.substring_index(F.substr(f["near"], f["at"] + F.length(f["mark"])), "\1", 1)),
+    )
 
 
-def _numbered(digits: Column, base: int) -> Column:
+def _character(number: Column) -> Column:
     """Character of a number; what is no character or a control character follows the HTML rules."""
-    short = F.regexp_replace(digits, "^0+", "")
-    number = F.when(F.length(short) > 8, F.lit(1 << 40)).otherwise(F.coalesce(F.conv(short, base, 10).try_cast("bigint"), F.lit(0)))
-    odd = F.expr(f"map({', '.join(f'{n}L, {_sql_text(t)}' for n, t in ODD_NUMBERS.items())})")
+    odd = _looked_up({str(n): t for n, t in ODD_NUMBERS.items()}, number.cast("string"))
     nothing = number.between(0xFDD0, 0xFDEF) | (F.pmod(number, F.lit(0x10000)) >= 0xFFFE)
     return (
         F.when((number > 0x10FFFF) | number.between(0xD800, 0xDFFF), F.lit("\ufffd"))
-        .when(number < 160, F.coalesce(odd[number], code_point(number)))
+        .when(number < 160, F.coalesce(odd, code_point(number)))
         .when(nothing, F.lit(""))
         .otherwise(code_point(number))
     )
 
 
 def _decode_piece(piece: Column) -> Column:
-    """A piece is a text that starts at '&' and holds no other '&'."""
-    name = F.regexp_extract(piece, r"^&([A-Za-z][A-Za-z0-9]*);", 1)
-    dec = F.regexp_extract(piece, r"^&#([0-9]+);?", 1)
-    hexa = F.regexp_extract(piece, r"^&#[xX]([0-9a-fA-F]+);?", 1)
-    bare = F.regexp_extract(piece, rf"^&({'|'.join(OPEN_ENTITIES)})", 1)
-    known = _named(name)
+    """A piece is a text that starts at '&' and holds no other '&'; the first one of a text may lack it."""
+
+    def rest(name: Column) -> Column:
+        return F.substr(piece, F.length(name) + 2)
+
+    def numbered(mark: Column) -> Column:
+        """`mark` is '#' or '#x', then zeros and the other digits."""
+        base = F.when(mark.rlike("^#[xX]"), F.lit(16)).otherwise(F.lit(10))
+        short = F.regexp_replace(mark, "^#[xX]?0*", "")
+        value = F.when(F.length(short) > 8, F.lit(1 << 40)).otherwise(
+            F.coalesce(F.when(base == 16, F.conv(short, 16, 10)).otherwise(F.conv(short, 10, 10)).try_cast("bigint"), F.lit(0))
+        )
+        return F.concat(let(value, _character), F.regexp_replace(rest(mark), "^;", ""))
+
+    # a name with its semicolon, else the longest name that goes without one
+    names = F.array(
+        F.regexp_extract(piece, r"^&([A-Za-z][A-Za-z0-9]*;)", 1), F.regexp_extract(piece, rf"^&({'|'.join(OPEN_ENTITIES)})", 1)
+    )
+    found = F.transform(names, lambda n: F.when(n != "", F.concat(_looked_up(ENTITIES, n), rest(n))))
+    named = let(found, lambda both: F.coalesce(F.get(both, F.lit(0)), F.get(both, F.lit(1)), piece))
+    number = F.regexp_extract(piece, r"^&(#[0-9]+|#[xX][0-9a-fA-F]+)", 1)
     return (
-        F.when(piece.rlike("^&#[0-9]"), F.concat(_numbered(dec, 10), F.regexp_replace(piece, r"^&#[0-9]+;?", "")))
-        .when(piece.rlike("^&#[xX][0-9a-fA-F]"), F.concat(_numbered(hexa, 16), F.regexp_replace(piece, r"^&#[xX][0-9a-fA-F]+;?", "")))
-        .when(known.isNotNull(), F.concat(known, F.substr(piece, F.length(name) + 3)))
-        .when(bare != "", F.concat(_named(bare), F.substr(piece, F.length(bare) + 2)))
+        F.when(piece.startswith("&#"), let(number, lambda mark: F.when(mark != "", numbered(mark)).otherwise(piece)))
+        .when(piece.startswith("&"), named)
         .otherwise(piece)
     )
 
