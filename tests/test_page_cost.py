@@ -86,3 +86,21 @@ def test_entities_are_looked_up_in_a_short_table(spark):
     # with ';' only or, for few names, without: unescape also cuts names short, which this does only at the start of a piece
     assert all(r["d"] == unescape(r["t"]) for r in rows.collect())
     assert "map(" not in rows._jdf.queryExecution().analyzed().toString()
+
+
+def test_bundle_snapshot_reads_pages_once_for_both_copies(spark, tmp_path, monkeypatch):
+    from pagetables.plans.scale_queries import bundle_snapshot
+
+    row = [(i, f"name {i}", "Brand#1", "TYPE", i % 3 + 1, 9.5) for i in range(1, 8)]
+    parts = spark.createDataFrame(row, "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double")
+    parts.write.parquet(f"{tmp_path}/part.parquet")
+    reads, write = [], snapshots.write_bundle
+
+    def watched(tables, *args, **more):
+        reads.extend(df._jdf.queryExecution().analyzed().toString().count("Relation") for df in tables.values())
+        return write(tables, *args, **more)
+
+    monkeypatch.setattr(snapshots, "write_bundle", watched)
+    counts = {(r["site"], r["sheet"]): r["n"] for r in bundle_snapshot(spark, str(tmp_path)).collect()}
+    assert reads == [1, 1, 1]
+    assert counts["shop1.example.com", "Images"] == 4 and sum(n for (_, s), n in counts.items() if s == "Structured Data") == 21
