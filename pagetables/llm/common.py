@@ -59,6 +59,15 @@ def written(df: DataFrame, by: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """A table that grows with the input, as a side of a merge join: it is never gathered on the driver to be broadcast.
+
+    Sizes are guessed from packed files and the types of columns, and an explode counts as one row, so a table of
+    hundreds of MB can pass for one below the limit of broadcasts.
+    """
+    return df.hint("merge")
+
+
 def give_back() -> None:
     """Return freed memory of this Python worker to the machine: it lives on, and the next stage may hold other things."""
     pa.default_memory_pool().release_unused()
@@ -182,7 +191,7 @@ def block_pairs(df: DataFrame, keys: list[str], member: str, block: int) -> Data
     bounded tasks, in which each pair of its rows meets exactly once.
     """
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("group_rows"))
-    cut = df.join(sizes, keys).withColumn("blocks", F.ceil(F.col("group_rows") / block).cast("int"))
+    cut = df.join(merged(sizes), keys).withColumn("blocks", F.ceil(F.col("group_rows") / block).cast("int"))
     cut = cut.withColumn("own", F.pmod(F.xxhash64(member), F.col("blocks")).cast("int"))
     return (
         cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -203,9 +212,9 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         sides = known.union(known.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = sides.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = sides.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = sides.join(merged(low), "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = large.join(merged(low), "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         known = written(small.union(low.select("a", F.col("m").alias("b"))).distinct())
         now = known.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).collect()[0]

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagetables.llm.common import block_pairs, components, grouped, map_batches, query, table, written
+from pagetables.llm.common import block_pairs, components, grouped, map_batches, merged, query, table, written
 from pagetables.llm.vectors import mixed, run_hashes, word_hashes
 
 SIZE, SIMILARITY = 5, 0.8
@@ -198,17 +198,17 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, recall: float = REC
         .withColumn("tid", F.monotonically_increasing_id())
     )
     likely = components(candidates(texts.select("tid", "sign"), similarity, recall))
-    members = texts.select("tid", "digest", "first_id").join(likely, texts["tid"] == likely["id"]).select("tid", "digest", "first_id", "root")
+    members = texts.select("tid", "digest", "first_id").join(merged(likely), texts["tid"] == likely["id"]).select("tid", "digest", "first_id", "root")
     links = written(verify(source, members, similarity))
     counts = links.groupBy("tid").agg(F.sum("links").alias("n_links"))
     roots = components(links.filter("tid <> other").select(F.col("tid").alias("a"), F.col("other").alias("b")))
     classed = (
-        texts.select("tid", "digest", "first_id", "n_copies").join(roots, texts["tid"] == roots["id"], "left")
+        texts.select("tid", "digest", "first_id", "n_copies").join(merged(roots), texts["tid"] == roots["id"], "left")
         .withColumn("root", F.coalesce("root", "tid")).drop("id")
     )
     first = classed.groupBy("root").agg(F.min("first_id").alias("class_id"))
-    classed = classed.join(first, "root").join(counts, "tid", "left").select("digest", "root", "class_id", "n_copies", "n_links")
-    return rows.select("doc_id", "digest").join(classed, "digest", "left").select(
+    classed = classed.join(merged(first), "root").join(merged(counts), "tid", "left").select("digest", "root", "class_id", "n_copies", "n_links")
+    return rows.select("doc_id", "digest").join(merged(classed), "digest", "left").select(
         "doc_id", "digest", "root", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"),
     )
@@ -224,7 +224,7 @@ def one_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")
     first = found.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.doc_id").alias("kept_id"), F.col("first.digest").alias("kept_digest"))
     rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", F.unhex(F.md5("text")).alias("digest"))
-    kept = rows.join(first, (F.col("digest") == F.col("kept_digest")) & F.col("doc_id").eqNullSafe(F.col("kept_id"))).select(*rows.columns)
+    kept = rows.join(merged(first), (F.col("digest") == F.col("kept_digest")) & F.col("doc_id").eqNullSafe(F.col("kept_id"))).select(*rows.columns)
     return kept.union(rows.filter(F.col("digest").isNull())).dropDuplicates(["doc_id", "digest"]).select("row.*")
 
 
@@ -236,8 +236,8 @@ def candidates(texts: DataFrame, similarity: float, recall: float) -> DataFrame:
     prefix = F.col("sign").substr(F.col("tree") * (4 * DEPTH) + 1, size)
     nodes = trees.select("tid", "tree", F.xxhash64("tree", prefix).alias("node"))
     full = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("node")
-    placed = _calls(block_pairs(nodes.join(full, "node"), ["node"], "tid", BLOCK), ["node", "block_a", "block_b"])
-    placed = placed.select("call", "tid", "tree", "node", "block_a", "block_b").join(texts, "tid")
+    placed = _calls(block_pairs(nodes.join(merged(full), "node"), ["node"], "tid", BLOCK), ["node", "block_a", "block_b"])
+    placed = placed.select("call", "tid", "tree", "node", "block_a", "block_b").join(merged(texts), "tid")
 
     def fn(columns):
         minima = np.frombuffer(b"".join(columns["sign"]), dtype=">u4").reshape(-1, TREES * DEPTH).astype(np.uint32)
@@ -265,10 +265,10 @@ def verify(source: DataFrame, members: DataFrame, similarity: float) -> DataFram
         yield {"tid": columns["tid"], "root": columns["root"], "members": [s.tobytes() for s in sets]}
 
     named = members.select(F.col("digest").alias("own"), "first_id", "tid", "root")
-    one = source.join(named, (source["digest"] == named["own"]) & source["doc_id"].eqNullSafe(named["first_id"]))
+    one = source.join(merged(named), (source["digest"] == named["own"]) & source["doc_id"].eqNullSafe(named["first_id"]))
     sets = map_batches(one.select("tid", "root", "text"), hashed, "tid long, root long, members binary")
     pairs = block_pairs(members.select("tid", "root"), ["root"], "tid", BLOCK)
-    placed = _calls(pairs, ["root", "block_a", "block_b"]).join(sets.drop("root"), "tid")
+    placed = _calls(pairs, ["root", "block_a", "block_b"]).join(merged(sets.drop("root")), "tid")
 
     def fn(columns):
         out: dict[str, list] = {"tid": [], "other": [], "links": []}
