@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagetables.llm.common import forget, map_batches, query, table, written
+from pagetables.llm.common import forget, map_batches, merged, query, table, written
 from pagetables.llm.vectors import run_hashes, word_hashes
 
 MIN_MATCH = 5
@@ -205,7 +205,7 @@ def leaked_pairs(docs: DataFrame, benchmark: DataFrame, coverage: float, least:
     seeds = written(item_seeds(items, least))
     spots = written(document_seeds(docs, seed_filter(seeds, bits), least).distinct())
     pairs = written(candidates(spots, seeds, coverage, least, hot_share))
-    shared = pairs.join(seeds.select("item", "seed").distinct(), "item").join(spots, ["doc", "seed"])
+    shared = pairs.join(seeds.select("item", "seed").distinct(), "item").join(merged(spots), ["doc", "seed"])
     matched = shared.groupBy("doc", "item").agg(F.array_sort(F.collect_list(F.struct("at", "seed"))).alias("spots"))
 
     def fn(columns):

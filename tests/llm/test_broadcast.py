@@ -35,3 +35,12 @@ def test_near_duplicates_broadcast_nothing(spark, plans):
         plans.append(df._jdf.queryExecution().executedPlan().toString())
     assert len(plans) > 10 and not [p for p in plans if "BroadcastExchange" in p]
     assert sorted(r.class_id for r in near.join(docs).filter("doc_id < 62").collect()) == sorted([0, 1, 2, 3, 4, 5] * 10 + [0, 0])
+
+
+def test_seeds_of_documents_are_not_broadcast(spark, plans):
+    docs = _docs(spark)
+    item = spark.createDataFrame([(1, docs.filter("doc_id = 61").first().text)], "item_id long, text string")
+    found = {r.doc_id for r in decontaminate.leaks(docs, item).collect()}
+    assert found == {*range(0, 60, 6), 60, 61}
+    tiling = plans[-1]  # the seeds are read with their places, and joined with the pairs by text and seed
+    assert "at#" in tiling and "SortMergeJoin [doc#" in tiling
