@@ -205,13 +205,16 @@ def late_arrivals(events: DataFrame, batches: int, jitter_hours: float, folder:
     spark = events.sparkSession
     lag = F.pmod(F.xxhash64("event_id"), F.lit(1000)) / 1000 * jitter_hours * 3600
     arrival = F.unix_timestamp(F.col("ts").cast("timestamp")) + lag
-    rows = events.withColumn("_arrival", arrival)
+    rows = events.withColumn("_arrival", arrival).filter("_arrival IS NOT NULL")
     low, high = rows.agg(F.min("_arrival"), F.max("_arrival")).first()
-    for i in range(batches if low is not None else 0):
-        lower, upper = (low + (high - low) * k / batches for k in (i, i + 1))
-        part = rows.filter((F.col("_arrival") >= lower) & ((F.col("_arrival") < upper) | F.lit(i == batches - 1)))
-        # a shuffle, so that the table is read and shaped by many tasks and only the file is written by one
-        part.drop("_arrival").repartition(1).write.mode("append").parquet(folder)
+    if low is not None:
+        # the table is read and shaped once, by many tasks, and dealt to its batches; only a batch's file is written by one
+        after = [(F.col("_arrival") >= low + (high - low) * k / batches).cast("int") for k in range(1, batches)]
+        dealt = rows.withColumn("_batch", sum(after, F.lit(0))).drop("_arrival")
+        dealt.write.partitionBy("_batch").parquet(f"{folder}-dealt")
+        dealt = spark.read.schema(dealt.schema).parquet(f"{folder}-dealt")
+        for i in range(batches):
+            dealt.filter(F.col("_batch") == i).drop("_batch").repartition(1).write.mode("append").parquet(folder)
     if end is not None:
         end.coalesce(1).write.mode("append").parquet(folder)
     if low is None and end is None:

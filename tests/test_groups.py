@@ -60,3 +60,20 @@ def test_jobs_share_a_state_and_end_one_by_one(spark):
     # the second job was done and left the state before its last update, which starts it anew
     assert tuple(last[2])[1:] == (None, 7, None, None, None, None, START + datetime.timedelta(hours=8), START + datetime.timedelta(hours=8))
     assert tuple(last[3])[1:7] == ("running", 5, 2.0, None, None, []) and got.count() == 7 and max(kept) == 1
+
+
+def test_arrivals_are_made_in_one_pass(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("timestamp")
+    def ts(i):
+        made.add(1)
+        return START + datetime.timedelta(hours=i)
+
+    rows = spark.range(0, 400, 1, 4).select(F.col("id").alias("event_id"), ts("id").alias("ts"))
+    back = spark.read.parquet(timed.late_arrivals(rows, 10, 1, f"{tmp_path}/arrivals"))
+    assert made.value <= 5 * 400  # the bounds and the rows, each with a filter
+    files = sorted((tmp_path / "arrivals").glob("*.parquet"), key=lambda f: f.stat().st_mtime_ns)
+    parts = [sorted(r.event_id for r in spark.read.parquet(str(f)).collect()) for f in files]
+    assert back.count() == 400 and len(parts) == 10
+    assert all(a[0] < b[0] and a[-1] < b[-1] for a, b in zip(parts, parts[1:]))
