@@ -21,11 +21,13 @@ def parts(spark: SparkSession, folder: str) -> DataFrame:
     file, which follow its bytes, would leave all pages to very few tasks. The number comes from the file's footer."""
     rows = table(spark, folder, "part")
     tasks = -(-rows.count() // ROWS_PER_TASK)
-    return rows.repartition(tasks) if tasks > 1 else rows
+    # a filter on a derived page goes down to its parts; one that depends on the task keeps it behind the exchange
+    return rows.repartition(tasks).filter(F.spark_partition_id() >= 0) if tasks > 1 else rows
 
 
 def _pages(spark, folder, url: str, html: str) -> DataFrame:
-    return parts(spark, folder).selectExpr("p_partkey AS page_id", f"{url} AS url", f"{html} AS html")
+    # exploded, so that a page is made once for all filters and columns that read it
+    return parts(spark, folder).selectExpr("p_partkey AS page_id", f"{url} AS url", f"explode(array({html})) AS html")
 
 
 def shop_pages(spark: SparkSession, folder: str) -> DataFrame:
