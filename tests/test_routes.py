@@ -27,3 +27,16 @@ def test_filters_of_derived_pages_stay_behind_the_exchange(spark, tmp_path):
     assert plan.index("Contains") < plan.index("Repartition") and "Contains" not in plan[plan.index("Repartition"):]
     assert plan.count("<article class") == plan[plan.index("Generate"):].count("<article class") > 0  # made below the filter only
     assert chosen.count() == 5_999 and pages.count() == 6_000 and pages.filter("html IS NULL").count() == 1
+
+
+def test_pages_are_routed_without_a_join(spark):
+    rows = [
+        (1, "http://h/1", f"<script>{STATE}</script>"), (1, "http://h/1", f"<script>{STATE}</script>"), (2, "http://h/2", "<p>x"),
+        (3, "http://h/3", f'<script src="https://cdn.shopify.com/x"></script><script>{STATE}</script>'), (4, "http://h/4", None),
+        (5, "http://h/5", "InstantSearchInitialResults"), (None, "http://h/6", "<p>x"), (7, None, f"<script>{STATE}</script>"),
+    ]
+    bundle = B.Bundle(spark.createDataFrame(rows, "page_id bigint, url string, html string"))
+    for platform, ids in (("embedded_search", [1, 1]), ("generic", [2, 3, 4, 5])):
+        got = bundle._pages_of(platform)
+        assert "Join" not in _plan(got) and got.columns == ["page_id", "url", "html"]
+        assert sorted(r.page_id for r in got.collect()) == ids
