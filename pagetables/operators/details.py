@@ -81,7 +81,8 @@ def enrich_details(listings: DataFrame, details: DataFrame, limit: int | None =
     )
     keyed = details.withColumn("_url", url_key("detail_url"))
     one_per_url = first_per_key(keyed, ["_url"], [F.col("page_id")]).drop("page_id")
-    joined = tagged.join(one_per_url.withColumn("_hit", F.lit(True)), F.col("_key") == F.col("_url"), "left")
+    # a merge join: Spark takes records made of pages for as small as what the pages were read from, and would broadcast them
+    joined = tagged.join(one_per_url.withColumn("_hit", F.lit(True)).hint("merge"), F.col("_key") == F.col("_url"), "left")
     hit = F.coalesce(F.col("_hit"), F.lit(False))
     visited = F.col("detail_status") == "visit"
     status = (

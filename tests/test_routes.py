@@ -40,3 +40,12 @@ def test_pages_are_routed_without_a_join(spark):
         got = bundle._pages_of(platform)
         assert "Join" not in _plan(got) and got.columns == ["page_id", "url", "html"]
         assert sorted(r.page_id for r in got.collect()) == ids
+
+
+def test_details_are_not_broadcast(spark, tmp_path):
+    _parts(spark, tmp_path, 60)
+    pages = FX.jsonld_pages(spark, str(tmp_path))
+    found = pages.selectExpr("page_id", "url AS page_url", "url", "1 AS idx", "'' AS title")
+    rich = details.enrich_details(found, details.page_detail(pages))
+    assert "Broadcast" not in rich._jdf.queryExecution().executedPlan().toString()
+    assert rich.filter("detail_status = 'OK'").count() == 60
